@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .classifiers import classifier, scored
+from .decontaminate import benchmark_matches
+from .ftrl import held_out
+from .jaccard_join import similar_documents
+from .mixing import mix_sources
+from .nearest import nearest
+from .secrets import find_secrets, listed
+from .sharding import shard_rows
 from .substring_dedup import repeated_passages
+from .tables import stored
+from .warc import read_chunks, to_chunks, with_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +53,106 @@ FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stored(to_chunks(with_revisits(table(spark, sf_dir, "pages"))))
+    out = read_chunks(archives)
+    return out.select(F.expr("try_cast(record_id as bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "chunks_ok")
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to, true AS chunks_ok
+FROM r
+"""
+
+
+def _classified(spark: SparkSession, sf_dir: str, label: str, folds: int, fold: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = classifier(docs, table(spark, sf_dir, "labels"), label, usable=~held_out(F.col("doc_id"), folds, fold))
+    out = scored(docs, scorer, label)
+    return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "toxic", 5, 0)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (
+  SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS norm FROM v
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda a, b: a + b) / (q.norm * c.norm) AS score
+  FROM n q JOIN n c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", F.col("_tokens").alias("n_words"), F.col("_source_tokens").alias("source_words"), F.col("_weight").alias("weight"), F.col("_draws").alias("draws"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, "quality", 3, 1)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.array_sort(F.concat("base", "random"))).alias("spans"),
+    )
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), shards=24)
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w
+), t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS tok FROM s),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.tok = b.tok AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM s
+  UNION
+  SELECT r.x, p.y FROM reach r JOIN pairs p ON p.x = r.y
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = s.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {q.__name__: q for q in (op1_substring_dedup, op2_warc, op3_toxicity, op4_decontamination, op5_nearest, op6_mixing, op7_quality, op8_secrets, op9_sharding, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_nearest": OP5_SQL, "op10_jaccard_join": OP10_SQL}

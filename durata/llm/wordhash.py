@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 # The bytes that part words, 0x20 and 0x09 to 0x0D.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# ... and every ASCII byte but letters and digits, for plain words.
+_PLAIN = np.ones(256, dtype=bool)
+_PLAIN[48:58] = _PLAIN[65:91] = _PLAIN[97:123] = _PLAIN[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -55,7 +58,7 @@ class Words:
     word, with the total at the end.  Null and empty texts have no words.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, plain: bool = False):
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         if texts.type != pa.large_binary():
             texts = texts.cast(pa.large_binary())
@@ -64,7 +67,7 @@ class Words:
         raw = np.frombuffer(self.data, dtype=np.uint8)
         sizes = np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts))
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        inside = ~_SPACE[raw]
+        inside = ~(_PLAIN if plain else _SPACE)[raw]
         edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
         self.first, self.last = edge[0::2], edge[1::2]
         self.offsets = np.searchsorted(self.first, starts)
