@@ -81,7 +81,7 @@ def shape_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 FEATURES = {"toxic": word_ngrams, "quality": shape_ngrams}
-OPTIONS = {"toxic": {"l1": 0.6, "alpha": 0.3}, "quality": {"l1": 0.6, "alpha": 0.2}}
+OPTIONS = {"toxic": {"l1": 10.0, "alpha": 3.0}, "quality": {"l1": 0.6, "alpha": 0.2, "min_docs": 3}}
 
 
 def classifier(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000) -> Scorer:

@@ -20,39 +20,44 @@ from .wordhash import slices
 Featurizer = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.6, l2: float = 1.0, min_docs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def _passes(places: list[np.ndarray], labels: np.ndarray, n_features: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, balance: np.ndarray) -> np.ndarray:
+    z, n = np.zeros(n_features + 1), np.zeros(n_features + 1)  # the bias comes last, without L1
+    sparse = np.append(np.full(n_features, l1), 0.0)
+
+    def weights(i: np.ndarray | slice) -> np.ndarray:
+        zi = z[i]
+        return np.where(np.abs(zi) <= sparse[i], 0.0, (np.sign(zi) * sparse[i] - zi) / ((beta + np.sqrt(n[i])) / alpha + l2))
+
+    for _ in range(epochs):
+        for i, y, b in zip(places, labels, balance, strict=True):
+            w = weights(i)
+            g = b * (1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y)
+            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
+            n[i] += g * g
+    return weights(slice(None))
+
+
+def fit(features: list[np.ndarray], labels: np.ndarray, epochs: int = 5, alpha: float = 3.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0, min_docs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature hashes, weights, bias).  Each coordinate has its own rate ``alpha / (beta + sqrt(sum of squared gradients))``.
 
-    Features of fewer than ``min_docs`` texts are left out: one text cannot show
-    that they tell the classes apart.  A sample of one class (or none) gives no
-    weights and a bias for that class's share.
+    Features of fewer than ``min_docs`` texts are left out: a text or two cannot
+    show that they tell the classes apart.  Classes weigh the same in sum, however
+    rare one is.  A sample of one class (or none) gives no weights and a bias for
+    that class's share.
     """
     known, count = np.unique(np.concatenate([*features, np.zeros(0, np.uint64)]), return_counts=True)
     known = known[count >= min_docs]
-    z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)  # the bias comes last, without L1
     share = (labels.sum() + 0.5) / (len(labels) + 1.0)
     if len(labels) == 0 or labels.min() == labels.max():
         return known[:0], np.zeros(0), float(np.log(share / (1 - share)))
+    balance = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     places = []
     for f in features:
         at = np.searchsorted(known, f)
         hit = at < len(known)
         hit[hit] = known[at[hit]] == f[hit]
         places.append(np.append(at[hit], len(known)))
-    sparse = np.full(len(z), l1)
-    sparse[-1] = 0.0
-
-    def weights(i: np.ndarray | slice) -> np.ndarray:
-        zi = z[i]
-        return np.where(np.abs(zi) <= sparse[i], 0.0, (np.sign(zi) * sparse[i] - zi) / ((beta + np.sqrt(n[i])) / alpha + l2))
-
-    for _ in range(epochs):
-        for i, y in zip(places, labels, strict=True):
-            w = weights(i)
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -30, 30))) - y
-            z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
-            n[i] += g * g
-    w = weights(slice(None))
+    w = _passes(places, labels, len(known), epochs, alpha, beta, l1, l2, balance)
     kept = np.flatnonzero(w[:-1])
     return known[kept], w[kept], float(w[-1])
 
