@@ -1,4 +1,73 @@
-STAGES = []
+"""Corpus pipeline: toxicity, near-duplicates, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``.  Between stages the result is written as
+Parquet to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from durata.llm.classifiers import classifier, scored
+from durata.llm.decontaminate import benchmark_matches, without_matches
+from durata.llm.ftrl import held_out
+from durata.llm.jaccard_join import representatives, similar_documents
+from durata.llm.mixing import drawn, mix_sources
+from durata.llm.sharding import shard_rows
+from durata.llm.tables import stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go; empty and null texts stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scorer = classifier(docs.select("doc_id", "text"), labels, "toxic", usable=~held_out(F.col("doc_id"), 5, 0))
+    return scored(docs, scorer, "toxic").filter("_predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones stays: five-word shingles, similarity 0.8."""
+    return representatives(docs, similar_documents(docs, width=5, num=80, den=100))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without_matches(docs, benchmark_matches(docs, benchmark))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the source mix draws them."""
+    return drawn(docs, mix_sources(docs))
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each drawn document's shard and slot."""
+    return shard_rows(docs, shards=24)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+
+#: The classifier and the similarity components are beyond SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again before the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
+    return docs
