@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,29 +149,29 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for piece, values, bounds in _sets(batches, width):
             keys = _keys(values, bounds)
             take = np.array(_fresh(keys, seen), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(keys[take]), piece.column("_text").take(pa.array(take))], names=["node", "_text"])
+            packed = [zstandard.compress(t.as_buffer(), 3) for t in piece.column("_text").take(pa.array(take))]
+            yield pa.RecordBatch.from_arrays([_signed(keys[take]), pa.array(packed, pa.binary())], names=["node", "_zip"])
 
     mine = stored(named.mapInArrow(node_rows, "_id long, n long, node long"))
     # tokens that one node alone has lead nowhere; a token so frequent that it is salted is shared for certain
     each = Window.partitionBy("token", "salt")
     prefix = named.select("_text").mapInArrow(prefix_rows, "token long, salt int, hot boolean, node long, n int")
     prefix = prefix.withColumns({"lead": F.min("node").over(each), "tail": F.max("node").over(each)}).filter("lead <> tail or hot")
-    prefix = stored(prefix.select("token", "node", "n", "lead"))
-    nodes = prefix.groupBy("node").agg(F.first("n").alias("n"))
-    texts = stored(named.select("_text").mapInArrow(text_rows, "node long, _text string").join(nodes, "node"))
-    sizes = texts.select("node", "n").distinct()
+    prefix = stored(_dense(stored(prefix.select("token", "node", "n")), num, den))
+    nodes = prefix.select("node").distinct()
+    texts = stored(named.select("_text").mapInArrow(text_rows, "node long, _zip binary").join(nodes, "node"))
 
     compare = lambda rows: _compared(rows, texts, width, num, den)
-    edges = stored(compare(_led(prefix, sizes, num, den)))
+    edges = stored(compare(_led(prefix, num, den)))
     # round two: the best linked member of a first-round slice leads those that its links have not reached
     degree = edges.groupBy("a").agg(F.max("links").alias("links"), F.min("b").alias("root"))
     better = prefix.join(degree.select(F.col("a").alias("node"), "links", "root"), "node", "left")
     top = better.groupBy("token").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.col("node").alias("lead"), F.coalesce("root", F.col("node")).alias("lead_root"))).alias("top"))
     again = better.drop("lead").join(top.select("token", F.col("top.lead").alias("lead"), F.col("top.lead_root").alias("lead_root")), "token").filter("coalesce(root, node) <> lead_root")
-    more = stored(compare(_led(again.select("token", "node", "n", "lead"), sizes, num, den)))
+    more = stored(compare(_led(again.select("token", "node", "n", "lead"), num, den)))
     first = components(edges.unionByName(more))
 
-    grouped = stored(_groups(prefix, sizes, first))
+    grouped = stored(_groups(prefix, first))
     cross = stored(_crossed(prefix, grouped, texts, width, num, den))
     root = components(edges.select("a", "b").unionByName(more.select("a", "b")).unionByName(cross))
     labelled = mine.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -184,10 +185,23 @@ def _unnamed(docs: DataFrame, node_rows: object, id_col: str) -> DataFrame:
     return rows.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
 
 
-def _led(prefix: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+def _dense(prefix: DataFrame, num: int, den: int) -> DataFrame:
+    """``(token, node, n, lead)`` of nodes that share as many tokens with others as any link of theirs needs."""
+    own = prefix.groupBy("node").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= _least(F.col("n"), num, den))
+    rows = prefix.join(own.select("node"), "node")
+    shared = rows.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("tail")).filter("lead <> tail")
+    return rows.join(shared.select("token", "lead"), "token").select("token", "node", "n", "lead")
+
+
+def _least(n: Column, num: int, den: int) -> Column:
+    """How many of the dealt tokens a set of ``n`` shares with any set that it links with."""
+    return F.least(F.lit(_EXTRA), _needed(n, num, den))
+
+
+def _led(prefix: DataFrame, num: int, den: int) -> DataFrame:
     """``(bucket, slice, node)``: each node with the leader of most of its tokens, the leader in every slice."""
     shared = prefix.filter("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    enough = shared.filter(F.col("c") >= F.least(F.lit(_EXTRA), _needed(F.col("n"), num, den)))
+    enough = shared.filter(F.col("c") >= _least(F.col("n"), num, den))
     chosen = enough.groupBy("node").agg(F.max(F.struct("c", "lead")).alias("x"), F.first("n").alias("n")).select("node", "n", F.col("x.lead").alias("bucket"))
     total = chosen.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
     slots = F.greatest(F.ceil(F.col("m") / _MEMBERS), F.ceil(F.col("t") / _TOKENS)).cast("int")
@@ -207,8 +221,9 @@ class _Members:
         self.node = nodes[first]
         self.side = table.column("side").to_numpy()
         parts, sizes = [], []
-        for piece in slices(table.to_batches(), "_text", _SLICE):
-            values, bounds = shingle_sets(Words(piece.column("_text"), lower=True), width)
+        for a in range(0, len(table), 50):
+            some = [zstandard.decompress(z.as_py()) for z in table.column("_zip")[a : a + 50]]
+            values, bounds = shingle_sets(Words(pa.array(some, pa.large_binary()), lower=True), width)
             parts.append(values)
             sizes.append(np.diff(bounds))
         self.n = np.concatenate(sizes)
@@ -271,11 +286,11 @@ def _compared(rows: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     def run(table: pa.Table) -> pa.Table:
         return _linked(_Members(table, width), num, den, across=False)
 
-    full = rows.join(texts.select("node", "_text"), "node").withColumn("side", F.lit(0))
+    full = rows.join(texts, "node").withColumn("side", F.lit(0))
     return full.groupBy("bucket", "slice").applyInArrow(run, _EDGES)
 
 
-def _groups(prefix: DataFrame, sizes: DataFrame, root: DataFrame) -> DataFrame:
+def _groups(prefix: DataFrame, root: DataFrame) -> DataFrame:
     """``(node, n, family, pure, group)``: slices of components, and of single nodes by their first token's leader."""
     lead = prefix.groupBy("node").agg(F.min("lead").alias("lead"), F.first("n").alias("n"))
     of = lead.join(root, "node", "left").select("node", "n", F.coalesce("root", "lead").alias("family"), F.col("root").isNotNull().alias("pure"))
@@ -293,7 +308,7 @@ def _crossed(prefix: DataFrame, grouped: DataFrame, texts: DataFrame, width: int
     pairs = left.join(right, apart).groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h")).agg(
         F.count("*").alias("c"), F.min("x.low").alias("xl"), F.max("x.high").alias("xh"), F.min("y.low").alias("yl"), F.max("y.high").alias("yh")
     )
-    enough = (F.col("c") >= F.least(F.lit(_EXTRA), _needed(F.greatest("xl", "yl"), num, den))) & (F.col("xh") * den >= F.col("yl") * num) & (F.col("yh") * den >= F.col("xl") * num)
+    enough = (F.col("c") >= _least(F.greatest("xl", "yl"), num, den)) & (F.col("xh") * den >= F.col("yl") * num) & (F.col("yh") * den >= F.col("xl") * num)
     pairs = pairs.filter(enough).select("g", "h")
     sides = pairs.select("g", "h", F.col("g").alias("group"), F.lit(0).alias("side")).unionByName(pairs.filter("g <> h").select("g", "h", F.col("h").alias("group"), F.lit(1).alias("side")))
 
@@ -301,8 +316,8 @@ def _crossed(prefix: DataFrame, grouped: DataFrame, texts: DataFrame, width: int
         m = _Members(table, width)
         return _linked(m, num, den, across=bool((m.side == 1).any())).select(["a", "b"])
 
-    full = sides.join(grouped.select("node", "group"), "group").join(texts.select("node", "_text"), "node")
-    return full.select("g", "h", "node", "side", "_text").groupBy("g", "h").applyInArrow(run, "a long, b long")
+    full = sides.join(grouped.select("node", "group"), "group").join(texts, "node")
+    return full.select("g", "h", "node", "side", "_zip").groupBy("g", "h").applyInArrow(run, "a long, b long")
 
 
 def representatives(docs: DataFrame, similar: DataFrame, id_col: str = "doc_id") -> DataFrame:
