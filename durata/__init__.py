@@ -1,0 +1 @@
+"""Time-to-event analytics on Spark tables."""
