@@ -84,6 +84,29 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP4_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark
+), ds AS (
+  SELECT doc_id, len(ws) AS n, p, array_to_string(ws[p + 1:p + 5], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS p FROM dw WHERE len(ws) >= 5)
+), its AS (
+  SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, len(ws) AS n, array_to_string(ws[p + 1:p + 5], ' ') AS s FROM (SELECT item_id, ws, unnest(range(0, len(ws) - 4)) AS p FROM iw WHERE len(ws) >= 5)) GROUP BY ALL
+), hit AS (
+  SELECT DISTINCT ds.doc_id, ds.n - 4 AS dm, ds.p, its.item_id, its.n - 4 AS m FROM ds JOIN its ON its.s = ds.s
+), win AS (
+  SELECT DISTINCT doc_id, item_id, m, least(m, dm) AS wm, unnest(range(greatest(0, p - m + 1), greatest(0, least(p, dm - m)) + 1)) AS p0 FROM hit
+), cnt AS (
+  SELECT w.doc_id, w.item_id, w.m, w.wm, w.p0, ds.s, count(*) AS c FROM win w JOIN ds ON ds.doc_id = w.doc_id AND ds.p >= w.p0 AND ds.p < w.p0 + w.wm GROUP BY ALL
+), ov AS (
+  SELECT c.doc_id, c.item_id, c.m, c.wm, c.p0, sum(least(c.c, its.c))::BIGINT AS o FROM cnt c JOIN its ON its.item_id = c.item_id AND its.s = c.s GROUP BY ALL
+), sim AS (SELECT *, o / (wm + m - o)::DOUBLE AS similarity FROM ov)
+SELECT doc_id, item_id, max(similarity) AS similarity, min_by(p0, (-similarity, p0))::INTEGER AS start_word, (any_value(wm) + 4)::INTEGER AS n_words
+FROM sim WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -126,6 +149,33 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), shards=24)
 
 
+OP9_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, [0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))
+), d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id, -1) AS k FROM documents
+), crc AS (
+  SELECT doc_id, k, strlen(text) + 8 AS size,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+             lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM d, tab
+), j AS (
+  SELECT DISTINCT k, -1::BIGINT AS b, 0::BIGINT AS j, CASE WHEN k < 0 THEN k::HUGEINT + 18446744073709551616::HUGEINT ELSE k::HUGEINT END AS h, 0 AS n FROM d
+  UNION ALL
+  SELECT k, j, floor((j + 1) * (2147483648.0::DOUBLE / ((((h * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT) // 8589934592 + 1)::DOUBLE)))::BIGINT,
+         (h * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT, n + 1
+  FROM j WHERE j < 25
+), s AS (
+  SELECT k, max(b) FILTER (b < 24)::INT AS shard, max(b)::INT AS grown_shard FROM j GROUP BY k
+)
+SELECT c.doc_id, c.size, c.text_crc32, 'key' AS law, s.shard,
+       row_number() OVER (PARTITION BY s.shard ORDER BY ((c.k % 256) + 256) % 256, c.k, c.text_crc32, c.size) - 1 AS slot, s.grown_shard
+FROM crc c JOIN s ON s.k = c.k
+"""
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
@@ -155,4 +205,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op5_nearest": OP5_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_nearest": OP5_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL}
