@@ -142,3 +142,17 @@ def extremes(cells: DataFrame, k: int, column: str, key: str, largest: bool) ->
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def attribute_table(df: DataFrame, numeric: list[str], categories: list[str], value: str) -> DataFrame:
+    """One row an attribute: missing rate, and median, range and rho of numbers, or distinct count, top value, its share and eta of categories."""
+    parts = []
+    for c in numeric:
+        one = df.agg(F.avg(F.col(c).isNull().cast("int")).alias("missing_rate"), F.median(c).cast("double").alias("median"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+        parts.append(one.crossJoin(spearman(df, c, value).select(F.col("rho").alias("strength"))).select(F.lit(c).alias("attribute"), "*"))
+    for c in categories:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("_v")).agg(F.count("*").alias("_n"))
+        top = counts.agg(F.count("*").alias("distinct_values"), F.max_by("_v", F.struct("_n", F.col("_v"))).alias("top_value"), (F.max("_n") / F.sum("_n")).alias("top_share"))
+        rate = df.agg(F.avg(F.col(c).isNull().cast("int")).alias("missing_rate"))
+        parts.append(rate.crossJoin(top).crossJoin(correlation_ratio(df, c, value).select(F.col("eta").alias("strength"))).select(F.lit(c).alias("attribute"), "*"))
+    return union_all(parts)

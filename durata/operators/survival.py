@@ -124,3 +124,13 @@ def yearly_summary(df: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum("event").alias("events"), F.sum(1 - F.col("event")).alias("censored"), (F.sum(1 - F.col("event")) / F.count("*")).alias("censored_share"),
         F.median("t").alias("median_t"), F.max("t").alias("max_t"),
     )
+
+
+def condition_table(df: DataFrame, strata: list[str], least: int, elapsed: int, horizon: int) -> DataFrame:
+    """Per stratum of ``least`` rows or more: n, times by which 25, 50 and 75 % have ended, and P(end in ``horizon`` more days | open at ``elapsed``)."""
+    big = df.groupBy(*strata).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    curve = km_curve(df, strata)
+    ended = lambda share: F.min(F.when(F.col("s") <= 1 - share, F.col("t")))
+    at = lambda day: F.coalesce(F.max_by(F.when(F.col("t") <= day, F.col("s")), F.when(F.col("t") <= day, F.col("t"))), F.lit(1.0))
+    q = curve.groupBy(*strata).agg(ended(0.25).alias("q25"), ended(0.5).alias("q50"), ended(0.75).alias("q75"), at(elapsed).alias("_a"), at(elapsed + horizon).alias("_b"))
+    return big.join(q, strata).select(*strata, "n", "q25", "q50", "q75", F.when(F.col("_a") > 0, 1 - F.col("_b") / F.col("_a")).alias("p"))

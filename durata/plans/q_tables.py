@@ -370,3 +370,26 @@ def g23_long_groups(spark, d):
 @query("SELECT count(*) AS rows, count(DISTINCT CASE WHEN building_id <> '0' THEN building_id || '::' || unit_id END) AS entities, count(walk_distance) AS with_walk FROM iv")
 def g24_distinct_counts(spark, d):
     return intervals(spark, d).agg(F.count("*").alias("rows"), F.countDistinct(C.entity_key(F.col("building_id"), F.col("unit_id"))).alias("entities"), F.count("walk_distance").alias("with_walk"))
+
+
+_RHO = "(SELECT corr(a, b) FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM (SELECT walk_distance AS x, end_date - start_date AS y FROM iv WHERE walk_distance IS NOT NULL)))"
+_ETA = "(WITH g AS (SELECT layout, count(*) AS n, sum(end_date - start_date)::DOUBLE AS s, sum((end_date - start_date) * (end_date - start_date))::DOUBLE AS ss FROM iv GROUP BY layout) SELECT sqrt((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (sum(ss) - sum(s) * sum(s) / sum(n))) FROM g)"
+
+
+@query(f"SELECT 'walk_distance' AS attribute, avg((walk_distance IS NULL)::INT) AS missing_rate, quantile_cont(walk_distance, 0.5) AS median, min(walk_distance) AS min, max(walk_distance) AS max, round({_RHO}, 6) AS strength, NULL::BIGINT AS distinct_values, NULL::VARCHAR AS top_value, NULL::DOUBLE AS top_share FROM iv UNION ALL SELECT 'layout', 0.0, NULL, NULL, NULL, round({_ETA}, 6), count(*), max_by(layout, (n, layout)), max(n) / sum(n)::DOUBLE FROM (SELECT layout, count(*) AS n FROM iv GROUP BY layout)")
+def g22_attribute_table(spark, d):
+    return G.attribute_table(_iv(spark, d), ["walk_distance"], ["layout"], "duration").withColumn("strength", _r("strength"))
+
+
+@query("SELECT 'a' AS source, layout, count(*) AS n, NULL::DOUBLE AS mean FROM iv GROUP BY layout UNION ALL SELECT 'b', layout, NULL, round(avg(end_date - start_date), 6) FROM iv GROUP BY layout")
+def m18_comparison_table(spark, d):
+    rows = _iv(spark, d)
+    a = rows.groupBy("layout").agg(F.count("*").alias("n")).withColumn("source", F.lit("a"))
+    b = rows.groupBy("layout").agg(_r(F.avg("duration")).alias("mean")).withColumn("source", F.lit("b"))
+    return G.union_all([a, b]).orderBy("source", "layout")
+
+
+@query("SELECT city, count(*) FILTER (layout = 'A') AS a, count(*) FILTER (layout = 'N') AS n, count(*) FILTER (layout = 'R') AS r FROM iv GROUP BY city")
+def v01_pivot(spark, d):
+    wide = intervals(spark, d).groupBy("city").pivot("layout", ["A", "N", "R"]).count()
+    return wide.select("city", *[F.coalesce(k, F.lit(0)).alias(k.lower()) for k in ("A", "N", "R")])

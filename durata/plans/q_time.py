@@ -237,3 +237,51 @@ def x01_sessions(spark, d):
 
     out = sessions(spark.read.parquet(f"{d}/events.parquet"), gap="6 hours")
     return out.select("user_id", "events", F.to_date("start").alias("first_day"))
+
+
+_KML = _KM.format(k="layout, station,", p="PARTITION BY layout, station")
+
+
+@query(f"WITH {_C}, {_KML}, big AS (SELECT layout, station, count(*) AS n FROM cens GROUP BY ALL HAVING count(*) >= 100), q AS (SELECT layout, station, min(t) FILTER (s <= 0.75) AS q25, min(t) FILTER (s <= 0.5) AS q50, min(t) FILTER (s <= 0.25) AS q75, coalesce(max_by(s, t) FILTER (t <= 12), 1) AS s12, coalesce(max_by(s, t) FILTER (t <= 19), 1) AS s19 FROM km GROUP BY ALL) SELECT layout, station, n, q25, q50, q75, round(1 - s19 / s12, 9) AS p FROM q JOIN big USING (layout, station)")
+def g25_same_condition_table(spark, d):
+    return K.condition_table(_censored(spark, d), ["layout", "station"], 100, 12, 7).withColumn("p", _r("p"))
+
+
+@query()
+def p08_boosted_hazard(spark, d):
+    from ..functions.clean import years_between
+    from ..operators import hazard as H
+
+    rows = intervals(spark, d).withColumn("age", years_between(F.col("start_date"), F.col("build_date")))
+    train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date") == 1999)
+    model = H.fit_boosted(PP.features(PP.sampled_periods(train, "row_id", 0.2, cap=50)), rounds=3, depth=4, weight="weight")
+    live = N.snapshot(rows, [dt.date(2000, 4, 1)], [14], OBS_END)
+    return H.horizon_risk(model, live, ["row_id"], "elapsed_day", 14).withColumn("p", _r("p", 6))
+
+
+@query()
+def p09_static_classifier(spark, d):
+    from ..functions.clean import extreme_label
+    from ..operators import hazard as H
+
+    rows = _censored(spark, d).withColumns({"log_rent": F.log1p("rent"), "log_area": F.log1p("area"), "category": F.coalesce("layout", F.lit("missing")), "label": extreme_label(F.col("t"), F.col("event"), 6, 40)})
+    names = ["log_rent", "log_area", "walk_distance"]
+    model = H.fit_hazard(rows.filter("label is not null and year(start_date) = 1999"), names, ["category", "city"], label="label")
+    return H.hazard_of(model, rows.filter("year(start_date) = 2000"), names).select("row_id", _r("hazard", 6).alias("p"))
+
+
+@query()
+def p17_scope_comparison(spark, d):
+    from ..functions.clean import years_between
+    from ..operators import hazard as H
+
+    rows = intervals(spark, d).withColumn("age", years_between(F.col("start_date"), F.col("build_date")))
+    train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date") == 1999)
+    test = K.censored_at(rows, OBS_END, [2000]).filter("layout = 'N'")
+    scopes = {"own": F.col("layout") == "N", "all": F.lit(True)}
+    out = None
+    for name, scope in scopes.items():
+        model = H.fit_hazard(PP.features(PP.sampled_periods(train.filter(scope), "row_id", 0.2, cap=50)), weight="weight")
+        part = H.evaluate(model, test, "row_id", [7], [14]).select(F.lit(name).alias("scope"), "n", *[_r(c, 6).alias(c) for c in ("predicted", "actual", "brier", "auc")])
+        out = part if out is None else out.unionByName(part)
+    return out
