@@ -12,8 +12,9 @@ a short run of high-level symbols, that is the same wherever the window occurs.
 3. What is left, single units and one representative of each repeated unit under
    an anchor that has different units, is compared window by window.
 
-Each step counts before it joins, so a passage that a third of all documents
-share is one row a batch before the shuffle, and joins have a unique side, which
+Equal units of a block (some thousand documents) are one row with a count, and
+each step counts before it joins, so a passage that a third of all documents
+share is one row a block before the shuffle, and joins have a unique side, which
 lets AQE split hot keys.  No group is ever collected.
 """
 
@@ -60,6 +61,7 @@ class _Units:
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(words.hash) * powers(len(words.hash), _BASE), dtype=np.uint64)])
         whole = (total[b] - total[a]) * powers(len(words.hash) + 1, _INVERSE)[a]
         self.unit = mix(whole + mix((b - a).astype(np.uint64) * np.uint64(1 << 20) + (at[heads] - a).astype(np.uint64)))
+        self.same = mix(self.unit + self.key)  # equal for equal units
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, block_bytes: int = 2 << 20) -> DataFrame:
@@ -76,7 +78,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     along; other columns are not read.  An empty table gives an empty result.
     Windows are compared by 64-bit fingerprints under 64-bit anchor keys.
 
-    ``df`` is read three times, so pass a scan or a stored table.
+    ``df`` is read three times and its blocks must be the same each time, so pass
+    a scan or a stored table, not a plan whose row order may change.
     """
     if width < 2:
         raise ValueError("width must be 2 or more")
@@ -85,13 +88,13 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, piece in _blocks(batches, "_text", block_bytes):
             u = _Units(Words(piece.column("_text")), width)
-            n = len(u.key)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(u.key)), pa.array(_signed(u.unit)), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32))], names=["key", "unit", "block", "i"])
+            _, i, m = np.unique(u.same, return_index=True, return_counts=True)  # a long run of one word is one row
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(u.key[i])), pa.array(_signed(u.unit[i])), pa.array(np.full(len(i), block)), pa.array(i.astype(np.int32)), pa.array(m.astype(np.int32))], names=["key", "unit", "block", "i", "m"])
 
-    units = docs.select("_text").mapInArrow(unit_rows, "key long, unit long, block long, i int")
-    twice = units.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    units = docs.mapInArrow(unit_rows, "key long, unit long, block long, i int, m int")
+    twice = units.groupBy("key").agg(F.sum("m").alias("n")).filter("n > 1").select("key")
     shared = stored(units.join(twice, "key"))
-    kinds = stored(shared.groupBy("key", "unit").agg(F.count("*").alias("n"), F.min(F.struct("block", "i")).alias("at")))
+    kinds = stored(shared.groupBy("key", "unit").agg(F.sum("m").alias("n"), F.min(F.struct("block", "i")).alias("at")))
     equal = shared.join(kinds.filter("n > 1").select("key", "unit"), ["key", "unit"]).select("block", "i", F.lit(0).cast("byte").alias("kind"))
     several = kinds.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     # kind 1: a single unit, whose windows are asked for; 2: the representative of a repeated one, which is only compared with
@@ -113,7 +116,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(fingerprints[w])), pa.array(np.full(len(w), block.as_py())), pa.array(np.where(kind[owner] == 1, w, -1 - w).astype(np.int32))], names=["window", "block", "p"])
 
     listed = lambda rows: rows.groupBy("block").agg(F.collect_list(F.struct("i", "kind")).alias("marks"))  # noqa: E731  bounded by a block
-    windows = stored(docs.select("_text").mapInArrow(packed, "block long, payload binary").join(listed(open_units), "block").mapInArrow(window_rows, "window long, block long, p int"))
+    windows = stored(docs.mapInArrow(packed, "block long, payload binary").join(listed(open_units), "block").mapInArrow(window_rows, "window long, block long, p int"))
     again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     single = windows.filter("p >= 0").join(again, "window").select("block", F.col("p").alias("i"), F.lit(1).cast("byte").alias("kind"))
     found = listed(equal.unionByName(single))
@@ -155,6 +158,7 @@ def _cut(piece: pa.RecordBatch, marks: pa.ListScalar, width: int) -> pa.RecordBa
     if len(i):
         whole = i[kind == 0]
         u = _Units(words, width) if len(whole) else None
+        whole = np.flatnonzero(np.isin(u.same, u.same[whole])) if u else whole
         a = np.concatenate([i[kind == 1], u.start[u.first[whole]] if u else i[:0]])
         b = np.concatenate([i[kind == 1], u.start[u.first[whole + 1] - 1] if u else i[:0]]) + width
         np.add.at(change, a, 1)
