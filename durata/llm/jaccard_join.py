@@ -11,10 +11,11 @@ union holds enough of a document's tokens are opened and compared exactly.
 2. Every document goes to the group of the leader with which it shares most such
    tokens; the leader is in all slices of its group.  Within a slice all members
    are compared.  A second round takes the best linked documents as leaders.
-3. Groups of the resulting components, and of what is still single, meet as rows
-   of the token-group matrix: two groups that share too few tokens cannot hold a
-   link.  Those left are opened: a document is compared if the other group's union
-   holds the tokens it needs.  Groups of one component need no comparison.
+3. Groups of the resulting components, and of what is still single, become rows
+   of the token-group matrix: a document that has too few of its dealt tokens in a
+   group's union cannot link with a member.  Groups for which documents of each
+   other qualify are opened, and those documents compared, again after a bound by
+   the unions of all their tokens.  Groups of one component need no comparison.
 
 Every step that leaves pairs out does so by a bound, so no link is lost.
 Documents with equal sets are one node throughout.
@@ -173,7 +174,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     grouped = stored(_groups(prefix, first))
     cross = stored(_crossed(prefix, grouped, texts, width, num, den))
-    root = components(edges.select("a", "b").unionByName(more.select("a", "b")).unionByName(cross))
+    root = first if cross.isEmpty() else components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(cross))
     labelled = mine.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.filter("n > 0").groupBy("root").agg(F.min("_id").alias("component_id"))
     out = labelled.join(least, "root", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
@@ -291,33 +292,42 @@ def _compared(rows: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 
 
 def _groups(prefix: DataFrame, root: DataFrame) -> DataFrame:
-    """``(node, n, family, pure, group)``: slices of components, and of single nodes by their first token's leader."""
+    """``(node, n, family, pure, group, low, high)``: slices of components, and of single nodes by their first token's leader.
+
+    ``low`` and ``high`` are the sizes of the group's smallest and largest set.
+    """
     lead = prefix.groupBy("node").agg(F.min("lead").alias("lead"), F.first("n").alias("n"))
     of = lead.join(root, "node", "left").select("node", "n", F.coalesce("root", "lead").alias("family"), F.col("root").isNotNull().alias("pure"))
     total = of.groupBy("family", "pure").agg(F.greatest(F.ceil(F.count("*") / _MEMBERS), F.ceil(F.sum("n") / _TOKENS)).cast("int").alias("slots"))
-    return of.join(total, ["family", "pure"]).select("node", "n", "family", "pure", F.xxhash64("family", "pure", F.pmod(F.xxhash64("node"), "slots")).alias("group"))
+    rows = of.join(total, ["family", "pure"]).select("node", "n", "family", "pure", F.xxhash64("family", "pure", F.pmod(F.xxhash64("node"), "slots")).alias("group"))
+    own = Window.partitionBy("group")  # of bounded size
+    return rows.withColumns({"low": F.min("n").over(own), "high": F.max("n").over(own)})
 
 
 def _crossed(prefix: DataFrame, grouped: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links between groups (and within groups of single nodes) that the token-group matrix does not rule out."""
-    matrix = prefix.select("token", "node").join(grouped, "node").groupBy("token", "group").agg(
-        F.first("family").alias("family"), F.first("pure").alias("pure"), F.count("*").alias("k"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
-    left, right = matrix.alias("x"), matrix.alias("y")
-    apart = F.expr("x.token = y.token and x.group <= y.group and not (x.pure and y.pure and x.family = y.family) and (x.group < y.group or x.k > 1)")
-    pairs = left.join(right, apart).groupBy(F.col("x.group").alias("g"), F.col("y.group").alias("h")).agg(
-        F.count("*").alias("c"), F.min("x.low").alias("xl"), F.max("x.high").alias("xh"), F.min("y.low").alias("yl"), F.max("y.high").alias("yh")
-    )
-    enough = (F.col("c") >= _least(F.greatest("xl", "yl"), num, den)) & (F.col("xh") * den >= F.col("yl") * num) & (F.col("yh") * den >= F.col("xl") * num)
-    pairs = pairs.filter(enough).select("g", "h")
-    sides = pairs.select("g", "h", F.col("g").alias("group"), F.lit(0).alias("side")).unionByName(pairs.filter("g <> h").select("g", "h", F.col("h").alias("group"), F.lit(1).alias("side")))
+    """Links between groups (and within groups of single nodes) that the token-group matrix does not rule out.
+
+    A node qualifies for a group if the union of the group's dealt tokens holds as
+    many of its own as any link needs, and the sizes fit.  Two groups are opened
+    if nodes of both qualify for the other, and only those nodes are compared.
+    """
+    rows = prefix.select("token", "node").join(grouped, "node")
+    matrix = rows.groupBy("token", F.col("group").alias("other")).agg(F.first("family").alias("f"), F.first("pure").alias("u"), F.count("*").alias("k"), F.first("low").alias("l"), F.first("high").alias("h"))
+    fits = (F.col("n") * den >= F.col("l") * num) & (F.col("h") * den >= F.col("n") * num)
+    meets = fits & ~(F.col("pure") & F.col("u") & (F.col("family") == F.col("f"))) & ((F.col("group") != F.col("other")) | (F.col("k") > 1))
+    near = rows.join(matrix.withColumnRenamed("token", "_t"), (F.col("token") == F.col("_t")) & meets)
+    near = near.groupBy("node", "group", "other").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= _least(F.col("n"), num, den))
+    side = (F.col("group") > F.col("other")).cast("int")
+    asked = stored(near.select("node", F.least("group", "other").alias("g"), F.greatest("group", "other").alias("h"), side.alias("side")))
+    both = asked.groupBy("g", "h").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    both = both.filter("(g = h and a > 1) or (a > 0 and b > 0)").select("g", "h")
 
     def run(table: pa.Table) -> pa.Table:
         m = _Members(table, width)
         return _linked(m, num, den, across=bool((m.side == 1).any())).select(["a", "b"])
 
-    full = sides.join(grouped.select("node", "group"), "group").join(texts, "node")
-    return full.select("g", "h", "node", "side", "_zip").groupBy("g", "h").applyInArrow(run, "a long, b long")
+    full = asked.join(both, ["g", "h"]).join(texts, "node").select("g", "h", "node", "side", "_zip")
+    return full.groupBy("g", "h").applyInArrow(run, "a long, b long")
 
 
 def representatives(docs: DataFrame, similar: DataFrame, id_col: str = "doc_id") -> DataFrame:
