@@ -82,10 +82,15 @@ def mix_sources(
     are drawn with each whole pass, and once if there is none (weight 0 included),
     so that a filtering pipeline loses no row to an empty text.  Ties of the order
     are broken by the row's hash; rows that are equal throughout may swap.  An
-    empty table stays empty.  Columns of ``df`` pass through untouched.
+    empty table stays empty.  Columns of ``df`` pass through untouched, but for
+    those named like an added one, which are replaced.
     """
     if budget_share <= 0 or block_rows < 1:
         raise ValueError("budget_share and block_rows must be positive")
+    added, own = ("_tokens", "_source_tokens", "_weight", "_draws"), ("_h", "_s", "_blocks", "_whole", "_left", "_block", "_before", "_room", "_block_n", "_b", "_n")
+    kept = {c: f"{c} of input" for c in df.columns if c in own}
+    df = df.drop(*[c for c in added if c not in (id_col, source_col, text_col)]).withColumnsRenamed(kept)
+    id_col, source_col, text_col = (kept.get(c, c) for c in (id_col, source_col, text_col))
     rows = df.select("*", word_count(F.col(text_col)).alias("_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"))
     sources = stored(rows.groupBy(F.col(source_col).alias("_s")).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")))
     total, kinds = sources.agg(F.sum("tokens"), F.count_if(F.col("tokens") > 0)).first()
@@ -113,9 +118,11 @@ def mix_sources(
     used = F.sum(F.when(cut, F.col("_tokens")).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     extra = F.when(cut, (used <= F.col("_room")).cast("long")).otherwise((F.col("_room") >= F.col("_block_n")).cast("long"))
     draws = F.when(F.col("_tokens") == 0, F.greatest(F.col("_whole"), F.lit(1))).otherwise(F.col("_whole") + extra)
-    return at.withColumn("_draws", draws.cast("int")).drop("_h", "_blocks", "_whole", "_left", "_block", "_room", "_block_n")
+    out = at.withColumn("_draws", draws.cast("int")).drop("_h", "_blocks", "_whole", "_left", "_block", "_room", "_block_n")
+    return out.withColumnsRenamed({v: k for k, v in kept.items()})
 
 
 def drawn(df: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows themselves, each as often as it is drawn, with the columns of ``df``."""
-    return mixed.filter("_draws > 0").select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("_draws"))).alias("_draw")).drop("_draw")
+    own = F.struct(*df.columns).alias("row")
+    return mixed.filter("_draws > 0").select(own, F.explode(F.sequence(F.lit(1), F.col("_draws"))).alias("copy")).select("row.*")

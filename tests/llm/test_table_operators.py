@@ -137,7 +137,7 @@ def test_shards(spark):
 
 
 def mix_frame(spark, rows):
-    return spark.createDataFrame([(i, s, t, 0) for i, s, t in rows], "doc_id long, source string, text string, _draw int")
+    return spark.createDataFrame([(i, s, t, 0, "b") for i, s, t in rows], "doc_id long, source string, text string, _draw int, _block string")
 
 
 def test_mixing_meets_targets(spark):
@@ -221,7 +221,7 @@ def test_learner_finds_the_words():
     for _ in range(1500):
         y = rng.random() < 0.2
         f = rng.integers(100, 5000, 60).astype(np.uint64)
-        features.append(np.unique(np.append(f, rng.integers(0, 10)) if y else f))
+        features.append(np.unique(np.append(f, np.uint64(rng.integers(0, 10))) if y else f))
         labels.append(float(y))
     known, w, bias = fit(features[:1000], np.array(labels[:1000]))
     scorer = Scorer(known, w, bias)
