@@ -10,7 +10,7 @@ is reported as kind ``random``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import stored
@@ -26,6 +26,9 @@ _TOKENS = "array<struct<start:int,kind:int,end:int,token:string>>"
 # Alphabets by symbol order.
 _HEX_SET, _BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+# The symbols of standard and URL-safe encodings. A run of either is a token; "=" belongs to it only as padding, where nothing follows.
+_SYMBOLS = ["A-Za-z0-9+/", "A-Za-z0-9_-"]
+_PADDING = "(?:=+(?![A-Za-z0-9+/_=-]))?"
 
 
 def _spans(text: str, pattern: str, kind: int, group: int, least: int, may: str, tokens: bool = False) -> Column:
@@ -99,7 +102,10 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``base`` has the pattern spans by start, then kind (0 assign, 1 access, 2 hex).
     ``random`` has tokens of ``least`` symbols or more that no base span touches and
-    whose battery is not rejected.  Rejection is weighted step-up control at
+    whose battery is not rejected.  The runs of the standard and of the URL-safe
+    symbols are tokens each, so a value is tested apart from the name before its
+    ``=`` and from a path around it; of those told, one inside another is left out.
+    Rejection is weighted step-up control at
     ``rate`` over all tokens of the table: a p-value is divided by the token's
     length relative to the mean, because tests of longer tokens have more power.
     The step-up works on counts of p-values in bins of a tenth of a decade, a table
@@ -110,8 +116,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
     parts = {f"_{kind}": _spans("_t", pattern, i, group, size, _MAY[kind]) for i, (kind, pattern, group, size) in enumerate(KINDS)}
-    run = f"[A-Za-z0-9+/_=-]{{{least}}}"
-    parts["_tok"] = _spans("_t", f"(?<![A-Za-z0-9+/_=-]){run[:-1]},}}", 3, 0, least, run, tokens=True)
+    runs = [_spans("_t", f"(?<![{c}])[{c}]{{{least},}}{_PADDING}", 3, 0, least, f"[{c}]{{{least}}}", tokens=True) for c in _SYMBOLS]
+    parts["_tok"] = F.array_distinct(F.concat(*runs))  # a run of letters and digits is found twice
     # stored, so that row numbers stay and no span is looked for twice
     found = stored(base.select("_id", *[v.alias(k) for k, v in parts.items()]).withColumn("_row", F.monotonically_increasing_id()))
     spans = F.array_sort(F.concat(*[f"_{k[0]}" for k in KINDS]))
@@ -122,7 +128,9 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not m:
         return found.select(F.col("_id").alias(id_col), spans.alias("base"), F.array().cast(_SPAN).alias("random"))
     limit = _step_up(tested, m, mean, rate)
-    kept = tested.filter(_bin(F.col("p") * F.lit(mean) / F.col("n")) < limit).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("random"))
+    kept = tested.filter(_bin(F.col("p") * F.lit(mean) / F.col("n")) < limit)
+    before = Window.partitionBy("_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("_reach", F.max("end").over(before)).filter("_reach is null or end > _reach").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("random"))
     return found.join(kept, "_row", "left").select(F.col("_id").alias(id_col), spans.alias("base"), F.coalesce("random", F.array().cast(_SPAN)).alias("random"))
 
 

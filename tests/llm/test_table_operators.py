@@ -212,6 +212,28 @@ def test_random_tokens_are_told_from_words(spark):
     assert 0.01 < np.mean(np.array(p) < 0.05) < 0.12  # p-values of random tokens are about uniform
 
 
+def test_random_tokens_beside_names_and_in_paths(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, more: "".join(rng.choice(letters + more) for _ in range(n))
+    forms = [
+        ("+/", "aws_secret_access_key=", " end"), ("+/", "https://host.example/f?sig=", "&v=1"), ("-_", "export client_credential=", "\n"), ("+/", "auth=", "== end"),
+        ("-_", "https://host.example/some-path/more_path/", "/tail"), ("", "https://host.example/a-long-winded/path-of-words/", " end"),
+    ]
+    rows, want = [], {}
+    for i in range(120):
+        more, head, tail = forms[i % 6]
+        value = key(48, more)
+        rows.append((i, head + value + tail))
+        want[i] = (len(head), len(head) + len(value) + 2 * tail.startswith("=="))
+    rows.append((500, "some_name_of_many_words_in_a_row=another_name_of_many_words_in_a_row"))
+    got = {r.doc_id: [(s.start, s.end) for s in r.random] for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for form in range(6):  # the value lies in one span; in a path of letters alone, that may be the path's
+        assert sum(any(a <= want[i][0] and want[i][1] <= b for a, b in got[i]) for i in range(form, 120, 6)) >= 17
+    assert sum(want[i] in got[i] for i in range(120) if i % 6 < 4) >= 68
+    assert not got[500] and not any(a <= c and d <= b for x in got.values() for a, b in x for c, d in x if (a, b) != (c, d))
+
+
 # classifiers
 
 
