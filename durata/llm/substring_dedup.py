@@ -53,7 +53,7 @@ class _Units:
     def __init__(self, words: Words, width: int):
         self.start, key, at = anchors(words.hash, words.offsets, width)
         new = np.ones(len(at), dtype=bool)
-        new[1:] = at[1:] != at[:-1]
+        new[1:] = (at[1:] != at[:-1]) | (key[1:] != key[:-1])  # keys of different rounds may lie at one place
         heads = np.flatnonzero(new)
         self.first = np.append(heads, len(at))
         self.key = key[heads]

@@ -70,6 +70,23 @@ def test_repeated_passages(spark, width):
         assert marks == gone
 
 
+@pytest.mark.parametrize("width", [7, 35])
+def test_repeated_passages_at_long_runs(spark, width):
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):  # a passage that starts before or in a run or a period-two stretch, after different words, read by two texts
+        x, y = f"x{i}", f"y{i}"
+        stretch = ([x] if i % 2 else [x, y]) * 2 * width
+        head = [f"h{i}.{j}" for j in range(rng.randint(0, 3))]
+        passage = head + stretch[: rng.randint(width - len(head), width + 1)] + [f"t{i}.{j}" for j in range(rng.randint(0, 2))]
+        for side in "ab":
+            before = [f"{side}{i}.{j}" for j in range(rng.randint(1, 4))]
+            rows.append((len(rows), " ".join([*before, *passage, f"{side}{i}.end"])))
+    want = brute_removed(rows, width)
+    got = repeated_passages(docs(spark, rows).repartition(3), width=width, block_bytes=2000).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == {i: w[:3] for i, w in want.items()}
+
+
 def test_repeated_passages_of_nothing(spark):
     assert repeated_passages(docs(spark, [])).collect() == []
     with pytest.raises(ValueError):
