@@ -221,6 +221,25 @@ def test_benchmark_matches(spark, block_items):
     assert len(got) == len({(r.doc_id, r.item_id) for r in got})
 
 
+def test_benchmark_matches_with_repeated_tokens(spark):
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randint(0, 10**6)}"
+    items, rows = [], [(0, "_ " * 300), (1, "a b " * 200)]
+    for i in range(40):
+        n = rng.randint(40, 120)
+        tail = (n - 4) // 9  # the most that leaves a similarity of 0.8
+        shared, other = [word() for _ in range(n - tail)], [word() for _ in range(tail)]
+        run = [rng.choice(["_", "-", "Same"])] * tail
+        items.append((i, " ".join(shared + (run if i % 4 == 0 else other))))
+        rows.append((100 + i, " ".join(["lead", "words", *shared, *(other if i % 4 == 0 else run), *run[: i % 3], "end"])))
+        rows.append((200 + i, " ".join([*shared, *run, word()][: n - i % 2 - 1])))
+    items += [(50, "_ " * 60), (51, "a b " * 30), (52, "a b c " * 20 + "_ " * 5)]
+    want = brute_matches(rows, items)
+    got = benchmark_matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words) for r in got} == want
+    assert sum((100 + i, i) in want for i in range(40)) == 40
+
+
 def test_benchmark_edges(spark):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     d = docs(spark, [(1, "x a b c d e f g y"), (1, "x a b c d e f g y"), (None, "a b c d e f g"), (3, "clean text")])
