@@ -196,8 +196,7 @@ def _trained(spark, d):
 
     rows = intervals(spark, d).withColumn("age", years_between(F.col("start_date"), F.col("build_date")))
     train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date").isin(1998, 1999))
-    periods = PP.features(PP.sampled_periods(train, "row_id", 0.2, cap=50))
-    return rows, H.fit_hazard(periods, weight="weight")
+    return rows, H.fit_hazard(PP.features(PP.person_periods(train)))
 
 
 @query()
@@ -281,7 +280,7 @@ def p17_scope_comparison(spark, d):
     scopes = {"own": F.col("layout") == "N", "all": F.lit(True)}
     out = None
     for name, scope in scopes.items():
-        model = H.fit_hazard(PP.features(PP.sampled_periods(train.filter(scope), "row_id", 0.2, cap=50)), weight="weight")
+        model = H.fit_hazard(PP.features(PP.bounded_periods(train.filter(scope), "row_id")), weight="weight")
         part = H.evaluate(model, test, "row_id", [7], [14]).select(F.lit(name).alias("scope"), "n", *[_r(c, 6).alias(c) for c in ("predicted", "actual", "brier", "auc")])
         out = part if out is None else out.unionByName(part)
     return out

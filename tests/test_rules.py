@@ -228,3 +228,23 @@ def test_sessions_stream_and_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.user_id, r.events) for r in spark.table("sessions_out").collect()} == want
+
+
+def test_hazards_fit_on_all_days(spark, monkeypatch):
+    from durata.operators import hazard
+    from durata.plans import q_time
+
+    seen = []
+    monkeypatch.setattr(hazard, "fit_hazard", lambda periods, *a, **k: seen.append(periods))
+    rows, _ = q_time._trained(spark, "/root/testdata/sf0.001")
+    train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date").isin(1998, 1999))
+    assert seen[0].count() == train.agg(F.sum(F.col("t") + 1)).first()[0]
+
+
+def test_bounded_periods(spark):
+    df = spark.createDataFrame([(i, 9, i % 2) for i in range(200)], "row_id long, t int, event int")
+    whole = PP.bounded_periods(df, "row_id", cap=50)
+    assert whole.count() == 2000 and whole.filter("weight <> 1").isEmpty()
+    some = PP.bounded_periods(df, "row_id", cap=50, most=950)
+    assert some.filter("event_in_day = 1").count() == 100 and 800 < some.filter("event_in_day = 0").count() < 1100
+    assert PP.bounded_periods(df.limit(0), "row_id").isEmpty()
