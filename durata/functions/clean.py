@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 _WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "　"
 _PLAIN = "".join(chr(0x21 + i) for i in range(94)) + " "
 # Texts that stand for a missing identifier.
-MISSING_IDS = ("", "0", "nan", "none", "null", "<na>", "-", "unknown")
+MISSING_IDS = ("", "0", "nan", "none", "null", "<na>", "-", "不明")
 
 
 def text(c: Column) -> Column:

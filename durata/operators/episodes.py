@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import entity_key
 from .prepare import require
 
 _ORDER = ["start_date", "end_date", "row_id"]
+_SEGMENT = ["gap", "_part", "segment"]
 
 
 def segments(df: DataFrame, gaps: list[int] = (1,)) -> DataFrame:
@@ -16,58 +17,82 @@ def segments(df: DataFrame, gaps: list[int] = (1,)) -> DataFrame:
 
     A segment begins where a start lies more than ``gap`` days after the latest
     end so far.  Rows without dates or with end before start are left out; rows
-    without an entity have a null key and stay single.  All gaps share a shuffle.
+    without an entity have a null key and stay single.  The latest end does not
+    depend on the gap, so all gaps share one shuffle and one sort, and rows are
+    multiplied only afterwards.
     """
     df = require(df, ["row_id", "building_id", "unit_id", "start_date", "end_date"])
     if any(g < 0 for g in gaps):
         raise ValueError("gaps must not be negative")
     rows = df.filter("start_date is not null and end_date is not null and end_date >= start_date")
-    rows = rows.withColumn("key", entity_key(F.col("building_id"), F.col("unit_id"))).withColumn("gap", F.explode(F.array(*[F.lit(g) for g in gaps])))
+    rows = rows.withColumn("key", entity_key(F.col("building_id"), F.col("unit_id")))
     rows = rows.withColumn("_part", F.coalesce("key", F.concat(F.lit("row "), "row_id")))
-    w = Window.partitionBy("gap", "_part").orderBy(*_ORDER)
+    w = Window.partitionBy("_part").orderBy(*_ORDER)
     latest = F.max("end_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.coalesce((F.col("start_date") > F.date_add(latest, F.col("gap"))).cast("int"), F.lit(0)))
-    return rows.withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rows = rows.withColumn("_apart", F.datediff("start_date", latest))
+    number = lambda g: F.count_if(F.col("_apart") > g).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({f"_s{g}": number(g) for g in gaps})
+    grid = F.array(*[F.struct(F.lit(g).alias("gap"), F.col(f"_s{g}").alias("segment")) for g in gaps])
+    return rows.select("*", F.inline(grid)).drop("_apart", *[f"_s{g}" for g in gaps])
 
 
-def audit(parts: DataFrame, area_tolerance: float = 0.5) -> DataFrame:
+def _spread(column: str, over=None) -> Column:
+    """Whether a column has more than one value; nulls do not count."""
+    low, high = (F.min(column), F.max(column)) if over is None else (F.min(column).over(over), F.max(column).over(over))
+    return F.coalesce(low < high, F.lit(False))
+
+
+def audit(parts: DataFrame, area_tolerance: float = 2.0) -> DataFrame:
     """One row a segment of a known entity: its size and conflicts.  More than one category or too wide a range blocks."""
-    out = parts.filter("key is not null").groupBy("gap", "key", "segment").agg(
-        F.count("*").alias("rows"), F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"),
-        (F.size(F.collect_set("layout")) > 1).alias("category_conflict"),
-        F.coalesce(F.max("area") - F.min("area") > area_tolerance, F.lit(False)).alias("area_conflict"),
-        (F.size(F.collect_set("station")) > 1).alias("secondary_differs"),
+    out = parts.filter("key is not null").groupBy(*_SEGMENT).agg(
+        F.count("*").alias("rows"), F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"), _spread("layout").alias("category_conflict"),
+        F.coalesce(F.max("area") - F.min("area") > area_tolerance, F.lit(False)).alias("area_conflict"), _spread("station").alias("secondary_differs"),
     )
-    return out.withColumn("blocked", F.col("category_conflict") | F.col("area_conflict"))
+    return out.withColumnRenamed("_part", "key").withColumn("blocked", F.col("category_conflict") | F.col("area_conflict"))
 
 
-def episodes(df: DataFrame, gaps: list[int] = (1,), area_tolerance: float = 0.5) -> DataFrame:
+def episodes(df: DataFrame, gaps: list[int] = (1,), area_tolerance: float = 2.0) -> DataFrame:
     """Merged intervals: the first row's attributes, least start, latest end, rows merged and a status.
 
     Blocked segments give their rows unchanged (``conflicting_metadata``), rows
-    without an entity too (``missing_id``).  The conflict flags are aggregates over
-    the segment's own partition, so one exchange serves all steps.
+    without an entity too (``missing_id``).  What a segment needs are aggregates
+    over its own partition, so one exchange serves all steps, and only the columns
+    that are asked for travel.
     """
     parts = segments(df, gaps)
-    own = Window.partitionBy("gap", "_part", "segment")
-    conflict = (F.min("layout").over(own) < F.max("layout").over(own)) | (F.max("area").over(own) - F.min("area").over(own) > area_tolerance)
-    parts = parts.withColumn("_blocked", F.coalesce(conflict, F.lit(False)) & F.col("key").isNotNull())
-    unit = F.when(F.col("_blocked"), F.col("row_id")).otherwise(F.lit(""))
-    kept = [c for c in df.columns if c not in ("start_date", "end_date")]
-    first = F.min_by(F.struct(*kept), F.struct(*_ORDER))
-    out = parts.groupBy("gap", "_part", "segment", unit.alias("_unit")).agg(
-        first.alias("f"), F.first("key").alias("entity"), F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"), F.count("*").alias("rows"), F.first("_blocked").alias("_blocked")
+    own = Window.partitionBy(*_SEGMENT)
+    wide = F.coalesce(F.max("area").over(own) - F.min("area").over(own) > area_tolerance, F.lit(False))
+    parts = parts.withColumns(
+        {
+            "_no": F.row_number().over(own.orderBy(*_ORDER)), "rows": F.count("*").over(own), "_last": F.max("end_date").over(own),
+            "_blocked": (_spread("layout", own) | wide) & F.col("key").isNotNull(),
+        }
     )
-    status = F.when(F.col("entity").isNull(), "missing_id").when(F.col("_blocked"), "conflicting_metadata").when(F.col("rows") > 1, "merged").otherwise("single")
+    out = parts.filter("_blocked or _no = 1")
+    status = F.when(F.col("key").isNull(), "missing_id").when(F.col("_blocked"), "conflicting_metadata").when(F.col("rows") > 1, "merged").otherwise("single")
+    kept = [c for c in df.columns if c not in ("start_date", "end_date", "duration", "start_year", "start_month", "rows", "status", "gap", "entity")]
+    out = out.withColumns({"status": status, "end_date": F.when(F.col("_blocked"), F.col("end_date")).otherwise(F.col("_last")), "rows": F.when(F.col("_blocked"), F.lit(1)).otherwise(F.col("rows"))})
     return out.select(
-        "gap", "entity", "f.*", "start_date", "end_date", F.datediff("end_date", "start_date").alias("duration"), F.year("start_date").alias("start_year"),
-        F.month("start_date").alias("start_month"), "rows", status.alias("status"),
+        "gap", F.col("key").alias("entity"), *kept, "start_date", "end_date", F.datediff("end_date", "start_date").alias("duration"), F.year("start_date").alias("start_year"),
+        F.month("start_date").alias("start_month"), "rows", "status",
     )
 
 
-def sensitivity(df: DataFrame, gaps: list[int] = (0, 1, 7, 14)) -> DataFrame:
-    """Per gap: rows, episodes, merged and blocked segments, mean duration."""
-    e = episodes(df, gaps)
-    counts = e.groupBy("gap").agg(F.sum("rows").alias("rows"), F.count("*").alias("episodes"), F.count_if(F.col("status") == "merged").alias("merged"), F.sum("duration").alias("days"))
-    blocked = audit(segments(df, gaps)).groupBy("gap").agg(F.count("*").alias("segments"), F.count_if(F.col("rows") > 1).alias("several"), F.count_if("blocked").alias("blocked"))
-    return counts.join(blocked, "gap").select("gap", "rows", "episodes", "merged", "segments", "several", "blocked", (F.col("days") / F.col("episodes")).alias("mean_days"))
+def sensitivity(df: DataFrame, gaps: list[int] = (0, 1, 7, 14), area_tolerance: float = 2.0) -> DataFrame:
+    """Per gap: rows, episodes, merged and blocked segments, mean duration.
+
+    One segmentation of the few columns that count; segments are aggregated where they lie.
+    """
+    narrow = df.select("row_id", "building_id", "unit_id", "start_date", "end_date", "layout", "area")
+    days = F.datediff("end_date", "start_date")
+    s = segments(narrow, gaps).groupBy(*_SEGMENT).agg(
+        F.count("*").alias("n"), F.first("key").isNotNull().alias("known"), F.sum(days).alias("single_days"), F.datediff(F.max("end_date"), F.min("start_date")).alias("merged_days"),
+        _spread("layout").alias("kinds"), F.coalesce(F.max("area") - F.min("area") > area_tolerance, F.lit(False)).alias("wide"),
+    )
+    s = s.withColumn("blocked", F.col("known") & (F.col("kinds") | F.col("wide")))
+    out = s.groupBy("gap").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(1)).alias("episodes"), F.count_if(~F.col("blocked") & (F.col("n") > 1)).alias("merged"),
+        F.count_if("known").alias("segments"), F.count_if(F.col("known") & (F.col("n") > 1)).alias("several"), F.count_if("blocked").alias("blocked"),
+        F.sum(F.when(F.col("blocked"), F.col("single_days")).otherwise(F.col("merged_days"))).alias("days"),
+    )
+    return out.select("gap", "rows", "episodes", "merged", "segments", "several", "blocked", (F.col("days") / F.col("episodes")).alias("mean_days"))

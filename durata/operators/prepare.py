@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean as C
 
 # Kinds that make a category.
-KINDS = ["R", "K", "DK", "LK", "LDK", "SK", "SDK", "SLK", "SLDK"]
+KINDS = ["R", "K", "DK", "LK", "LDK", "SK", "SDK", "SLDK"]
 
 
 def require(df: DataFrame, columns: list[str], optional: list[str] = ()) -> DataFrame:
@@ -74,6 +74,19 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(n)
 
 
+def search(df: DataFrame, equal: dict[str, str], most: dict[str, float], text: str = "", text_columns: list[str] = ()) -> DataFrame:
+    """Rows that have the given values, stay within upper bounds (nulls do not), and hold ``text`` in one of the columns, whatever its case."""
+    keep = F.lit(True)
+    for c, v in equal.items():
+        keep = keep & (F.col(c) == v)
+    for c, v in most.items():
+        keep = keep & (F.col(c) <= v)
+    if text and text_columns:
+        held = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(text.lower()) for c in text_columns]
+        keep = keep & F.greatest(*held, F.lit(False))
+    return df.filter(keep)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """Row count and an order-free content sum, to tell whether two tables hold the same rows."""
     h = F.xxhash64(*sorted(df.columns)).cast("decimal(20,0)")

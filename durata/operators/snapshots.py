@@ -44,12 +44,24 @@ def _all(conditions: list):
     return out
 
 
+def _any(conditions: list):
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
 def look_back(df: DataFrame, key: list[str], days: int = 365, order: str = "row_id") -> DataFrame:
-    """``recent``: starts of the key in the ``days`` before; ``prev_length`` and ``prev_gap``: of the previous interval, if it ended by now and not longer ago."""
-    rows = df.withColumn("_day", F.unix_date("start_date"))
-    w = Window.partitionBy(*key)
+    """``recent``: starts of the key in the ``days`` before; ``prev_length`` and ``prev_gap``: of the previous interval, if it ended by now and not longer ago.
+
+    Rows with a null in the key have no history: 0 and nulls.  They are dealt out
+    by ``order``, so that they are no partition of their own.
+    """
+    unknown = _any([F.col(k).isNull() for k in key])
+    rows = df.withColumns({"_day": F.unix_date("start_date"), "_alone": F.when(unknown, F.col(order).cast("string"))})
+    w = Window.partitionBy(*key, "_alone")
     before = w.orderBy("start_date", order)
     rows = rows.withColumns({"recent": F.count("*").over(w.orderBy("_day").rangeBetween(-days, -1)), "_ps": F.lag("start_date").over(before), "_pe": F.lag("end_date").over(before)})
     gap = F.datediff("start_date", "_pe")
-    known = (gap >= 0) & (gap <= days)
-    return rows.withColumns({"prev_length": F.when(known, F.datediff("_pe", "_ps")), "prev_gap": F.when(known, gap)}).drop("_day", "_ps", "_pe")
+    known = (gap >= 0) & (gap <= days) & F.col("_alone").isNull()
+    return rows.withColumns({"recent": F.when(F.col("_alone").isNull(), F.col("recent")).otherwise(0), "prev_length": F.when(known, F.datediff("_pe", "_ps")), "prev_gap": F.when(known, gap)}).drop("_day", "_ps", "_pe", "_alone")

@@ -242,7 +242,7 @@ def l04_risk_lookup(spark, d):
     return L.risk_lookup(rows.filter(F.year("snapshot") == 2000), groups, ["city", "rent_band"], 4).select("row_id", "snapshot", "rate", "status")
 
 
-@query(f"WITH {_CAND}, g AS (SELECT city, rent_band, count(*) AS n, sum(y) / count(*)::DOUBLE AS rate FROM tr GROUP BY ALL) SELECT city, rent_band, n, rate FROM g WHERE city IN ('FRANCE', 'GERMANY', 'JAPAN') ORDER BY rate DESC, city, rent_band")
+@query(f"WITH {_CAND}, g AS (SELECT city, rent_band, count(*) AS n, sum(y) / count(*)::DOUBLE AS rate FROM tr GROUP BY ALL) SELECT city, rent_band, n, rate FROM g WHERE city IN ('NATION_8', 'NATION_12', 'NATION_19') ORDER BY rate DESC, city, rent_band")
 def l06_group_filter(spark, d):
     groups = L.group_table(_snaps(spark, d).filter(F.year("snapshot") == 1999), ["city", "rent_band"], "y", 0.5)
-    return groups.filter(F.col("city").isin("FRANCE", "GERMANY", "JAPAN")).select("city", "rent_band", "n", "rate").orderBy(F.desc("rate"), "city", "rent_band")
+    return groups.filter(F.col("city").isin("NATION_8", "NATION_12", "NATION_19")).select("city", "rent_band", "n", "rate").orderBy(F.desc("rate"), "city", "rent_band")

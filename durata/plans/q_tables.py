@@ -16,7 +16,7 @@ _DUR = "CAST(end_date - start_date AS BIGINT)"
 _NUM = "CASE WHEN regexp_full_match({0}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN TRY_CAST({0} AS DOUBLE) END"
 _TXT = "trim(translate(coalesce({0}, ''), 'ＫＬＤ　', 'KLD '))"
 _KIND = "upper(replace(" + _TXT.format("madori_kind_all_label") + ", ' ', ''))"
-_KINDS = "('R','K','DK','LK','LDK','SK','SDK','SLK','SLDK')"
+_KINDS = "('R','K','DK','LK','LDK','SK','SDK','SLDK')"
 _ROOM = _NUM.format("madori_number_all")
 _YM = "CASE WHEN regexp_full_match(regexp_replace(kenchiku_date, '\\.0$', ''), '\\d{6}') THEN CAST(try_strptime(regexp_replace(kenchiku_date, '\\.0$', '') || '01', '%Y%m%d') AS DATE) END"
 
@@ -29,24 +29,24 @@ def _iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals(spark, sf_dir).withColumn("duration", F.datediff("end_date", "start_date"))
 
 
-@query("SELECT row_id, id, city, start_date FROM iv WHERE city = 'FRANCE'")
+@query("SELECT row_id, id, city, start_date FROM iv WHERE city = 'NATION_8'")
 def s02_region_extract(spark, d):
-    return intervals(spark, d).filter(C.text(F.col("city")) == "FRANCE").select("row_id", "id", "city", "start_date")
+    return intervals(spark, d).filter(C.text(F.col("city")) == "NATION_8").select("row_id", "id", "city", "start_date")
 
 
-@query("SELECT count(*) AS seen, count(*) FILTER (city = 'FRANCE') AS kept FROM iv")
+@query("SELECT count(*) AS seen, count(*) FILTER (city = 'NATION_8') AS kept FROM iv")
 def s02_region_extract_counts(spark, d):
-    return intervals(spark, d).agg(F.count("*").alias("seen"), F.count_if(C.text(F.col("city")) == "FRANCE").alias("kept"))
+    return intervals(spark, d).agg(F.count("*").alias("seen"), F.count_if(C.text(F.col("city")) == "NATION_8").alias("kept"))
 
 
-@query("SELECT row_id, city FROM iv WHERE city = 'GERMANY' AND layout = 'A'")
+@query("SELECT row_id, city FROM iv WHERE city = 'NATION_12' AND layout = 'A'")
 def s03_plain_extract(spark, d):
-    return intervals(spark, d).filter((F.col("city") == "GERMANY") & (F.col("layout") == "A")).select("row_id", "city")
+    return intervals(spark, d).filter((F.col("city") == "NATION_12") & (F.col("layout") == "A")).select("row_id", "city")
 
 
-@query("SELECT row_id, city, pub_start_date FROM raw WHERE NOT ends_with(city, 'IA') AND substr(pub_start_date, 1, 4) IN ('1998', '1999')")
+@query("SELECT row_id, city, pub_start_date FROM raw WHERE NOT ends_with(city, '8') AND substr(pub_start_date, 1, 4) IN ('1998', '1999')")
 def s04_cities_and_years(spark, d):
-    keep = ~F.col("city").endswith("IA") & F.substring("pub_start_date", 1, 4).isin("1998", "1999")
+    keep = ~F.col("city").endswith("8") & F.substring("pub_start_date", 1, 4).isin("1998", "1999")
     return raw_text(spark, d).filter(keep).select("row_id", "city", "pub_start_date")
 
 
@@ -60,9 +60,9 @@ def s11_fingerprint_rows(spark, d):
     return P.fingerprint(intervals(spark, d)).select("rows")
 
 
-@query("SELECT row_id, id, city, layout, rent FROM iv WHERE id = '10'")
+@query("SELECT row_id, id, city, layout, rent FROM iv WHERE id = '13'")
 def s12_keyed_lookup(spark, d):
-    return intervals(spark, d).filter(F.col("id") == "10").select("row_id", "id", "city", "layout", "rent")
+    return intervals(spark, d).filter(F.col("id") == "13").select("row_id", "id", "city", "layout", "rent")
 
 
 @query(f"SELECT row_id, {_TXT.format('madori_kind_all_label')} AS kind FROM raw")
@@ -185,9 +185,14 @@ def f06_top_values(spark, d):
     return P.top_values(intervals(spark, d), "city", 6)
 
 
-@query("SELECT row_id, city FROM iv WHERE layout = 'A' AND rent <= 20000 AND contains(lower(city), 'an')")
+@query(
+    """WITH a AS (SELECT *, (year(start_date) - year(build_date)) * 12 + month(start_date) - month(build_date) AS m FROM iv)
+    SELECT row_id, city, station FROM a WHERE layout = 'A' AND rent <= 60000 AND m >= 0 AND m / 12.0::DOUBLE <= 0.25 AND (contains(lower(city), 'on_1') OR contains(lower(station), 'on_1'))"""
+)
 def f07_search(spark, d):
-    return intervals(spark, d).filter((F.col("layout") == "A") & (F.col("rent") <= 20000) & F.lower("city").contains("an")).select("row_id", "city")
+    """Equality, upper bounds of rent and age, and a text that either of two columns holds."""
+    rows = intervals(spark, d).withColumn("age", C.years_between(F.col("start_date"), F.col("build_date")))
+    return P.search(rows, {"layout": "A"}, {"rent": 60000, "age": 0.25}, "on_1", ["city", "station"]).select("row_id", "city", "station")
 
 
 _BAND = """

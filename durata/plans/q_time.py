@@ -6,10 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.clean import years_between
 from ..operators import episodes as I
 from ..operators import periods as PP
 from ..operators import snapshots as N
 from ..operators import survival as K
+from ..operators.prepare import frequent_keys
 from ..sources.views import intervals
 from .registry import query
 
@@ -34,17 +36,17 @@ def i01_segments(spark, d):
 
 @query(f"WITH {_ONE} SELECT key, segment, rows, start_date, end_date, category_conflict, area_conflict, secondary_differs, category_conflict OR area_conflict AS blocked FROM aud WHERE key IS NOT NULL")
 def i02_i05_segment_audit(spark, d):
-    return I.audit(I.segments(intervals(spark, d))).drop("gap")
+    return I.audit(I.segments(intervals(spark, d)), 0.5).drop("gap")
 
 
 @query(f"WITH {_ONE} SELECT entity, row_id, layout, start_date, end_date, (end_date - start_date)::INT AS duration, rows, CASE WHEN entity IS NULL THEN 'missing_id' WHEN blocked THEN 'conflicting_metadata' WHEN rows > 1 THEN 'merged' ELSE 'single' END AS status FROM epi")
 def i03_i04_episodes(spark, d):
-    return I.episodes(intervals(spark, d)).select("entity", "row_id", "layout", "start_date", "end_date", "duration", "rows", "status")
+    return I.episodes(intervals(spark, d), area_tolerance=0.5).select("entity", "row_id", "layout", "start_date", "end_date", "duration", "rows", "status")
 
 
 @query(f"WITH {_FOUR} SELECT e.gap, e.rows::BIGINT AS rows, episodes, merged, segments, several, blocked, round(days / episodes, 6) AS mean_days FROM (SELECT gap, sum(rows) AS rows, count(*) AS episodes, count(*) FILTER (NOT blocked AND rows > 1) AS merged, sum(end_date - start_date)::DOUBLE AS days FROM epi GROUP BY gap) e JOIN (SELECT gap, count(*) AS segments, count(*) FILTER (rows > 1) AS several, count(*) FILTER (category_conflict OR area_conflict) AS blocked FROM aud WHERE key IS NOT NULL GROUP BY gap) a ON a.gap = e.gap")
 def i06_gap_sensitivity(spark, d):
-    return I.sensitivity(intervals(spark, d)).withColumn("mean_days", _r("mean_days", 6))
+    return I.sensitivity(intervals(spark, d), area_tolerance=0.5).withColumn("mean_days", _r("mean_days", 6))
 
 
 _CENS = """
@@ -64,6 +66,10 @@ def _censored(spark, d):
     return K.censored_at(intervals(spark, d), OBS_END)
 
 
+def _aged(rows):
+    return rows.withColumn("age", years_between(F.col("start_date"), F.col("build_date")))
+
+
 @query(f"WITH {_C} SELECT row_id, t, event FROM cens")
 def k00_censored(spark, d):
     return _censored(spark, d).select("row_id", "t", "event")
@@ -157,12 +163,25 @@ def p04_landmark_labels(spark, d):
 _AGE = "((year(start_date) - year(build_date)) * 12 + month(start_date) - month(build_date)) / 12.0::DOUBLE"
 
 
-@query(f"WITH {_C}, f AS (SELECT *, CASE WHEN {_AGE} >= 0 THEN {_AGE} END AS age, t AS day FROM cens) SELECT row_id, round(ln(1 + rent), 6) AS log_rent, CASE WHEN day <= 0 THEN '0' WHEN day <= 3 THEN '1-3' WHEN day <= 7 THEN '4-7' WHEN day <= 14 THEN '8-14' WHEN day <= 30 THEN '15-30' WHEN day <= 60 THEN '31-60' WHEN day <= 90 THEN '61-90' ELSE '91+' END AS time_band, CASE WHEN age IS NULL THEN 'missing' WHEN age >= 4 THEN '4+' ELSE floor(age)::INT::STRING END AS age_band, layout AS category, CASE WHEN age IS NULL THEN 'missing' WHEN age >= 4 THEN '4+' ELSE floor(age)::INT::STRING END || ' × ' || layout AS age_category FROM f")
-def p05_features(spark, d):
-    from ..functions.clean import years_between
+_TIME_BAND = """
+CASE WHEN day <= 6 THEN '0-6' WHEN day <= 13 THEN '7-13' WHEN day <= 29 THEN '14-29' WHEN day <= 59 THEN '30-59'
+     WHEN day <= 89 THEN '60-89' WHEN day <= 179 THEN '90-179' WHEN day <= 364 THEN '180-364' ELSE '365+' END"""
+_AGE_BAND = """
+CASE WHEN age >= 40 THEN '40+' WHEN age >= 30 THEN '30-40' WHEN age >= 20 THEN '20-30' WHEN age >= 10 THEN '10-20' WHEN age >= 0 THEN '0-10' END"""
+_FINE_AGE = "CASE WHEN age >= 4 THEN '4+' WHEN age >= 3 THEN '3-4' WHEN age >= 2 THEN '2-3' WHEN age >= 1 THEN '1-2' WHEN age >= 0 THEN '0-1' END"
 
-    rows = _censored(spark, d).withColumns({"age": years_between(F.col("start_date"), F.col("build_date")), "time_day": F.col("t")})
-    return PP.features(rows).select("row_id", _r("log_rent", 6).alias("log_rent"), "time_band", "age_band", "category", "age_category")
+
+@query(
+    f"""WITH {_C}, f AS (SELECT *, CASE WHEN {_AGE} >= 0 THEN {_AGE} END AS age, t AS day FROM cens),
+    b AS (SELECT *, {_TIME_BAND} AS time_band, {_AGE_BAND} AS ab, {_FINE_AGE} AS fine FROM f)
+    SELECT row_id, round(ln(1 + rent), 6) AS log_rent, time_band, coalesce(ab, 'missing') AS age_band, layout AS category,
+           coalesce(ab, 'missing') || ' × ' || layout AS age_category, coalesce(fine, 'missing') AS fine_age_band FROM b"""
+)
+def p05_features(spark, d):
+    """The usual bands, and age bands by the year, since the rows of this view are young."""
+    rows = _aged(_censored(spark, d)).withColumn("time_day", F.col("t"))
+    out = PP.features(rows).withColumn("fine_age_band", F.coalesce(PP.age_band(F.col("age"), [0, 1, 2, 3, 4]), F.lit("missing")))
+    return out.select("row_id", _r("log_rent", 6).alias("log_rent"), "time_band", "age_band", "category", "age_category", "fine_age_band")
 
 
 @query("WITH h AS (SELECT row_id, layout, 0.01::DOUBLE * (1 + day % 3) AS h FROM (SELECT row_id, layout, unnest(range(4, 11))::INT AS day FROM iv)) SELECT row_id, round(1 - exp(sum(ln(1 - h))), 9) AS p FROM h GROUP BY row_id")
@@ -185,16 +204,23 @@ def n02_active_count(spark, d):
     return N.active_count(intervals(spark, d), ["city"]).select("row_id", "active")
 
 
-@query("SELECT row_id, count(*) OVER (PARTITION BY building_id ORDER BY (start_date - DATE '1970-01-01') RANGE BETWEEN 365 PRECEDING AND 1 PRECEDING) AS recent, CASE WHEN start_date - pe BETWEEN 0 AND 365 THEN (pe - ps)::INT END AS prev_length, CASE WHEN start_date - pe BETWEEN 0 AND 365 THEN (start_date - pe)::INT END AS prev_gap FROM (SELECT *, lag(start_date) OVER w AS ps, lag(end_date) OVER w AS pe FROM iv WINDOW w AS (PARTITION BY building_id ORDER BY start_date, row_id))")
+@query(
+    """WITH k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY building_id) <= 620 AND building_id NOT IN ('1', '3') THEN building_id END AS known FROM iv),
+    p AS (SELECT *, lag(start_date) OVER w AS ps, lag(end_date) OVER w AS pe FROM k WINDOW w AS (PARTITION BY known ORDER BY start_date, row_id)),
+    r AS (SELECT *, count(*) OVER (PARTITION BY known ORDER BY (start_date - DATE '1970-01-01') RANGE BETWEEN 365 PRECEDING AND 1 PRECEDING) AS c,
+                 known IS NOT NULL AND start_date - pe BETWEEN 0 AND 365 AS ok FROM p)
+    SELECT row_id, CASE WHEN known IS NULL THEN 0 ELSE c END AS recent, CASE WHEN ok THEN (pe - ps)::INT END AS prev_length, CASE WHEN ok THEN (start_date - pe)::INT END AS prev_gap FROM r"""
+)
 def n03_n04_look_back(spark, d):
-    return N.look_back(intervals(spark, d), ["building_id"]).select("row_id", "recent", "prev_length", "prev_gap")
+    """Placeholder keys, and keys of very many rows, have no history."""
+    rows = frequent_keys(intervals(spark, d), "building_id", 620, ["1", "3"])
+    return N.look_back(rows, ["known"]).select("row_id", "recent", "prev_length", "prev_gap")
 
 
 def _trained(spark, d):
-    from ..functions.clean import years_between
     from ..operators import hazard as H
 
-    rows = intervals(spark, d).withColumn("age", years_between(F.col("start_date"), F.col("build_date")))
+    rows = _aged(intervals(spark, d))
     train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date").isin(1998, 1999))
     return rows, H.fit_hazard(PP.features(PP.person_periods(train)))
 
@@ -248,10 +274,9 @@ def g25_same_condition_table(spark, d):
 
 @query()
 def p08_boosted_hazard(spark, d):
-    from ..functions.clean import years_between
     from ..operators import hazard as H
 
-    rows = intervals(spark, d).withColumn("age", years_between(F.col("start_date"), F.col("build_date")))
+    rows = _aged(intervals(spark, d))
     train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date") == 1999)
     model = H.fit_boosted(PP.features(PP.sampled_periods(train, "row_id", 0.2, cap=50)), rounds=3, depth=4, weight="weight")
     live = N.snapshot(rows, [dt.date(2000, 4, 1)], [14], OBS_END)
@@ -271,10 +296,9 @@ def p09_static_classifier(spark, d):
 
 @query()
 def p17_scope_comparison(spark, d):
-    from ..functions.clean import years_between
     from ..operators import hazard as H
 
-    rows = intervals(spark, d).withColumn("age", years_between(F.col("start_date"), F.col("build_date")))
+    rows = _aged(intervals(spark, d))
     train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date") == 1999)
     test = K.censored_at(rows, OBS_END, [2000]).filter("layout = 'N'")
     scopes = {"own": F.col("layout") == "N", "all": F.lit(True)}

@@ -45,4 +45,5 @@ def test_query(spark, db, name):
     result = db.execute(plans.oracle_sql()[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == sorted(df.columns)
+    assert rows, "a query that returns nothing proves nothing"
     assert as_rows(df.columns, rows) == as_rows(names, result.fetchall())

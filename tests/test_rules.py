@@ -84,10 +84,33 @@ def test_episodes(spark):
     d = lambda n: str(day(n))
     assert got == sorted([("b::1", d(0), d(20), 3, "merged"), ("b::1", d(40), d(50), 1, "single"), ("b::2", d(0), d(10), 1, "conflicting_metadata"), ("b::2", d(5), d(12), 1, "conflicting_metadata"), ("", d(0), d(5), 1, "missing_id"), ("", d(0), d(5), 1, "missing_id")])
     audit = {(r.key, r.segment): (r.blocked, r.secondary_differs) for r in I.audit(I.segments(df)).collect()}
+    assert {r.gap: (r.rows, r.episodes, r.segments, r.blocked) for r in I.sensitivity(df, [0, 1]).collect()} == {0: (8, 7, 4, 1), 1: (8, 6, 3, 1)}
     assert audit == {("b::1", 0): (False, True), ("b::1", 1): (False, False), ("b::2", 0): (True, False)}
     assert sorted(map(str, I.episodes(df.repartition(7)).collect())) == sorted(map(str, I.episodes(df).collect()))
 
 
+def test_area_may_differ_by_two(spark):
+    df = intervals(spark, [("b", u, "A", 20.0, "x", day(0), day(9)) for u in "12"] + [("b", "1", "A", 22.0, "x", day(3), day(9)), ("b", "2", "A", 22.5, "x", day(3), day(9))])
+    assert sorted(r.status for r in I.episodes(df).collect()) == ["conflicting_metadata", "conflicting_metadata", "merged"]
+    unknown = intervals(spark, [("不明", "1", "A", 20.0, "x", day(0), day(9)), ("不明", "1", "A", 20.0, "x", day(3), day(9))])
+    assert [r.status for r in I.episodes(unknown).collect()] == ["missing_id", "missing_id"]
+
+
+def test_bands_and_kinds_are_the_studies(spark):
+    df = spark.createDataFrame([(d, float(a)) for d, a in zip([0, 6, 7, 13, 14, 29, 30, 59, 60, 89, 90, 179, 180, 364, 365], [0, 9, 10, 19, 20, 29, 30, 39, 40, 50, 60, 70, 80, 90, -1])], "d int, a double")
+    rows = df.select("d", "a", PP.time_band(F.col("d")).alias("t"), PP.age_band(F.col("a")).alias("g")).orderBy("d").collect()
+    assert [r.t for r in rows] == ["0-6", "0-6", "7-13", "7-13", "14-29", "14-29", "30-59", "30-59", "60-89", "60-89", "90-179", "90-179", "180-364", "180-364", "365+"]
+    assert [r.g for r in rows] == ["0-10", "0-10", "10-20", "10-20", "20-30", "20-30", "30-40", "30-40", "40+", "40+", "40+", "40+", "40+", "40+", None]
+    kinds = spark.createDataFrame([("2", k) for k in "R K DK LK LDK SK SDK SLDK SLK".split()], "n string, k string")
+    assert [r.c for r in kinds.select(C.category(F.col("n"), F.col("k"), P.KINDS).alias("c")).collect()] == ["2R", "2K", "2DK", "2LK", "2LDK", "2SK", "2SDK", "2SLDK", None]
+
+
+def test_unknown_keys_have_no_history(spark):
+    df = spark.createDataFrame([("r1", "k", day(0), day(5)), ("r2", "k", day(9), day(12)), ("r3", None, day(0), day(2)), ("r4", None, day(4), day(5))], "row_id string, k string, start_date date, end_date date")
+    assert {r.row_id: (r.recent, r.prev_length, r.prev_gap) for r in N.look_back(df, ["k"]).collect()} == {"r1": (0, None, None), "r2": (1, 5, 4), "r3": (0, None, None), "r4": (0, None, None)}
+    assert P.search(df, {"k": "k"}, {}, "R2", ["row_id"]).count() == 1
+
+
 def test_survival(spark):
     df = spark.createDataFrame([("a", day(0), day(3)), ("a", day(0), day(5)), ("a", day(0), None), ("a", day(0), day(10)), ("b", day(9), day(30))], "g string, start_date date, end_date date")
     c = K.censored_at(df, day(10))
