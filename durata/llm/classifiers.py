@@ -33,10 +33,10 @@ def word_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(owners)
 
 
-def shape_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and n-grams (1 to 3) of word shapes with the share of the text that they make up.
+def quality_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed word n-grams (1 to 3), and n-grams (1 to 3) of word shapes with the share of the text that they make up.
 
-    A shape has a word's case, length class, last byte's kind and whether the word
+    Words are as they stand, case and punctuation included.  A shape has a word's case, length class, last byte's kind and whether the word
     repeats one of the two before it.  Shares are in powers of two, so that a
     feature says how much of a text is of a kind, whatever its length.
     """
@@ -44,6 +44,9 @@ def shape_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h, own = words.hash, words.doc_of_word()
     if not len(h):
         return h, own
+    two, three = own[1:] == own[:-1], own[2:] == own[:-2]
+    twos = _together(h[:-1], h[1:], 1)
+    word_grams = [h, twos[two], _together(twos[:-1], h[2:], 2)[three]]
     raw = np.frombuffer(words.data, dtype=np.uint8)
     kind = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower or non-ASCII, 2 upper, 3 digit, 4 stop, 5 comma
     kind[97:123] = kind[128:] = 1
@@ -59,42 +62,43 @@ def shape_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     again[1:] += (h[1:] == h[:-1]) & (own[1:] == own[:-1])
     shape = ((((head * 6 + second) * 6 + before) * 6 + tail).astype(np.int64) * 6 + size) * 4 + again
     s = mix(shape.astype(np.uint64))
-    grams, owners = [s], [own]
-    same = own[1:] == own[:-1]
     pair = _together(s[:-1], s[1:], 1)
-    grams.append(pair[same])
-    owners.append(own[1:][same])
-    same = own[2:] == own[:-2]
-    grams.append(_together(pair[:-1], s[2:], 2)[same])
-    owners.append(own[2:][same])
     repeats = mix((again + 1).astype(np.uint64) * _N[3])  # the repeat flag alone
-    grams.append(repeats)
-    owners.append(own)
-    g, o = np.concatenate(grams), np.concatenate(owners)
+    g = np.concatenate([s, pair[two], _together(pair[:-1], s[2:], 2)[three], repeats])
+    owners = [own, own[1:][two], own[2:][three]]
+    o = np.concatenate([*owners, own])
     # count each gram in its text: the text's number over the gram's high bits, sorted
     code = (o.astype(np.uint64) << np.uint64(44)) | (g >> np.uint64(20))
     code, count = np.unique(code, return_counts=True)
     text = (code >> np.uint64(44)).astype(np.int64)
     share = np.floor(-np.log2(count / np.diff(words.offsets)[text])).astype(np.uint64)
     rated = _together(code & np.uint64((1 << 44) - 1), np.minimum(share, np.uint64(5)), 3)
-    return np.concatenate([rated, h]), np.concatenate([text, own])
+    return np.concatenate([rated, *word_grams]), np.concatenate([text, *owners])
 
 
-FEATURES = {"toxic": word_ngrams, "quality": shape_ngrams}
+FEATURES = {"toxic": word_ngrams, "quality": quality_ngrams}
 OPTIONS = {"toxic": {"l1": 10.0, "alpha": 3.0}, "quality": {"l1": 0.6, "alpha": 0.2, "min_docs": 3}}
 
 
-def classifier(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000) -> Scorer:
-    """A scorer for ``label_col`` (``toxic`` or ``quality``), fit on at most ``most_rows`` ``usable`` rows of ``labels``."""
-    return train(docs, labels, FEATURES[label_col], id_col, text_col, label_col, usable, most_rows, **OPTIONS[label_col])
+def classifier(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 8000, most_bytes: int = 64 << 20) -> Scorer:
+    """A scorer for ``label_col`` (``toxic`` or ``quality``), fit on at most ``most_rows`` ``usable`` rows of ``labels``, of ``most_bytes`` bytes of text in all.
+
+    Columns of ``docs`` and ``labels`` but for the named ones are not read.  Without
+    labelled rows, or with one label alone, the scorer has no weights and gives the
+    labels' smoothed share.
+    """
+    return train(docs, labels, FEATURES[label_col], id_col, text_col, label_col, usable, most_rows, most_bytes, **OPTIONS[label_col])
 
 
-def scored(docs: DataFrame, scorer: Scorer, label_col: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_score`` (0 to 1, higher: label 1 likelier) and ``_predicted`` (1 from 0.5 on).
+def scored(docs: DataFrame, scorer: Scorer, label_col: str, text_col: str = "text", score_col: str = "_score", predicted_col: str = "_predicted") -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1, higher: label 1 likelier) and ``predicted_col`` (1 from 0.5 on).
 
     Whole texts are scored; null and empty texts, which have no features, get the
     bias's score.  Rows are independent of each other, so repeated rows get equal
-    scores; other columns, whatever their names, pass through.
+    scores, and an empty table stays empty.  Other columns pass through; if one is
+    named like an added one, that is an error (see :func:`.tables.unused` for free names).
     """
-    out = score(docs, scorer, FEATURES[label_col], text_col)
-    return out.withColumn("_predicted", (F.col("_score") >= 0.5).cast("int"))
+    if taken := {c for c in docs.columns if c.lower() in (score_col.lower(), predicted_col.lower())}:
+        raise ValueError(f"columns exist already: {', '.join(sorted(taken))}")
+    out = score(docs, scorer, FEATURES[label_col], text_col, score_col)
+    return out.withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))

@@ -11,9 +11,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .tables import scratch, stored
 from .wordhash import slices
 
 #: Texts to (feature hashes, index of each feature's text); a feature counts once a text.
@@ -90,16 +92,22 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def train(docs: DataFrame, labels: DataFrame, featurize: Featurizer, id_col: str, text_col: str, label_col: str, usable: Column, most_rows: int, **options: float) -> Scorer:
-    """Fit on at most ``most_rows`` labelled rows, chosen by a hash of their ids among the ``usable`` ones.
+def train(
+    docs: DataFrame, labels: DataFrame, featurize: Featurizer, id_col: str, text_col: str, label_col: str, usable: Column, most_rows: int, most_bytes: int, **options: float
+) -> Scorer:
+    """Fit on at most ``most_rows`` labelled texts of ``most_bytes`` bytes in all, chosen by a hash of their ids among the ``usable`` ones.
 
     Ids are chosen from the label table alone; that list is bounded, so it is
-    broadcast and the texts of other rows never move.  Null labels and ids are
-    not used; an id labelled twice counts with its larger label.
+    broadcast and the texts of other rows never move.  Of an id with several rows
+    one text is taken.  Texts are added in the order of the hash as long as their
+    sum stays within ``most_bytes``, so the one task that fits has a bounded input,
+    however long texts are.  Null labels and ids are not used; an id labelled
+    twice counts with its larger label.
     """
-    chosen = labels.filter(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(most_rows).withColumnRenamed(id_col, "_id")
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
+    chosen = labels.filter(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
+    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(chosen), "_id")
 
     def learn(table: pa.Table) -> pa.Table:
         # the order is that of a hash of the ids: free of the labels' and the files' order, the same in every run
@@ -115,18 +123,22 @@ def train(docs: DataFrame, labels: DataFrame, featurize: Featurizer, id_col: str
         known, w, bias = fit(features, table.column("_y").to_numpy().astype(np.float64), **options)
         return pa.table({"f": pa.array(np.append(known.view(np.int64), 0)), "w": pa.array(np.append(w, bias)), "bias": pa.array(np.arange(len(w) + 1) == len(w))})
 
-    rows = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(learn, "f long, w double, bias boolean").toArrow()  # bounded by the sample
+    with scratch(docs.sparkSession):
+        sample = stored(rows.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("text"))).alias("x")).select("_id", "_y", F.col("x.text").alias("_text")))
+        so_far = F.sum(F.octet_length("_text")).over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+        fits = sample.select("_id", so_far.alias("_b")).filter(F.col("_b") <= most_bytes).select("_id")  # of at most most_rows rows
+        group = sample.join(F.broadcast(fits), "_id").withColumn("_all", F.lit(0)).groupBy("_all")
+        rows = group.applyInArrow(learn, "f long, w double, bias boolean").toArrow()  # bounded by the sample
     f, w, b = (rows.column(c).to_numpy() for c in ("f", "w", "bias"))
     return Scorer(f[~b].view(np.uint64).copy(), w[~b].copy(), float(w[b][0]) if b.any() else 0.0)
 
 
-def score(docs: DataFrame, scorer: Scorer, featurize: Featurizer, text_col: str, slice_bytes: int = 2 << 20) -> DataFrame:
-    """``docs`` with ``_score``, between 0 and 1; null and empty texts get the score of no features."""
+def score(docs: DataFrame, scorer: Scorer, featurize: Featurizer, text_col: str, score_col: str = "_score", slice_bytes: int = 2 << 20) -> DataFrame:
+    """``docs`` with ``score_col``, between 0 and 1; null and empty texts get the score of no features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, text_col, slice_bytes):
             f, own = featurize(piece.column(text_col))
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scorer(f, own, piece.num_rows))], names=[*piece.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scorer(f, own, piece.num_rows))], names=[*piece.schema.names, score_col])
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, _score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import stored
+from .tables import scratch, stored, unused
 from .wordhash import Words, mix, shingle_sets, slices
 
 _BITS = 20  # of the count table: a million counters, whatever the input
@@ -115,8 +115,14 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own texts.  Other columns are not read; an empty table stays empty.
 
     Sets and tokens are compared by 64-bit fingerprints.  ``df`` is read four
-    times, so pass a scan or a stored table.
+    times, so pass a scan or a stored table.  The result is a stored table; what
+    was stored on the way is deleted.
     """
+    with scratch(df.sparkSession) as keep:
+        return keep(stored(_similar(df, id_col, text_col, width, num, den)))
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     named = docs.filter("_id is not null")
     classes = token_classes(named, width)
@@ -330,12 +336,23 @@ def _crossed(prefix: DataFrame, grouped: DataFrame, texts: DataFrame, width: int
     return full.groupBy("g", "h").applyInArrow(run, "a long, b long")
 
 
-def representatives(docs: DataFrame, similar: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names their component; rows without an id stay.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each group of similar rows of ``docs``: that with the smallest id, of equal ids the one with the least text hash.
+
+    Rows are judged one by one, whatever their ids: rows with a null or a repeated
+    id link by their own texts, null ids come last, and of rows that are equal
+    throughout one stays.  Null and empty texts link with nothing and all stay; an
+    empty table stays empty; columns, whatever their names, pass through.
 
-    One row of each group stays: of several rows with the smallest id, that with
-    the least text hash, and of equal ones any.
+    Rows are numbered in a stored table, so the numbers are data and no property
+    of a scan.
     """
-    keep = similar.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    own = docs.join(keep, id_col, "left_semi")
-    return own.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    spark = docs.sparkSession
+    row = unused("_row", docs.columns)
+    with scratch(spark) as keep:
+        numbered = keep(stored(docs.withColumn(row, F.monotonically_increasing_id())))
+        similar = similar_documents(numbered, row, text_col, width, num, den).select(F.col(row).alias("r"), "component_id")
+        order = F.struct(F.col("i").isNull().alias("no_id"), "i", "h", "r")
+        own = numbered.select(F.col(row).alias("r"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+        kept = keep(stored(own.join(similar, "r").groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x.r").alias(row))))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables stored within each open :func:`scratch` block, the innermost last.
+_OPEN: list[dict[int, tuple[DataFrame, str]]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local one is set only where none is (tests)."""
+    """The cluster's ``spark.checkpoint.dir``.  Where it is unset, a local session gets one of its own; a cluster must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "/tmp/checkpoints/durata"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -24,5 +33,64 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1][len(_OPEN[-1])] = (None, path)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        own = _OPEN[-1]
+        own[max(own)] = (out, path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored within the block are deleted at its end, whatever happens, but for those given to the function that it yields.
+
+    What is returned from the block must not read the others, so it is a stored
+    table itself.  An outer block takes over what an inner one kept.
+    """
+    own: dict[int, tuple[DataFrame, str]] = {}
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.update(path for t, path in own.values() if t is table)
+        return table
+
+    _OPEN.append(own)
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(own)
+        for table, path in own.values():
+            if path not in kept:
+                _delete(spark, path)
+            elif _OPEN:
+                _OPEN[-1][len(_OPEN[-1])] = (table, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores more as it takes to differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hot_join(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int, share: int = 500, salts: int = 64) -> DataFrame:
+    """``rows`` joined to the unique ``keys`` of ``counts``, without ``n``, the number of rows of each.
+
+    Keys with more than one in ``share`` of the ``total`` rows are fewer than
+    ``share``, so they are broadcast; their rows are dealt out over ``salts``
+    tasks, and so is a copy of the key for each.  All others meet as usual.
+    """
+    hot = counts.filter(F.col(n) > max(1, total // share)).select(*keys, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), keys, "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
+    every = F.when(F.col(n) > max(1, total // share), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(counts.withColumn("_salt", F.explode(every)).drop(n), [*keys, "_salt"]).drop("_salt")

@@ -14,7 +14,7 @@ from durata.llm.ftrl import Scorer, fit
 from durata.llm.mixing import drawn, mix_sources
 from durata.llm.nearest import nearest
 from durata.llm.secrets import battery, find_secrets, listed
-from durata.llm.sharding import shard_rows
+from durata.llm.sharding import shard_rows, write_shards
 from durata.llm.warc import export_files, import_files, read_chunks, to_chunks, with_revisits
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,6 +133,26 @@ def test_shards(spark):
     assert shard_rows(df.limit(0)).collect() == []
 
 
+def test_shards_of_strided_keys_and_copies(spark):
+    df = spark.createDataFrame([(256 * (i % 300), "t") for i in range(900)] + [(None, "n")] * 400 + [(-1, "n")] * 3, "doc_id long, text string")
+    for copies in (7, 100_000):
+        got = shard_rows(df, copies=copies).collect()
+        assert len(got) == 1303 and sum(r.doc_id is None for r in got) == 400
+        for s in {r.shard for r in got}:
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+        assert all(r.shard == jump(-1 if r.doc_id is None else r.doc_id, 24) for r in got)
+    cells = {(256 * i % 65521 * 31321 % 65521 + zlib.crc32(b"t")) % 256 for i in range(300)}
+    assert len(cells) > 150  # strided keys use most cells
+
+
+def test_shards_are_written_by_folder(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
+    placed = shard_rows(df)
+    write_shards(df, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.doc_id, r.text, r._shard) for r in back.collect()} == {(r.doc_id, f"t{r.doc_id}", r.shard) for r in placed.collect()}
+
+
 # mixing
 
 

@@ -162,11 +162,14 @@ def test_similar_documents_edges(spark):
 
 
 def test_representatives_keep_one_of_each_group(spark):
-    rows = [(5, "a b c d e"), (2, "a b c d e"), (9, None), (None, "q"), (7, "other words here now")]
-    d = docs(spark, rows)
-    kept = representatives(d, similar_documents(d))
+    five = "a b c d e f g"
+    rows = [(5, five), (2, five), (9, None), (None, "q"), (7, "other words here now"), (2, five), (None, five), (None, "q"), (3, "p q r s t u"), (3, "p q r s t u"), (3, "some other text of id three"), (4, "p q r s t u"), (9, None)]
+    d = docs(spark, rows).withColumnRenamed("key", "_row")
+    kept = representatives(d.repartition(3))
     assert kept.columns == d.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "7", "9", "None"]
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text) == sorted([("2", five), ("None", "q"), ("7", "other words here now"), ("3", "p q r s t u"), ("3", "some other text of id three")])
+    assert kept.filter("text is null").count() == 2
+    assert representatives(d.limit(0)).collect() == []
 
 
 def brute_matches(rows, items, width=5, similarity=0.8):
@@ -201,6 +204,11 @@ def brute_matches(rows, items, width=5, similarity=0.8):
     return found
 
 
+def brute_matches_at(rows, items):
+    """As :func:`brute_matches`, for the pairs of item i with documents 2i and 2i + 1 and no others (their words differ)."""
+    return {k: v for i, x in items for k, v in brute_matches([r for r in rows if r[0] // 2 == i], [(i, x)]).items()}
+
+
 @pytest.mark.parametrize("block_items", [3, 10_000])
 def test_benchmark_matches(spark, block_items):
     rng = random.Random(7)
@@ -245,9 +253,50 @@ def test_benchmark_edges(spark):
     d = docs(spark, [(1, "x a b c d e f g y"), (1, "x a b c d e f g y"), (None, "a b c d e f g"), (3, "clean text")])
     found = benchmark_matches(d, items)
     assert sorted(str(r.doc_id) for r in found.collect()) == ["1", "1", "None"]
-    assert sorted(str(r.doc_id) for r in without_matches(d, found).collect()) == ["3", "None"]
-    assert benchmark_matches(docs(spark, []), items).collect() == []
-    assert benchmark_matches(d, items.limit(0)).collect() == []
+    more = d.unionByName(docs(spark, [(1, "a clean row of a repeated id"), (None, None), (4, "")])).withColumnRenamed("key", "_text")
+    kept = without_matches(more, items)
+    assert kept.columns == more.columns and kept.collect() == more.filter("not coalesce(text, '') like '%b c d%'").collect()
+    assert benchmark_matches(docs(spark, []), items).collect() == [] and without_matches(docs(spark, []), items).collect() == []
+    assert benchmark_matches(d, items.limit(0)).collect() == [] and without_matches(d, items.limit(0)).count() == 4
+    odd = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (None, "clean text"), (5, "")], "item_id long, text string")
+    assert sorted(str((r.doc_id, r.item_id)) for r in benchmark_matches(d, odd).collect()) == ["(1, 1)", "(1, 1)", "(None, 1)"]
+
+
+def test_overwritten_tail_is_found(spark):
+    words = [f"w{i}" for i in range(204)]
+    d = docs(spark, [(1, " ".join(words[:182] + ["zz"] * 22))])
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert [round(r.similarity, 4) for r in benchmark_matches(d, items).collect()] == [0.8018]
+    assert without_matches(d, items).isEmpty()
+
+
+def test_windows_at_the_edge_of_the_similarity(spark):
+    rng = random.Random(12)
+    pool = [f"v{i}" for i in range(3000)]
+    items, rows = [], []
+    for i in range(500):  # windows at a similarity of about 0.75 to 0.9, some items with repeated shingles
+        n = rng.randint(30, 60)
+        w = [rng.choice(pool) for _ in range(n)]
+        if i % 3 == 0:
+            w = (w[:6] * n)[: n // 2] + w[: n - n // 2]
+        items.append((i, " ".join(w)))
+        near = list(w)
+        for _ in range(rng.randint(1, 2)):
+            near[rng.choice([0, 1, 2, rng.randrange(n)])] = "zz"
+        for j in range(2):
+            rows.append((2 * i + j, " ".join([rng.choice(pool) for _ in range(rng.randint(0, 9))] + near[j:] + ["end"] * j)))
+    want = brute_matches_at(rows, items)
+    got = benchmark_matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words) for r in got} == want
+    assert sum(v[0] < 0.85 for v in want.values()) > 100
+
+
+def test_very_long_text_is_searched_in_stretches(spark):
+    rng = random.Random(13)
+    words = [f"v{rng.randint(0, 40)}" for _ in range(120_000)]
+    items = [(1, " ".join(words[70_000:70_040])), (2, " ".join(words[110_000:110_019] + ["other"])), (3, "v1 " * 40)]
+    got = benchmark_matches(docs(spark, [(1, " ".join(words))]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.item_id, r.start_word) for r in got} >= {(1, 70_000), (2, 110_000)} and len(got) == 2
 
 
 def test_query_digests(spark, tmp_path):
