@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import scratch, stored
 
 # Kinds in the order in which equal starts are listed, with pattern, group that is measured and least length.
 # Runs of hex digits and of token characters are maximal, so their least length can stand in the pattern.
@@ -31,13 +31,21 @@ _SYMBOLS = ["A-Za-z0-9+/", "A-Za-z0-9_-"]
 _PADDING = "(?:=+(?![A-Za-z0-9+/_=-]))?"
 
 
-def _spans(text: str, pattern: str, kind: int, group: int, least: int, may: str, tokens: bool = False) -> Column:
-    """Spans (code points, end exclusive) of a pattern's matches whose group has ``least`` characters.
+def _pieces(text: str, pattern: str, group: int) -> Column:
+    """What lies between a pattern's matches, the matches, and their groups: lengths add up to positions."""
+    t, p = F.col(text), F.lit(pattern)
+    return F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, p, F.lit(0)).alias("all"), F.regexp_extract_all(t, p, F.lit(group)).alias("part"))
+
 
-    Splitting by the pattern gives what lies between the matches, so lengths add up to positions.
+def _spans(pieces: str, kind: int, least: int, tokens: bool = False) -> Column:
+    """Spans (code points, end exclusive) of the matches whose group has ``least`` characters.
+
+    An appended-to array is copied, so pieces are taken in runs of about the square
+    root of their number: a text with n matches costs n times that root in copies,
+    not n squared.
     """
-    t, p = F.col(text), F.lit(pattern)
-    found = F.arrays_zip(F.split(t, pattern, -1).alias("gap"), F.regexp_extract_all(t, p, F.lit(0)).alias("all"), F.regexp_extract_all(t, p, F.lit(group)).alias("part"))
+    size = F.size(pieces)
+    run = F.ceil(F.sqrt(size.cast("double"))).cast("int")
     none = F.array().cast(_TOKENS if tokens else _SPAN)
 
     def add(acc: Column, m: Column) -> Column:
@@ -46,8 +54,13 @@ def _spans(text: str, pattern: str, kind: int, group: int, least: int, may: str,
         fields = [start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *[m["all"].alias("token")] * tokens]
         return F.struct(end.alias("at"), F.when(F.length(m["part"]) >= least, F.concat(acc["out"], F.array(F.struct(*fields)))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(t.rlike(may), spans).otherwise(none)
+    def add_run(acc: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(pieces, i * run + 1, run), F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return F.struct(own["at"].alias("at"), F.concat(acc["out"], F.array(own["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_TOKENS if tokens else _SPAN}>").alias("out"))
+    spans = F.aggregate(F.sequence(F.lit(0), run - 1), start, add_run, lambda acc: F.flatten(acc["out"]))
+    return F.when(size > 1, spans).otherwise(none)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -112,26 +125,48 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of bounded size.
 
     Null texts count as empty and have no spans.  Repeated rows are scanned each
-    on their own; null ids are carried along; other columns are not read.
+    on their own; null ids are carried along; other columns are not read; an empty
+    table stays empty.  Long texts with very many matches cost little more than in
+    proportion.
+    """
+    spark = df.sparkSession
+    with scratch(spark) as keep:
+        text = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+        looks = [(kind, pattern, group, i, size, _MAY[kind], False) for i, (kind, pattern, group, size) in enumerate(KINDS)]
+        looks += [(f"tok{j}", f"(?<![{c}])[{c}]{{{least},}}{_PADDING}", 0, 3, least, f"[{c}]{{{least}}}", True) for j, c in enumerate(_SYMBOLS)]
+        # most texts match nothing and are not taken apart
+        pieces = text.select("_id", *[F.when(F.col("_t").rlike(may), _pieces("_t", pattern, group)).alias(f"_p_{kind}") for kind, pattern, group, _, _, may, _ in looks])
+        spans = {kind: F.coalesce(_spans(f"_p_{kind}", i, size, tokens), F.array().cast(_TOKENS if tokens else _SPAN)) for kind, _, _, i, size, _, tokens in looks}
+        base = F.array_sort(F.concat(*[spans[kind] for kind, *_ in KINDS]))
+        tokens = F.concat(*[spans[f"tok{j}"] for j in range(len(_SYMBOLS))])
+        # stored, so that row numbers stay and no span is looked for twice
+        found = keep(stored(pieces.select("_id", base.alias("base"), tokens.alias("_tok")).withColumn("_row", F.monotonically_increasing_id())))
+        tested = stored(battery(_free_tokens(found)).filter(F.col("n") >= least).drop("token"))
+        m, mean = tested.agg(F.count("*"), F.avg("n")).first()
+        limit = _step_up(tested, m, mean, rate) if m else 0.0
+        kept = tested.filter(_bin(F.col("p") * F.lit(mean or 1.0) / F.col("n")) < limit)
+        before = Window.partitionBy("_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+        kept = kept.withColumn("_reach", F.max("end").over(before)).filter("_reach is null or end > _reach")
+        kept = keep(stored(kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end"))).alias("random"))))
+    return found.join(kept, "_row", "left").select(F.col("_id").alias(id_col), "base", F.coalesce("random", F.array().cast(_SPAN)).alias("random"))
+
+
+def _free_tokens(found: DataFrame) -> DataFrame:
+    """``(_row, start, end, token)``: tokens that no base span touches, each once (a run of letters and digits is found twice).
+
+    A span begun before a token's end touches it if it reaches beyond the token's
+    start, so the farthest end of the spans begun so far decides: one sort a text.
     """
-    base = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
-    parts = {f"_{kind}": _spans("_t", pattern, i, group, size, _MAY[kind]) for i, (kind, pattern, group, size) in enumerate(KINDS)}
-    runs = [_spans("_t", f"(?<![{c}])[{c}]{{{least},}}{_PADDING}", 3, 0, least, f"[{c}]{{{least}}}", tokens=True) for c in _SYMBOLS]
-    parts["_tok"] = F.array_distinct(F.concat(*runs))  # a run of letters and digits is found twice
-    # stored, so that row numbers stay and no span is looked for twice
-    found = stored(base.select("_id", *[v.alias(k) for k, v in parts.items()]).withColumn("_row", F.monotonically_increasing_id()))
-    spans = F.array_sort(F.concat(*[f"_{k[0]}" for k in KINDS]))
-    tokens = found.filter(F.size("_tok") > 0).select("_row", spans.alias("_base"), F.explode("_tok").alias("x"))
-    tokens = tokens.filter(~F.exists("_base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))).select("_row", "x.start", "x.kind", "x.end", "x.token")
-    tested = stored(battery(tokens).filter(F.col("n") >= least).drop("token"))
-    m, mean = tested.agg(F.count("*"), F.avg("n")).first()
-    if not m:
-        return found.select(F.col("_id").alias(id_col), spans.alias("base"), F.array().cast(_SPAN).alias("random"))
-    limit = _step_up(tested, m, mean, rate)
-    kept = tested.filter(_bin(F.col("p") * F.lit(mean) / F.col("n")) < limit)
-    before = Window.partitionBy("_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    kept = kept.withColumn("_reach", F.max("end").over(before)).filter("_reach is null or end > _reach").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("random"))
-    return found.join(kept, "_row", "left").select(F.col("_id").alias(id_col), spans.alias("base"), F.coalesce("random", F.array().cast(_SPAN)).alias("random"))
+    marks = F.concat(
+        F.transform("base", lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("is_base"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("string").alias("token"))),
+        F.transform("_tok", lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("is_base"), s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"))),
+    )
+    rows = found.filter(F.size("_tok") > 0).select("_row", F.inline(marks))
+    order = Window.partitionBy("_row").orderBy("at", "is_base", "start")
+    reach = F.max(F.when(F.col("is_base") == 1, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    twin = (F.lag("at").over(order) == F.col("at")) & (F.lag("is_base").over(order) == 0) & (F.lag("start").over(order) == F.col("start"))
+    rows = rows.withColumns({"_reach": reach, "_twin": twin}).filter("is_base = 0 and not coalesce(_twin, false) and coalesce(_reach, 0) <= start")
+    return rows.select("_row", "start", "end", "token")
 
 
 def _bin(p: Column) -> Column:
