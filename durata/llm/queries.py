@@ -216,7 +216,7 @@ WITH RECURSIVE tab AS (
   SELECT k, max(b) FILTER (b < 24)::INT AS shard, max(b)::INT AS grown_shard FROM j GROUP BY k
 )
 SELECT c.doc_id, c.size, c.text_crc32, 'key' AS law, s.shard,
-       row_number() OVER (PARTITION BY s.shard ORDER BY ((c.k % 256) + 256) % 256, c.k, c.text_crc32, c.size) - 1 AS slot, s.grown_shard
+       row_number() OVER (PARTITION BY s.shard ORDER BY ((c.k % 65521 + 65521) % 65521 * 31321 % 65521 + c.text_crc32) % 256, c.k, c.text_crc32, c.size, c.doc_id IS NULL) - 1 AS slot, s.grown_shard
 FROM crc c JOIN s ON s.k = c.k
 """
 

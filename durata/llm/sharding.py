@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import scratch, stored
+
 # Fixed values of the published jump hash: its generator's multiplier, in two halves.
 _HIGH, _LOW = divmod(2862933555777941757, 1 << 32)
+_PRIME, _FACTOR = 65521, 31321  # a cell is a multiple of the key modulo a prime, so strides spread
 
 
 def _dec(x: Column | int) -> Column:
@@ -42,32 +45,44 @@ def jump_shards(key: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(n)), start, step, lambda acc: F.struct(acc["small"].cast("int").alias("small"), acc["large"].cast("int").alias("large")))
 
 
-def shard_rows(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", shards: int = 24, parts: int = 256) -> DataFrame:
+def shard_rows(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", shards: int = 24, parts: int = 256, copies: int = 100_000) -> DataFrame:
     """One row per row: ``(key_col, size, text_crc32, law, shard, slot, grown_shard)``.
 
     ``size`` is the text's UTF-8 length plus 8, ``slot`` numbers a shard's rows
     from 0 without gaps, ``grown_shard`` is the shard when one more exists.
     ``law`` is ``key``: the key and the shard count decide, so equal keys share a
-    shard.  Null keys count as -1; null texts as empty (size 8, crc 0); repeated
-    rows each get a slot of their own.  Other columns are not read.
-
-    Slots come from counts of ``shards * parts`` cells (a table of that fixed
-    size, so it can be broadcast) and a row number within a cell: no task sees a
-    whole shard.
+    shard.  Null keys count as -1 but stay null; null texts as empty (size 8, crc
+    0); repeated rows each get a slot of their own; an empty table gives none.
+    Other columns are not read.
+
+    Rows that are equal here are counted before they are shuffled, and become rows
+    again at the end, ``copies`` at a time, so that neither a key nor a text that
+    very many rows share is one task's work.  Slots come from the counts of
+    ``shards * parts`` cells, dealt by key and text (a table of that
+    fixed size, so it can be broadcast), and from sums within a cell: no task sees
+    a whole shard.
     """
-    if shards < 1 or parts < 1:
-        raise ValueError("shards and parts must be 1 or more")
-    key = F.coalesce(F.col(key_col).cast("long"), F.lit(-1))
-    placed = df.select(F.col(key_col).alias("_key"), key.alias("_k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    placed = placed.select("_key", "_k", (F.octet_length("_text").cast("long") + 8).alias("size"), F.crc32("_text").alias("text_crc32"), jump_shards(F.col("_k"), shards).alias("_s"), F.pmod("_k", F.lit(parts)).alias("_part"))
-    placed = placed.select("_key", "_k", "size", "text_crc32", F.col("_s.small").alias("shard"), F.col("_s.large").alias("grown_shard"), "_part")
-    cells = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = cells.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("shard", "_part").orderBy("_k", "text_crc32", "size")
-    return placed.withColumn("_at", F.row_number().over(own)).join(F.broadcast(base), ["shard", "_part"]).select(
-        F.col("_key").alias(key_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_base") + F.col("_at") - 1).cast("long").alias("slot"), "grown_shard"
-    )
+    if shards < 1 or parts < 1 or copies < 1:
+        raise ValueError("shards, parts and copies must be 1 or more")
+    spark = df.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(F.col(key_col).alias("_key"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
+    key = F.coalesce(F.col("_key").cast("long"), F.lit(-1))
+    with scratch(spark) as keep:
+        # stored, so that the jump hash is run once a row
+        kinds = rows.groupBy("_key", "size", "text_crc32").agg(F.count("*").alias("_n")).withColumn("_k", key).withColumn("_s", jump_shards(F.col("_k"), shards))
+        kinds = keep(stored(kinds.select("_key", "_k", "size", "text_crc32", "_n", F.col("_s.small").alias("shard"), F.col("_s.large").alias("grown_shard"), F.pmod(F.pmod(F.pmod("_k", F.lit(_PRIME)) * _FACTOR, F.lit(_PRIME)) + F.col("text_crc32"), F.lit(parts)).alias("_part"))))
+        cells = kinds.groupBy("shard", "_part").agg(F.sum("_n").alias("_n"))
+        before = lambda *by: F.coalesce(F.sum("_n").over(Window.partitionBy("shard", *by[1:]).orderBy(*by[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        base = cells.select("shard", "_part", before(["_part"]).alias("_base"))
+        at = kinds.withColumn("_at", before(["_k", "text_crc32", "size", F.col("_key").isNull()], "_part")).join(F.broadcast(base), ["shard", "_part"])
+        # what few copies have is made rows where it lies; the rest is dealt out first
+        first = keep(stored(at.select("_key", "size", "text_crc32", "shard", "grown_shard", "_n", (F.col("_base") + F.col("_at")).alias("_first"))))
+    few = first.filter(F.col("_n") <= copies).withColumn("slot", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)))
+    many = first.filter(F.col("_n") > copies).withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / copies)))).repartition("_key", "text_crc32", "_i")
+    start, last = F.col("_first") + F.col("_i") * copies, F.col("_first") + F.least(F.col("_n"), (F.col("_i") + 1) * copies) - 1
+    out = few.unionByName(many.withColumn("slot", F.explode(F.sequence(start, last))).drop("_i"))
+    return out.select(F.col("_key").alias(key_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def write_shards(df: DataFrame, placed: DataFrame, path: str, key_col: str = "doc_id") -> None:
