@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recompression import anchors
-from .tables import stored
+from .tables import hot_join, hot_keys, scratch, stored
 from .wordhash import Words, mix, powers, rolling, slices
 
 _BASE = np.uint64(0xA24BAED4963EE407)
@@ -76,34 +76,28 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     than ``width`` words are kept whole.  Repeated rows are texts like any other:
     all their copies lose what they share.  Null or repeated ids are carried
     along; other columns are not read.  An empty table gives an empty result.
-    Windows are compared by 64-bit fingerprints under 64-bit anchor keys.
+    Windows are compared by 64-bit fingerprints under 64-bit anchor keys, which
+    equal windows share: two windows count as equal if both agree.
 
-    ``df`` is read three times and its blocks must be the same each time, so pass
-    a scan or a stored table, not a plan whose row order may change.
+    ``df`` is read once: its blocks are stored, so that a block's number is data
+    and no property of the scan.  The result reads two stored tables; what else
+    was stored on the way is deleted.
     """
     if width < 2:
         raise ValueError("width must be 2 or more")
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
-    def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, piece in _blocks(batches, "_text", block_bytes):
-            u = _Units(Words(piece.column("_text")), width)
-            _, i, m = np.unique(u.same, return_index=True, return_counts=True)  # a long run of one word is one row
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(u.key[i])), pa.array(_signed(u.unit[i])), pa.array(np.full(len(i), block)), pa.array(i.astype(np.int32)), pa.array(m.astype(np.int32))], names=["key", "unit", "block", "i", "m"])
-
-    units = docs.mapInArrow(unit_rows, "key long, unit long, block long, i int, m int")
-    twice = units.groupBy("key").agg(F.sum("m").alias("n")).filter("n > 1").select("key")
-    shared = stored(units.join(twice, "key"))
-    kinds = stored(shared.groupBy("key", "unit").agg(F.sum("m").alias("n"), F.min(F.struct("block", "i")).alias("at")))
-    equal = shared.join(kinds.filter("n > 1").select("key", "unit"), ["key", "unit"]).select("block", "i", F.lit(0).cast("byte").alias("kind"))
-    several = kinds.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    # kind 1: a single unit, whose windows are asked for; 2: the representative of a repeated one, which is only compared with
-    open_units = kinds.join(several, "key").select("at.block", "at.i", F.when(F.col("n") > 1, 2).otherwise(1).cast("byte").alias("kind"))
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, piece in _blocks(batches, "_text", block_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_pack(piece)], pa.binary())], names=["block", "payload"])
 
+    def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload"), strict=True):
+                u = _Units(Words(_unpack(payload.as_py()).column("_text")), width)
+                _, i, m = np.unique(u.same, return_index=True, return_counts=True)  # a long run of one word is one row
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(u.key[i])), pa.array(_signed(u.unit[i])), pa.array(np.full(len(i), block)), pa.array(i.astype(np.int32)), pa.array(m.astype(np.int32))], names=["key", "unit", "block", "i", "m"])
+
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload, marks in zip(*(batch.column(c) for c in ("block", "payload", "marks")), strict=True):
@@ -113,13 +107,29 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 size = u.first[i + 1] - u.first[i]
                 owner = np.repeat(np.arange(len(i)), size)
                 w = u.start[u.first[i][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(fingerprints[w])), pa.array(np.full(len(w), block.as_py())), pa.array(np.where(kind[owner] == 1, w, -1 - w).astype(np.int32))], names=["window", "block", "p"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(u.key[i][owner])), pa.array(_signed(fingerprints[w])), pa.array(np.full(len(w), block.as_py())), pa.array(np.where(kind[owner] == 1, w, -1 - w).astype(np.int32))],
+                    names=["key", "window", "block", "p"],
+                )
 
     listed = lambda rows: rows.groupBy("block").agg(F.collect_list(F.struct("i", "kind")).alias("marks"))  # noqa: E731  bounded by a block
-    windows = stored(docs.mapInArrow(packed, "block long, payload binary").join(listed(open_units), "block").mapInArrow(window_rows, "window long, block long, p int"))
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    single = windows.filter("p >= 0").join(again, "window").select("block", F.col("p").alias("i"), F.lit(1).cast("byte").alias("kind"))
-    found = listed(equal.unionByName(single))
+    with scratch(df.sparkSession) as keep:
+        blocks = keep(stored(docs.mapInArrow(packed, "block long, payload binary"), "none"))  # payloads are compressed already
+        with scratch(df.sparkSession) as keep_shared:
+            units = stored(blocks.mapInArrow(unit_rows, "key long, unit long, block long, i int, m int"), "lz4")
+            twice = stored(units.groupBy("key").agg(F.sum("m").alias("n"), F.count("*").alias("rows")).filter("n > 1"))
+            shared = keep_shared(stored(hot_join(units, twice.select("key"), ["key"], hot_keys(twice, ["key"], "rows"))))
+        kinds = stored(shared.groupBy("key", "unit").agg(F.sum("m").alias("n"), F.count("*").alias("rows"), F.min(F.struct("block", "i")).alias("at")))
+        repeated = kinds.filter("n > 1").select("key", "unit")
+        equal = hot_join(shared, repeated, ["key", "unit"], hot_keys(kinds, ["key", "unit"], "rows")).select("block", "i", F.lit(0).cast("byte").alias("kind"))
+        per_key = stored(kinds.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1"))
+        # kind 1: a single unit, whose windows are asked for; 2: the representative of a repeated one, which is only compared with
+        several = hot_join(kinds.select("key", "n", "at"), per_key.select("key"), ["key"], hot_keys(per_key, ["key"], "rows"))
+        open_units = several.select("at.block", "at.i", F.when(F.col("n") > 1, 2).otherwise(1).cast("byte").alias("kind"))
+        windows = stored(blocks.join(listed(open_units), "block").mapInArrow(window_rows, "key long, window long, block long, p int"))
+        again = stored(windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1"))
+        single = hot_join(windows.filter("p >= 0"), again.drop("n"), ["key", "window"], hot_keys(again, ["key", "window"], "n"))
+        found = keep(stored(listed(equal.unionByName(single.select("block", F.col("p").alias("i"), F.lit(1).cast("byte").alias("kind"))))))
 
     kind_of = df.schema[id_col].dataType.simpleString()
 
@@ -128,8 +138,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for payload, marks in zip(batch.column("payload"), batch.column("marks"), strict=True):
                 yield _cut(_unpack(payload.as_py()), marks, width)
 
-    everything = docs.mapInArrow(packed, "block long, payload binary").join(found, "block", "left")
-    out = everything.mapInArrow(cut, f"_id {kind_of}, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
+    out = blocks.join(found, "block", "left").mapInArrow(cut, f"_id {kind_of}, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -177,11 +186,17 @@ def _cut(piece: pa.RecordBatch, marks: pa.ListScalar, width: int) -> pa.RecordBa
     lists = np.searchsorted(owner, np.arange(len(words) + 1)).astype(np.int32)
     spans = pa.StructArray.from_arrays([pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))], names=["start", "end"])
     removed_before = np.concatenate([[0], np.cumsum(gone)])
-    kept = []
-    data = words.data
-    for a, b in zip(words.offsets[:-1].tolist(), words.offsets[1:].tolist(), strict=True):
-        own = np.flatnonzero(~gone[a:b]) + a
-        kept.append(b" ".join([data[x:y] for x, y in zip(words.first[own].tolist(), words.last[own].tolist(), strict=True)]))
+    # kept words that follow each other at one blank are copied as one run of bytes
+    data, own = words.data, np.flatnonzero(~gone)
+    docs = np.searchsorted(words.offsets, own, side="right")
+    head = np.ones(len(own) + 1, dtype=bool)
+    if len(own):
+        blank = np.frombuffer(data, dtype=np.uint8)[words.last[own[:-1]]] == 0x20
+        head[1:-1] = (np.diff(own) > 1) | (docs[1:] != docs[:-1]) | (words.first[own[1:]] != words.last[own[:-1]] + 1) | ~blank
+    heads = np.flatnonzero(head)
+    runs = [data[x:y] for x, y in zip(words.first[own[heads[:-1]]].tolist(), words.last[own[heads[1:] - 1]].tolist(), strict=True)] if len(own) else []
+    bounds = np.searchsorted(own[heads[:-1]] if len(own) else own, words.offsets).tolist()
+    kept = [b" ".join(runs[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     text = pa.array(kept, pa.binary()).cast(pa.string())
     return pa.RecordBatch.from_arrays(
         [piece.column("_id"), pa.array(np.diff(words.offsets).astype(np.int64)), pa.array(np.diff(removed_before[words.offsets])), text, pa.ListArray.from_arrays(pa.array(lists), spans)],

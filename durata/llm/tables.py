@@ -82,15 +82,27 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def hot_join(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int, share: int = 500, salts: int = 64) -> DataFrame:
-    """``rows`` joined to the unique ``keys`` of ``counts``, without ``n``, the number of rows of each.
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int | None = None, share: int = 500, few: int = 20_000) -> list[int]:
+    """Hashes of the unique ``keys`` of ``counts`` that hold more than one in ``share`` of all rows: fewer than ``share`` numbers, whatever the table's size.
 
-    Keys with more than one in ``share`` of the ``total`` rows are fewer than
-    ``share``, so they are broadcast; their rows are dealt out over ``salts``
-    tasks, and so is a copy of the key for each.  All others meet as usual.
+    A table of ``few`` rows has none: there is nothing to spread.
     """
-    hot = counts.filter(F.col(n) > max(1, total // share)).select(*keys, F.lit(True).alias("_hot"))
-    dealt = rows.join(F.broadcast(hot), keys, "left")
-    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(salts))).otherwise(0).cast("int")).drop("_hot")
-    every = F.when(F.col(n) > max(1, total // share), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(counts.withColumn("_salt", F.explode(every)).drop(n), [*keys, "_salt"]).drop("_salt")
+    total = (counts.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    if total < few:
+        return []
+    return [r.h for r in counts.filter(F.col(n) > total / share).select(F.xxhash64(*keys).alias("h")).collect()]
+
+
+def hot_join(rows: DataFrame, side: DataFrame, keys: list[str], hot: list[int], how: str = "inner", salts: int = 64) -> DataFrame:
+    """``rows`` joined to ``side``, whose ``keys`` are unique, with hot keys dealt out.
+
+    Rows of ``hot`` keys (see :func:`hot_keys`) are spread over ``salts`` tasks,
+    each of which gets a copy of the key's row of ``side``.
+    """
+    if not hot:
+        return rows.join(side, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(salts)).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    dealt, copies = rows.withColumn("_salt", F.when(is_hot, spread).otherwise(0)), side.withColumn("_salt", F.explode(every))
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
