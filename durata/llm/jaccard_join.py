@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import scratch, stored, unused
+from .tables import hot_join, hot_keys, scratch, stored, unused
 from .wordhash import Words, mix, shingle_sets, slices
 
 _BITS = 20  # of the count table: a million counters, whatever the input
@@ -181,9 +181,13 @@ def _similar(df: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     grouped = stored(_groups(prefix, first))
     cross = stored(_crossed(prefix, grouped, texts, width, num, den))
     root = first if cross.isEmpty() else components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(cross))
-    labelled = mine.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labelled.filter("n > 0").groupBy("root").agg(F.min("_id").alias("component_id"))
-    out = labelled.join(least, "root", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    # copies first become one row a node; nodes of a large component, and rows of a node with many copies, are dealt out
+    each = stored(mine.filter("n > 0").groupBy("node").agg(F.min("_id").alias("_id"), F.count("*").alias("k")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = each.groupBy("root").agg(F.min("_id").alias("component_id"))
+    large = hot_keys(each.groupBy("root").agg(F.count("*").alias("k")), ["root"], "k")
+    named_nodes = hot_join(each.select("node", "root"), least, ["root"], large).select("node", "component_id")
+    out = hot_join(mine, named_nodes, ["node"], hot_keys(each, ["node"], "k"), "left")
+    out = out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
     return out.unionByName(_unnamed(docs, node_rows, id_col))
 
 
