@@ -15,7 +15,7 @@ from durata.llm.mixing import drawn, mix_sources
 from durata.llm.nearest import nearest
 from durata.llm.secrets import battery, find_secrets, listed
 from durata.llm.sharding import shard_rows, write_shards
-from durata.llm.warc import export_files, import_files, read_chunks, to_chunks, with_revisits
+from durata.llm.warc import _Record, export_files, import_files, read_chunks, to_chunks, with_revisits
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,6 +66,14 @@ def test_warc_damage_is_seen(spark):
     assert not all(r.chunks_ok for r in read_chunks(broken).collect())
 
 
+def test_warc_without_a_header_is_bounded():
+    record = _Record()
+    for _ in range(40):
+        record.feed(b"x" * (1 << 18), None)
+        assert len(record.head) <= 2 << 20
+    assert record.row()[-1] is False
+
+
 def test_warc_of_nothing(spark):
     assert read_chunks(to_chunks(with_revisits(pages(spark).limit(0)))).collect() == []
 
@@ -99,7 +107,29 @@ def test_nearest_with_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0, 0.0])], "vec_id long, embedding array<float>")
     got = nearest(df, F.col("vec_id") == 0, k=5).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 1)]
-    assert nearest(df.limit(0), F.col("vec_id") == 0).collect() == []
+    assert nearest(df.limit(0), F.col("vec_id") == 0).collect() == [] and nearest(df, F.lit(False)).collect() == []
+
+
+def test_nearest_with_repeated_ids_and_equal_vectors(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 8)).round(3)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    rows += [(7, (v[3] + 0.001 * j).tolist()) for j in range(30)] + [(100 + i, v[5].tolist()) for i in range(80)] + [(9, v[9].tolist())] * 50 + [(10, v[20].tolist())]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, same long")
+    got = nearest(df.repartition(3), F.col("vec_id") % 5 == 0, k=4, query_block=4, block=16).collect()
+    want = {}
+    for i, x in rows:
+        for j, y in rows:
+            if i % 5 == 0 and i != j:
+                s = sum(a * b for a, b in zip(x, y)) / (math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(b * b for b in y)))
+                want[i, j] = max(s, want.get((i, j), -2))
+    for q in {i for i, _ in want}:
+        best = sorted(((-s, j) for (i, j), s in want.items() if i == q))[:4]
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert np.allclose([s for _, _, s in own], [-s for s, _ in best], atol=1e-12)
+        if len({round(s, 9) for s, _ in best}) == 4:
+            assert [j for _, j, _ in own] == [j for _, j in best]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 5] == [100, 101, 102, 103][:0] + sorted([j for j in range(100, 180) if j != 5])[:4]
 
 
 # sharding
