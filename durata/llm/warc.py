@@ -21,10 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import hot_join, hot_keys, scratch, stored
+
 CHUNKS = "archive long, record long, chunk int, last boolean, data binary, sha1 string"
 RECORDS = "record_id string, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, chunks_ok boolean"
 _END = b"\r\n\r\n"
 _BATCH = 4 << 20
+_HEAD = 1 << 20  # bytes within which a record's headers end
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
@@ -33,15 +36,19 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Of pages with equal payloads of ``least`` bytes or more, those with the
     largest id are responses and the others refer to it; a null id counts as
     smallest, and where all are null all are responses.  Null payloads are empty.
-    Only digests are grouped; counts come first, so a payload that a third of all
-    pages share is a row a task, and AQE splits it in the join.
+    Repeated rows, null ids included, are pages each; an empty table stays empty;
+    other columns are not read.  Only digests are grouped; counts come first, and a
+    payload that a third of all pages share is dealt out in the join.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), payload.alias("_payload"))
     base = base.withColumns({"_bytes": F.octet_length("_payload").cast("long"), "_digest": F.sha1("_payload")})
-    first = base.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.max("_id").alias("_top"), F.count("*").alias("_n"))
-    first = first.filter("_n > 1").drop("_n")
-    own = base.join(first, ["_digest", "_bytes"], "left")
+    with scratch(pages.sparkSession) as keep:
+        counts = base.filter(F.col("_bytes") >= least).groupBy("_digest", "_bytes").agg(F.max("_id").alias("_top"), F.count("*").alias("_n"))
+        counts = keep(stored(counts.filter("_n > 1").withColumnRenamed("_digest", "_join")))
+    # small payloads look for no other: keys of their own keep the many empty pages apart
+    base = base.withColumn("_join", F.when(F.col("_bytes") >= least, F.col("_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("_id", "_url").cast("string"))))
+    own = hot_join(base, counts.drop("_n"), ["_join", "_bytes"], hot_keys(counts, ["_join", "_bytes"], "_n"), "left")
     return own.select("_id", "_url", "_payload", "_bytes", "_digest", F.when(F.coalesce("_id", F.lit(-(1 << 63))) < F.col("_top"), F.col("_top")).alias("_refers"))
 
 
@@ -123,6 +130,8 @@ class _Record:
         if self.body is None:
             self.head += data
             if not self._parse():
+                if len(self.head) > _HEAD:  # no header ends so late: a damaged record, of which nothing is kept
+                    self.head, self.body, self.ok = b"", 0, False
                 return
             data, self.head = self.head[self.skip :], b""
         part = data[: max(0, self.body - self.seen)]
