@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def band_table(df: DataFrame, attributes: dict[str, float], edge_rule: str = "next", per_page: int = 10) -> DataFrame:
+def band_table(df: DataFrame, attributes: dict[str, float], edge_rule: str = "next", per_page: int = 10, most: int = 100_000) -> DataFrame:
     """``(attr, bin, lo, hi, label, page)``: every band from 0 to the maximum, empty ones too.
 
     ``next``: a maximum on an edge gets the band that starts there; ``ceil``: the
     last band ends at the edge, so such a maximum falls out.  Negative values are
-    ignored; an attribute without values has one band.
+    ignored; an attribute without values has one band.  More than ``most`` bands
+    are refused: an outlier would decide the table's size.
     """
     for name, step in attributes.items():
         if not (isinstance(step, (int, float)) and math.isfinite(step) and step > 0):
@@ -24,13 +25,13 @@ def band_table(df: DataFrame, attributes: dict[str, float], edge_rule: str = "ne
     for name, step in attributes.items():
         top = F.max(F.when(F.col(name) >= 0, F.col(name)))
         n = F.floor(top / step) if edge_rule == "next" else F.greatest(F.ceil(top / step) - 1, F.lit(0))
-        last[name] = F.coalesce(n, F.lit(0)).cast("int")
-    one = df.agg(*[v.alias(k) for k, v in last.items()])
+        last[name] = F.coalesce(n, F.lit(0)).cast("long")
+    bounded = lambda v: F.when(v >= most, F.raise_error(F.lit(f"more than {most} bands"))).otherwise(v).cast("int")
+    one = df.agg(*[bounded(v).alias(k) for k, v in last.items()])
     rows = F.array(*[F.struct(F.lit(k).alias("attr"), F.col(k).alias("last"), F.lit(float(s)).alias("step")) for k, s in attributes.items()])
     bins = one.select(F.inline(rows)).select("attr", "step", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("bin"))
     lo, hi = F.col("bin") * F.col("step"), (F.col("bin") + 1) * F.col("step")
-    label = F.concat(lo.cast("long").cast("string"), F.lit("-"), hi.cast("long").cast("string"))
-    return bins.select("attr", "bin", lo.alias("lo"), hi.alias("hi"), label.alias("label"), F.floor(F.col("bin") / per_page).cast("int").alias("page"))
+    return bins.select("attr", "bin", lo.alias("lo"), hi.alias("hi"), _label(F.col("bin"), F.col("step")).alias("label"), F.floor(F.col("bin") / per_page).cast("int").alias("page"))
 
 
 def equal_width(c: Column, step: float) -> Column:
@@ -38,10 +39,14 @@ def equal_width(c: Column, step: float) -> Column:
     return F.when(c >= 0, F.floor(c / step).cast("int"))
 
 
-def apply_bands(df: DataFrame, bands: DataFrame, attr: str, step: float, out: str) -> DataFrame:
-    """``df`` with the label of ``attr``'s stored band; null outside all of them.  The bands of one attribute are few."""
-    own = bands.filter(F.col("attr") == attr).select(F.col("bin").alias("_bin"), F.col("label").alias(out))
-    return df.withColumn("_bin", equal_width(F.col(attr), step)).join(F.broadcast(own), "_bin", "left").drop("_bin")
+def _label(band: Column, step: Column) -> Column:
+    return F.concat((band * step).cast("long").cast("string"), F.lit("-"), ((band + 1) * step).cast("long").cast("string"))
+
+
+def apply_bands(df: DataFrame, attr: str, step: float, out: str) -> DataFrame:
+    """``df`` with the label of ``attr``'s band, as :func:`band_table` names it; null below 0.  Labels are arithmetic: nothing is joined."""
+    band = equal_width(F.col(attr), step)
+    return df.withColumn(out, F.when(band.isNotNull(), _label(band, F.lit(float(step)))))
 
 
 def left_closed(c: Column, edges: list[float], labels: list[str]) -> Column:

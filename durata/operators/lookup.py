@@ -24,6 +24,29 @@ def group_table(df: DataFrame, keys: list[str], target: str, cut: float) -> Data
     return g.withColumn("level", F.when(F.col("rate") >= cut, "high").otherwise("low"))
 
 
+#: Orders of a group table by name: column and whether the largest come first.
+ORDERS = {"rate": ("rate", True), "low_rate": ("rate", False), "count": ("n", True), "name": (None, False)}
+
+
+def filter_groups(groups: DataFrame, keys: list[str], equal: dict[str, list], text: str = "", saved: list[str] | None = None, order: str = "rate") -> DataFrame:
+    """Rows of a group table with their ``group_id``: given values of some keys, a text in any key, saved ids, in one of four orders.
+
+    ``saved`` ids alone, with any order, are a side-by-side comparison.
+    """
+    if order not in ORDERS:
+        raise ValueError(f"order must be one of {', '.join(ORDERS)}")
+    name = F.concat_ws(" | ", *[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in keys])
+    out = groups.withColumn("group_id", name)
+    for k, values in equal.items():
+        out = out.filter(F.col(k).isin(list(values)))
+    if text:
+        out = out.filter(F.lower("group_id").contains(text.lower()))
+    if saved is not None:
+        out = out.filter(F.col("group_id").isin(list(saved)))
+    column, largest = ORDERS[order]
+    return out.orderBy(*([F.desc(column) if largest else F.asc(column)] if column else []), "group_id")
+
+
 def risk_lookup(requests: DataFrame, groups: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Requests with their group's rate; groups that are missing or smaller than ``least`` give ``insufficient_data``."""
     known = groups.filter(F.col("n") >= least)

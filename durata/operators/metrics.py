@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bands import quantile_bands
+from .ordered import running
 
 
 def brier(df: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:
@@ -16,11 +17,10 @@ def roc(df: DataFrame, p: str, y: str) -> DataFrame:
     """``(score, fpr, tpr)`` at distinct scores from high to low, and ``area`` to the left of each point."""
     cells = df.groupBy(F.col(p).alias("score")).agg(F.sum(y).alias("_p"), F.sum(1 - F.col(y)).alias("_q"))
     total = cells.agg(F.sum("_p").alias("_all_p"), F.sum("_q").alias("_all_q"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    pts = cells.crossJoin(F.broadcast(total)).select("score", (F.sum("_q").over(run) / F.col("_all_q")).alias("fpr"), (F.sum("_p").over(run) / F.col("_all_p")).alias("tpr"))
-    step = (F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))) * (F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2
-    return pts.withColumn("_step", step).select("score", "fpr", "tpr", F.sum("_step").over(run).alias("area"))
+    at = running(cells, "score", {"_q0": "_q", "_p0": "_p"}, descending=True).crossJoin(F.broadcast(total))
+    at = at.withColumns({"_area": (F.col("_p0") + F.col("_p") / 2.0) * F.col("_q") / (F.col("_all_q") * F.col("_all_p"))})
+    pts = running(at, "score", {"_before": "_area"}, descending=True)
+    return pts.select("score", ((F.col("_q0") + F.col("_q")) / F.col("_all_q")).alias("fpr"), ((F.col("_p0") + F.col("_p")) / F.col("_all_p")).alias("tpr"), (F.col("_before") + F.col("_area")).alias("area"))
 
 
 def thin(curve: DataFrame, points: int = 200) -> DataFrame:
@@ -34,10 +34,9 @@ def weighted_quantile(df: DataFrame, value: str, key: str, shares: list[float])
     """``(share, value)``: first value whose cumulative weight reaches the share; a row weighs 1 / occurrences of its key."""
     rows = df.withColumn("_w", 1.0 / F.count("*").over(Window.partitionBy(key)))
     cells = rows.groupBy(F.col(value).alias("_v")).agg(F.round(F.sum("_w"), 9).alias("_w"))
-    run = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumns({"_cw": F.sum("_w").over(run), "_W": F.sum("_w").over(Window.partitionBy(F.lit(0)))})
+    cells = running(cells, "_v", {"_cw": "_w"}).withColumn("_cw", F.col("_cw") + F.col("_w")).crossJoin(F.broadcast(cells.agg(F.sum("_w").alias("_total"))))
     at = cells.withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
-    return at.groupBy("share").agg(F.min(F.when(F.col("_cw") >= F.col("share") * F.col("_W") - 1e-9, F.col("_v"))).alias("value"))
+    return at.groupBy("share").agg(F.min(F.when(F.col("_cw") >= F.col("share") * F.col("_total") - 1e-9, F.col("_v"))).alias("value"))
 
 
 def tier_table(df: DataFrame, keys: list[str], schemes: dict[str, str], p: str, y: str) -> DataFrame:

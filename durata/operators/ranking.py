@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import hash_uniform
+from .ordered import running
 
 
 def set_rows(df: DataFrame, scenarios: dict[str, list[str]]) -> DataFrame:
@@ -26,13 +27,16 @@ def complete_sets(df: DataFrame, keys: list[str], scores: list[str], least: int
 def auc(df: DataFrame, keys: list[str], score: str, target: str, weight: str | None = None) -> DataFrame:
     """``(keys.., pos, neg, auc)``: area under the ROC curve, ties at half; null with one class.
 
-    Scores shrink to distinct values with class sums first, so the window's rows
-    are distinct scores, whatever the number of rows.
+    Scores shrink to distinct values with class sums first, so what is ordered are
+    distinct scores, whatever the number of rows; without keys, in ranges.
     """
     w = F.lit(1) if weight is None else F.col(weight)
     cells = df.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(w * F.col(target)).alias("_p"), F.sum(w * (1 - F.col(target))).alias("_q"))
-    over = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_below", F.coalesce(F.sum("_q").over(over), F.lit(0)))
+    if keys:
+        over = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        cells = cells.withColumn("_below", F.coalesce(F.sum("_q").over(over), F.lit(0)))
+    else:
+        cells = running(cells, "_s", {"_below": "_q"})
     out = cells.groupBy(*keys).agg(F.sum("_p").alias("pos"), F.sum("_q").alias("neg"), F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2.0)).alias("_u"))
     return out.select(*keys, "pos", "neg", F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("_u") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
@@ -73,16 +77,22 @@ def half_gap(df: DataFrame, keys: list[str], score: str, target: str, order: str
     return sets.filter("n >= 2").agg(F.count("*").alias("sets"), (F.sum((F.col("hi") - F.col("lo")) * F.col("n")) / F.sum("n")).alias("gap"))
 
 
-def label_gap(df: DataFrame, keys: list[str], high: str, target: str, least: int = 3, weighting: str = "size") -> DataFrame:
-    """High-minus-low rate within sets that have both labels, weighted by size or by the smaller side."""
+def label_gap(df: DataFrame, keys: list[str], high: str, target: str, least: int = 3, weighting: str = "size", score: str | None = None, spread: float = 0.0) -> DataFrame:
+    """High-minus-low rate within sets that have both labels, weighted by size or by the smaller side.
+
+    With ``score``, sets whose scores span ``spread`` or more and the others are
+    told apart by a column ``wide``.
+    """
     if weighting not in ("size", "smaller"):
         raise ValueError("weighting must be size or smaller")
     h, y = F.col(high), F.col(target)
-    sets = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(h).alias("n_hi"), F.sum(h * y).alias("y_hi"), F.sum((1 - h) * y).alias("y_lo"))
+    wide = F.lit(True) if score is None else F.coalesce(F.max(score) - F.min(score) >= spread, F.lit(False))
+    sets = df.groupBy(*keys).agg(wide.alias("wide"), F.count("*").alias("n"), F.sum(h).alias("n_hi"), F.sum(h * y).alias("y_hi"), F.sum((1 - h) * y).alias("y_lo"))
     sets = sets.withColumn("n_lo", F.col("n") - F.col("n_hi")).filter((F.col("n") >= least) & (F.col("n_hi") > 0) & (F.col("n_lo") > 0))
     w = F.col("n") if weighting == "size" else F.least("n_hi", "n_lo")
     gap = F.col("y_hi") / F.col("n_hi") - F.col("y_lo") / F.col("n_lo")
-    return sets.agg(F.count("*").alias("sets"), F.sum("n").alias("rows"), (F.sum(gap * w) / F.sum(w)).alias("gap"))
+    sums = [F.count("*").alias("sets"), F.sum("n").alias("rows"), (F.sum(gap * w) / F.sum(w)).alias("gap")]
+    return sets.agg(*sums) if score is None else sets.groupBy("wide").agg(*sums)
 
 
 def same_share(df: DataFrame, keys: list[str], score: str, share: float, seed: int = 1, key: str = "row_id") -> DataFrame:

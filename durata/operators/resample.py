@@ -43,6 +43,33 @@ def bootstrap_ratio(df: DataFrame, cluster: str, numerator: Column, denominator:
     return total.crossJoin(q).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")
 
 
+def bootstrap_differences(df: DataFrame, cluster: str, methods: dict[str, tuple[Column, Column]], reference: str, replicates: int = 200, seed: int = 1) -> DataFrame:
+    """``(method, estimate, low, high, difference, diff_low, diff_high)`` of ratios of sums, all from the same draws.
+
+    ``methods`` has each method's numerator and denominator; differences are to
+    ``reference``, for which they are null.
+    """
+    long = F.array(*[F.struct(F.lit(m).alias("method"), a.cast("double").alias("_x"), b.cast("double").alias("_y")) for m, (a, b) in methods.items()])
+    sums = df.select(cluster, F.inline(long)).groupBy(cluster, "method").agg(F.sum("_x").alias("_a"), F.sum("_y").alias("_b2"))
+    clusters = numbered(df.select(cluster).distinct(), cluster)
+    drawn = multiplicities(clusters, cluster, replicates, seed).join(clusters.select(cluster, "cluster_no"), "cluster_no").join(sums, cluster)
+    ratio = lambda m: F.sum(m * F.col("_a")) / F.nullif(F.sum(m * F.col("_b2")), F.lit(0.0))
+    return _compared(sums.groupBy("method").agg(ratio(F.lit(1)).alias("x")), drawn.groupBy("rep", "method").agg(ratio(F.col("m")).alias("x")), "method", reference)
+
+
+def _compared(whole: DataFrame, reps: DataFrame, name: str, reference: str) -> DataFrame:
+    """Estimates and intervals of ``x`` by ``name``, and of its difference to the reference within each replicate."""
+    pair = F.array(F.lit(0.025), F.lit(0.975))
+    base = reps.filter(F.col(name) == reference).select("rep", F.col("x").alias("_ref"))
+    q = reps.join(base, "rep", "left").groupBy(name).agg(F.percentile("x", pair).alias("q"), F.percentile(F.col("x") - F.col("_ref"), pair).alias("d"))
+    point = whole.crossJoin(F.broadcast(whole.filter(F.col(name) == reference).select(F.col("x").alias("_ref"))))
+    other = lambda c: F.when(F.col(name) != reference, c)
+    return point.join(q, name).select(
+        name, F.col("x").alias("estimate"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"),
+        other(F.col("x") - F.col("_ref")).alias("difference"), other(F.col("d")[0]).alias("diff_low"), other(F.col("d")[1]).alias("diff_high"),
+    )
+
+
 def bootstrap_gap(df: DataFrame, cluster: str, high: str, target: str, replicates: int = 200, seed: int = 1) -> DataFrame:
     """Gap and ratio of the rates of two groups with percentile intervals; rows follow their cluster."""
     h, y = F.col(high), F.col(target)
@@ -56,13 +83,18 @@ def bootstrap_gap(df: DataFrame, cluster: str, high: str, target: str, replicate
     return one.crossJoin(q).select((F.col("h") - F.col("l")).alias("gap"), F.col("g")[0].alias("gap_low"), F.col("g")[1].alias("gap_high"), (F.col("h") / F.nullif("l", F.lit(0.0))).alias("ratio"), F.col("r")[0].alias("ratio_low"), F.col("r")[1].alias("ratio_high"))
 
 
-def bootstrap_auc(df: DataFrame, cluster: str, scores: list[str], target: str, replicates: int = 100, seed: int = 1) -> DataFrame:
-    """``(score, auc, low, high)`` by weighted AUCs of resampled clusters; all scores share the draws."""
+def bootstrap_auc(df: DataFrame, cluster: str, scores: list[str], target: str, reference: str | None = None, replicates: int = 100, seed: int = 1) -> DataFrame:
+    """``(score, estimate, low, high, difference, diff_low, diff_high)`` by weighted AUCs of resampled clusters; all scores share the draws.
+
+    Differences are to ``reference``, the first score unless told.
+    """
     from .ranking import auc
 
     clusters = numbered(df.select(cluster).distinct(), cluster)
     long = df.select(cluster, target, F.inline(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("_v")) for s in scores])))
-    cells = long.groupBy(cluster, "score", "_v", target).agg(F.count("*").alias("_n"))
-    drawn = multiplicities(clusters, cluster, replicates, seed).join(clusters.select(cluster, "cluster_no"), "cluster_no").join(cells, cluster).withColumn("_w", F.col("m") * F.col("_n"))
-    reps = auc(drawn, ["score", "rep"], "_v", target, "_w").groupBy("score").agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return auc(long, ["score"], "_v", target).join(reps, "score").select("score", "auc", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    cells = long.groupBy(cluster, "score", "_v").agg(F.count("*").alias("_n"), F.sum(target).alias("_p"))
+    drawn = multiplicities(clusters, cluster, replicates, seed).join(clusters.select(cluster, "cluster_no"), "cluster_no").join(cells, cluster)
+    both = F.array(F.struct(F.lit(1).alias("_y"), F.col("_p").alias("_c")), F.struct(F.lit(0).alias("_y"), (F.col("_n") - F.col("_p")).alias("_c")))
+    drawn = drawn.groupBy("rep", "score", "_v").agg(F.sum(F.col("m") * F.col("_n")).alias("_n"), F.sum(F.col("m") * F.col("_p")).alias("_p")).select("rep", "score", "_v", F.inline(both))
+    reps = auc(drawn, ["score", "rep"], "_v", "_y", "_c").select("rep", "score", F.col("auc").alias("x"))
+    return _compared(auc(long, ["score"], "_v", target).select("score", F.col("auc").alias("x")), reps, "score", reference or scores[0])

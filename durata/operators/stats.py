@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def _quartiles(value: Column) -> Column:
     return F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -20,8 +22,10 @@ def exact_stats(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     by = list(by)
     rows = df.filter(F.col(value).isNotNull())
     counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    freq = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    top = counts.withColumn("_top", F.max("_c").over(freq)).filter("_c = _top")
+    if by:
+        top = counts.withColumn("_top", F.max("_c").over(Window.partitionBy(*by))).filter("_c = _top")
+    else:
+        top = counts.crossJoin(F.broadcast(counts.agg(F.max("_c").alias("_top")))).filter("_c = _top")
     shown = F.array_join(F.transform(F.sort_array(F.collect_list("_v")), lambda v: v.cast("long").cast("string")), "|")
     modes = top.groupBy(*by).agg(shown.alias("modes"), F.count("*").alias("mode_ties"), F.first("_c").alias("mode_freq"), F.min("_v").alias("_mode"))
     sums = rows.groupBy(*by).agg(
@@ -73,9 +77,8 @@ def flag_counts(df: DataFrame, flags: list[str], scope: Column) -> DataFrame:
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """``(value, rank)`` of distinct values: ties share the mean of their ranks."""
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_c"))
-    below = F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("value", (below + (F.col("_c") + 1) / 2.0).alias("rank"))
+    counts = running(df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_c")), "value", {"_below": "_c"})
+    return counts.select("value", (F.col("_below") + (F.col("_c") + 1) / 2.0).alias("rank"))
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -52,10 +52,10 @@ def survival_at(curve: DataFrame, days: list[int], strata: list[str] = ()) -> Da
 
 
 def quantile_times(curve: DataFrame, shares: list[float], strata: list[str] = ()) -> DataFrame:
-    """``(strata.., share, t)``: the first time by which that share has ended; null if it never has."""
+    """``(strata.., share, t)``: the first time by which that share has ended (up to rounding); null if it never has."""
     strata = list(strata)
     at = curve.withColumn("share", F.explode(F.array(*[F.lit(p) for p in shares])))
-    return at.groupBy(*strata, "share").agg(F.min(F.when(F.col("s") <= 1 - F.col("share"), F.col("t"))).alias("t"))
+    return at.groupBy(*strata, "share").agg(F.min(F.when(F.col("s") <= 1 - F.col("share") + 1e-9, F.col("t"))).alias("t"))
 
 
 def summary(df: DataFrame, strata: list[str], days: list[int] = (14, 30, 60)) -> DataFrame:

@@ -100,6 +100,15 @@ def n10_label_gap_by_smaller(spark, d):
     return R.label_gap(rows, ["snapshot", "city"], "hi", "y", weighting="smaller").withColumn("gap", _r("gap"))
 
 
+@query(
+    f"""WITH {_CAND}, g AS (SELECT max(p) - min(p) >= 0.2 AS wide, count(*) AS n, sum((p >= 0.5)::INT) AS nh, sum((p >= 0.5)::INT * y) AS yh, sum((p < 0.5)::INT * y) AS yl FROM cand GROUP BY snapshot, city)
+    SELECT wide, count(*) AS sets, sum(n)::BIGINT AS rows, round(sum((yh / nh::DOUBLE - yl / (n - nh)::DOUBLE) * n) / sum(n), 9) AS gap FROM g WHERE n >= 3 AND nh > 0 AND n > nh GROUP BY wide"""
+)
+def n10_label_gap_by_spread(spark, d):
+    rows = _cand(spark, d).withColumn("hi", (F.col("p") >= 0.5).cast("int"))
+    return R.label_gap(rows, ["snapshot", "city"], "hi", "y", score="p", spread=0.2).withColumn("gap", _r("gap"))
+
+
 @query(f"WITH {_CAND} SELECT row_id, snapshot, (row_number() OVER (PARTITION BY snapshot ORDER BY p DESC, ('0x' || substr(md5('1|' || row_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE, row_id) <= round_even(0.3::DOUBLE * count(*) OVER (PARTITION BY snapshot), 0))::INT AS chosen FROM cand")
 def n11_same_share(spark, d):
     return R.same_share(_cand(spark, d), ["snapshot"], "p", 0.3).select("row_id", "snapshot", "chosen")
@@ -187,10 +196,46 @@ def m16_entity_bootstrap_gap(spark, d):
     return out.select(*[_r(c).alias(c) for c in out.columns])
 
 
-@query()
+_HIGH = "sum(y) AS a, count(*) AS b, sum((p >= 0.5)::INT * y) AS ah, sum((p >= 0.5)::INT) AS bh"
+
+
+@query(
+    f"""WITH {_CAND}, {_BOOT.format(sums=_HIGH)},
+    x AS (SELECT rep, sum(m * a) / sum(m * b)::DOUBLE AS xa, sum(m * ah) / nullif(sum(m * bh), 0)::DOUBLE AS xh FROM ms JOIN no USING (cluster_no) GROUP BY rep),
+    o AS (SELECT sum(a) / sum(b)::DOUBLE AS oa, sum(ah) / sum(bh)::DOUBLE AS oh FROM no)
+    SELECT 'all' AS method, round(any_value(oa), 9) AS estimate, round(quantile_cont(xa, 0.025), 9) AS low, round(quantile_cont(xa, 0.975), 9) AS high,
+           NULL::DOUBLE AS difference, NULL::DOUBLE AS diff_low, NULL::DOUBLE AS diff_high FROM x, o
+    UNION ALL SELECT 'high', round(any_value(oh), 9), round(quantile_cont(xh, 0.025), 9), round(quantile_cont(xh, 0.975), 9),
+           round(any_value(oh - oa), 9), round(quantile_cont(xh - xa, 0.025), 9), round(quantile_cont(xh - xa, 0.975), 9) FROM x, o"""
+)
+def m15_bootstrap_differences(spark, d):
+    """The end rate of high scores and of all rows, and their difference in the same draws."""
+    hi = (F.col("p") >= 0.5).cast("int")
+    out = S.bootstrap_differences(_cand(spark, d), "city", {"all": (F.col("y"), F.lit(1)), "high": (hi * F.col("y"), hi)}, "all")
+    return out.select("method", *[_r(c).alias(c) for c in out.columns[1:]])
+
+
+_AUCS = "CASE WHEN sum(pos) > 0 AND sum(n - pos) > 0 THEN sum(pos * (below + (n - pos) / 2.0::DOUBLE)) / (sum(pos) * sum(n - pos)) END"
+_BELOW = "coalesce(sum(n - pos) OVER (PARTITION BY {k} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below"
+
+
+@query(
+    f"""WITH {_CAND}, {_BOOT.format(sums='count(*) AS b')},
+    cells AS (SELECT city, score, v, count(*) AS n, sum(y) AS pos FROM (SELECT city, 'p' AS score, p AS v, y FROM cand UNION ALL SELECT city, 'early', -elapsed_day::DOUBLE, y FROM cand) GROUP BY ALL),
+    w0 AS (SELECT score, v, sum(n) AS n, sum(pos) AS pos FROM cells GROUP BY ALL), w1 AS (SELECT *, {_BELOW.format(k='score')} FROM w0),
+    whole AS (SELECT score, {_AUCS} AS x FROM w1 GROUP BY score),
+    r0 AS (SELECT rep, score, v, sum(m * n) AS n, sum(m * pos) AS pos FROM ms JOIN no USING (cluster_no) JOIN cells USING (city) WHERE rep < 50 GROUP BY ALL),
+    r1 AS (SELECT *, {_BELOW.format(k='rep, score')} FROM r0), reps AS (SELECT rep, score, {_AUCS} AS x FROM r1 GROUP BY rep, score),
+    d AS (SELECT reps.*, ref.x AS r FROM reps JOIN (SELECT rep, x FROM reps WHERE score = 'p') ref USING (rep))
+    SELECT score, round(any_value(w.x), 9) AS estimate, round(quantile_cont(d.x, 0.025), 9) AS low, round(quantile_cont(d.x, 0.975), 9) AS high,
+           CASE WHEN score <> 'p' THEN round(any_value(w.x - (SELECT x FROM whole WHERE score = 'p')), 9) END AS difference,
+           CASE WHEN score <> 'p' THEN round(quantile_cont(d.x - d.r, 0.025), 9) END AS diff_low, CASE WHEN score <> 'p' THEN round(quantile_cont(d.x - d.r, 0.975), 9) END AS diff_high
+    FROM d JOIN whole w USING (score) GROUP BY score"""
+)
 def m17_bootstrap_auc(spark, d):
     rows = _cand(spark, d).withColumn("early", -F.col("elapsed_day").cast("double"))
-    return S.bootstrap_auc(rows, "city", ["p", "early"], "y", 50)
+    out = S.bootstrap_auc(rows, "city", ["p", "early"], "y", replicates=50)
+    return out.select("score", *[_r(c).alias(c) for c in out.columns[1:]])
 
 
 _TWO = "sc AS (SELECT 'rate' AS model, city, p, y FROM cand UNION ALL SELECT 'flat', city, 0.5::DOUBLE, y FROM cand), br AS (SELECT model, city, avg(p) AS predicted, avg(y) AS actual, avg((y - p) * (y - p)) AS brier FROM sc GROUP BY ALL)"
@@ -242,7 +287,43 @@ def l04_risk_lookup(spark, d):
     return L.risk_lookup(rows.filter(F.year("snapshot") == 2000), groups, ["city", "rent_band"], 4).select("row_id", "snapshot", "rate", "status")
 
 
-@query(f"WITH {_CAND}, g AS (SELECT city, rent_band, count(*) AS n, sum(y) / count(*)::DOUBLE AS rate FROM tr GROUP BY ALL) SELECT city, rent_band, n, rate FROM g WHERE city IN ('NATION_8', 'NATION_12', 'NATION_19') ORDER BY rate DESC, city, rent_band")
+@query(
+    f"""WITH {_CAND}, g AS (SELECT city, rent_band, count(*) AS n, sum(y) / count(*)::DOUBLE AS rate FROM tr GROUP BY ALL HAVING count(*) >= 4)
+    SELECT c.row_id, c.snapshot, CASE WHEN layout <> 'R' THEN round(p, 9) END AS risk, g.rate, CASE WHEN layout <> 'R' THEN 'model' ELSE 'historical' END AS mode,
+           CASE WHEN layout <> 'R' THEN CASE WHEN p >= 0.5 THEN 'hi' ELSE 'lo' END END AS level, CASE WHEN g.rate IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status
+    FROM cand c LEFT JOIN g ON g.city = c.city AND g.rent_band = c.rent_band"""
+)
+def l05_model_or_historical(spark, d):
+    """Rows of one category have no model: they get the past rate of their group alone."""
+    from ..operators.hazard import scored_or_historical
+
+    rows, groups = _cand(spark, d), L.group_table(_snaps(spark, d).filter(F.year("snapshot") == 1999), ["city", "rent_band"], "y", 0.5)
+    risk = rows.filter("layout <> 'R'").select("row_id", "snapshot", "p")
+    out = scored_or_historical(rows.drop("p"), risk, groups, ["row_id", "snapshot"], ["city", "rent_band"], 4, 0.5)
+    return out.select("row_id", "snapshot", _r("risk").alias("risk"), "rate", "mode", "level", "status")
+
+
+_G = "g AS (SELECT city, rent_band, city || ' | ' || rent_band AS group_id, count(*) AS n, sum(y) / count(*)::DOUBLE AS rate FROM tr GROUP BY ALL)"
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return L.group_table(_snaps(spark, d).filter(F.year("snapshot") == 1999), ["city", "rent_band"], "y", 0.5)
+
+
+@query(f"WITH {_CAND}, {_G} SELECT group_id, n, rate FROM g WHERE city IN ('NATION_8', 'NATION_12', 'NATION_19') AND contains(lower(group_id), 'on_1')")
 def l06_group_filter(spark, d):
-    groups = L.group_table(_snaps(spark, d).filter(F.year("snapshot") == 1999), ["city", "rent_band"], "y", 0.5)
-    return groups.filter(F.col("city").isin("NATION_8", "NATION_12", "NATION_19")).select("city", "rent_band", "n", "rate").orderBy(F.desc("rate"), "city", "rent_band")
+    cities = {"city": ["NATION_8", "NATION_12", "NATION_19"]}
+    return L.filter_groups(_groups(spark, d), ["city", "rent_band"], cities, "ON_1", order="count").select("group_id", "n", "rate")
+
+
+@query(f"WITH {_CAND}, {_G} SELECT group_id, n, rate FROM g ORDER BY rate, group_id LIMIT 5")
+def l06_lowest_rates(spark, d):
+    return L.filter_groups(_groups(spark, d), ["city", "rent_band"], {}, order="low_rate").select("group_id", "n", "rate").limit(5)
+
+
+_SAVED = [f"{city} | {band}" for city in ("NATION_8", "NATION_12") for band in range(3)]
+
+
+@query(f"WITH {_CAND}, {_G} SELECT group_id, n, rate FROM g WHERE group_id IN {tuple(_SAVED)}")
+def l06_saved_side_by_side(spark, d):
+    return L.filter_groups(_groups(spark, d), ["city", "rent_band"], {}, saved=_SAVED, order="name").select("group_id", "n", "rate")

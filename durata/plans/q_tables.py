@@ -210,7 +210,7 @@ def b01_b02_b11_full_range_bands(spark, d):
 @query("SELECT row_id, (floor(rent / 20000)::BIGINT * 20000)::STRING || '-' || ((floor(rent / 20000)::BIGINT + 1) * 20000)::STRING AS rent_band FROM iv")
 def b03_apply_bands(spark, d):
     rows = intervals(spark, d)
-    return B.apply_bands(rows, B.band_table(rows, {"rent": 20000}), "rent", 20000, "rent_band").select("row_id", "rent_band")
+    return B.apply_bands(rows, "rent", 20000, "rent_band").select("row_id", "rent_band")
 
 
 @query("WITH m AS (SELECT greatest(ceil(max(area) / 2) - 1, 0)::INT AS a FROM iv) SELECT b::INT AS bin, b * 2.0::DOUBLE AS lo, (b + 1) * 2.0::DOUBLE AS hi FROM (SELECT unnest(range(0, a + 1)) AS b FROM m)")

@@ -244,16 +244,74 @@ def p14_evaluate_hazard(spark, d):
     return out.select("landmark", "horizon", "n", *[_r(c, 6).alias(c) for c in ("predicted", "actual", "brier", "auc")])
 
 
-_SC = "sc AS (SELECT quantile_cont(rent, 0.5) AS rm, quantile_cont(rent, 0.75) - quantile_cont(rent, 0.25) AS rs, quantile_cont(area, 0.5) AS am, quantile_cont(area, 0.75) - quantile_cont(area, 0.25) AS as_ FROM iv WHERE year(start_date) = 1998)"
+_SC = """
+tr0 AS (SELECT *, CASE WHEN {age} >= 0 THEN {age} END AS age FROM iv), tr AS (SELECT * FROM tr0 WHERE year(start_date) = 1998 AND city <> 'NATION_8'),
+sc AS (SELECT {parts} FROM tr),
+q AS (SELECT row_id, city, {units} FROM tr0, sc WHERE start_date <= DATE '2000-04-01' AND end_date > DATE '2000-04-01'),
+nb AS (SELECT row_id AS neighbour, city, {units} FROM tr, sc),
+ds AS (SELECT q.row_id, neighbour, sqrt({d2}) AS distance FROM q JOIN nb USING (city)),
+near AS (SELECT row_id, neighbour, distance FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY distance, neighbour) AS k FROM ds) WHERE k <= 30)
+""".format(
+    age=_AGE,
+    parts=", ".join(f"quantile_cont({c}, 0.5) AS {c}_m, CASE WHEN quantile_cont({c}, 0.75) > quantile_cont({c}, 0.25) THEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) ELSE 1.0::DOUBLE END AS {c}_s" for c in ("age", "rent", "area", "walk_distance")),
+    units=", ".join(f"(coalesce({c}, {c}_m) - {c}_m) / {c}_s AS u_{c}" for c in ("age", "rent", "area", "walk_distance")),
+    d2=" + ".join(f"(q.u_{c} - nb.u_{c}) * (q.u_{c} - nb.u_{c})" for c in ("age", "rent", "area", "walk_distance")),
+)
+_FOUR = ["age", "rent", "area", "walk_distance"]
+
+
+def _comparables(spark, d):
+    rows = _aged(intervals(spark, d))
+    train = rows.filter((F.year("start_date") == 1998) & (F.col("city") != "NATION_8"))
+    return rows, train, N.snapshot(rows, [dt.date(2000, 4, 1)], [14], OBS_END)
 
 
-@query(f"WITH {_SC}, q AS (SELECT row_id, city, (rent - rm) / rs AS r, (area - am) / as_ AS a FROM iv, sc WHERE start_date = DATE '2000-04-01'), n AS (SELECT row_id AS neighbour, city, (rent - rm) / rs AS r, (area - am) / as_ AS a FROM iv, sc WHERE year(start_date) = 1998), d AS (SELECT q.row_id, neighbour, sqrt((q.r - n.r) * (q.r - n.r) + (q.a - n.a) * (q.a - n.a)) AS distance FROM q JOIN n USING (city)) SELECT row_id, neighbour, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY distance, neighbour) AS k FROM d) WHERE k <= 5")
+@query(f"WITH {_SC} SELECT row_id, neighbour, round(distance, 6) AS distance FROM near")
 def p12_comparables(spark, d):
     from ..operators import hazard as H
 
-    rows = intervals(spark, d)
-    out = H.comparables(rows.filter(F.year("start_date") == 1998), rows.filter(F.col("start_date") == F.lit(dt.date(2000, 4, 1))), "city", ["rent", "area"], "row_id", 5)
-    return out.withColumn("distance", _r("distance", 6))
+    _, train, live = _comparables(spark, d)
+    return H.comparables(train, live, "city", _FOUR, "row_id").withColumn("distance", _r("distance", 6))
+
+
+@query(
+    f"""WITH {_SC}, cens AS (SELECT row_id, (end_date < DATE '2000-01-01')::INT AS event, (least(end_date, DATE '2000-01-01') - start_date)::INT AS t FROM tr),
+    tm AS (SELECT near.row_id, t, event FROM near JOIN cens ON cens.row_id = near.neighbour UNION ALL SELECT 'all', t, event FROM cens),
+    k0 AS (SELECT row_id, t, sum(event) AS d, count(*) AS c FROM tm GROUP BY ALL), k1 AS (SELECT *, sum(c) OVER (PARTITION BY row_id ORDER BY t DESC) AS n FROM k0),
+    k2 AS (SELECT row_id, t, product(1.0::DOUBLE - d::DOUBLE / n) OVER (PARTITION BY row_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM k1),
+    md AS (SELECT row_id, min(t) FILTER (s <= 0.5 + 1e-9) AS own FROM k2 GROUP BY row_id)
+    SELECT q.row_id, coalesce(c.n, 0) AS neighbours, coalesce(md.own, (SELECT coalesce(own, 730) FROM md WHERE row_id = 'all'))::INT AS median
+    FROM q LEFT JOIN md ON md.row_id = q.row_id LEFT JOIN (SELECT row_id, count(*) AS n FROM near GROUP BY row_id) c ON c.row_id = q.row_id"""
+)
+def p12_comparable_median(spark, d):
+    """One city has no training rows: its rows get the overall median."""
+    from ..operators import hazard as H
+
+    _, train, live = _comparables(spark, d)
+    return H.comparable_median(K.known_at(train, dt.date(2000, 1, 1)), live, "city", _FOUR, "row_id")
+
+
+@query()
+def p07_city_hazard(spark, d):
+    """The hazard with the city as a further category, on all event days and others up to the bound, weighted."""
+    from ..operators import hazard as H
+
+    rows = _aged(intervals(spark, d))
+    train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date") == 1999)
+    model = H.fit_hazard(PP.features(PP.bounded_periods(train, "row_id")), categories=[*H.CATEGORIES, "city"], weight="weight")
+    out = H.evaluate(model, K.censored_at(rows, OBS_END, [2000]), "row_id", [7], [7, 14])
+    return out.select("landmark", "horizon", "n", *[_r(c, 6).alias(c) for c in ("predicted", "actual", "brier", "auc")])
+
+
+@query(
+    f"""WITH {_C}, o AS (SELECT least(1.0::DOUBLE, 20000 / sum(least(t, 29) + 1 - (event = 1 AND t <= 29)::INT)::DOUBLE) AS share FROM cens),
+    p AS (SELECT row_id, day, (event = 1 AND day = t)::INT AS ev FROM (SELECT *, unnest(range(0, least(t, 29) + 1))::INT AS day FROM cens))
+    SELECT ev AS event_in_day, count(*) AS n, sum(day)::BIGINT AS days, round(sum(CASE WHEN ev = 1 THEN 1.0::DOUBLE ELSE 1 / share END), 3) AS weight FROM p, o
+    WHERE ev = 1 OR ('0x' || substr(md5('1|' || row_id || '|' || day), 1, 8))::BIGINT / 4294967296.0::DOUBLE < share GROUP BY ev"""
+)
+def p03_bounded_periods(spark, d):
+    rows = PP.bounded_periods(_censored(spark, d), "row_id", cap=29, most=20_000)
+    return rows.groupBy("event_in_day").agg(F.count("*").alias("n"), F.sum("time_day").alias("days"), _r(F.sum("weight"), 3).alias("weight"))
 
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, count(*) AS events, min(ts)::DATE AS first_day FROM s GROUP BY user_id, k")
@@ -278,7 +336,7 @@ def p08_boosted_hazard(spark, d):
 
     rows = _aged(intervals(spark, d))
     train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date") == 1999)
-    model = H.fit_boosted(PP.features(PP.sampled_periods(train, "row_id", 0.2, cap=50)), rounds=3, depth=4, weight="weight")
+    model = H.early_boosted(PP.features(PP.bounded_periods(train, "row_id")), "row_id", rounds=20, depth=4, weight="weight", tolerance=0.01)
     live = N.snapshot(rows, [dt.date(2000, 4, 1)], [14], OBS_END)
     return H.horizon_risk(model, live, ["row_id"], "elapsed_day", 14).withColumn("p", _r("p", 6))
 
@@ -301,7 +359,8 @@ def p17_scope_comparison(spark, d):
     rows = _aged(intervals(spark, d))
     train = K.known_at(rows, dt.date(2000, 1, 1)).filter(F.year("start_date") == 1999)
     test = K.censored_at(rows, OBS_END, [2000]).filter("layout = 'N'")
-    scopes = {"own": F.col("layout") == "N", "all": F.lit(True)}
+    own, near = F.col("layout") == "N", F.col("layout").isin("N", "R")
+    scopes = {"own": own, "near": near, "all": F.lit(True), "near but own": near & ~own, "all but own": ~own}
     out = None
     for name, scope in scopes.items():
         model = H.fit_hazard(PP.features(PP.bounded_periods(train.filter(scope), "row_id")), weight="weight")

@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_text_table(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", keep: list[str] | None = None) -> DataFrame:
-    """All columns as text by position, never inferred; a malformed line fails the read.  Only ``keep`` is parsed."""
+def read_text_table(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", keep: list[str] | None = None, source: bool = False) -> DataFrame:
+    """All columns as text by position, never inferred; a malformed line fails the read.  Only ``keep`` is parsed.
+
+    With ``source``, each row also tells where it was read: ``source_file``,
+    ``source_block`` (the first byte of its part of the file) and ``source_row``,
+    its number within the part.  The three name a row for as long as the file and
+    the size of the parts stay as they are.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     df = spark.read.schema(schema).option("sep", sep).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
-    return df.select(*keep) if keep else df
+    chosen = [F.col(c) for c in keep or columns]
+    if not source:
+        return df.select(*chosen)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.select(*chosen, F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("source_block"), row.alias("source_row"))
+
+
+def extract(df: DataFrame, condition: Column, path: str, about: dict[str, str]) -> None:
+    """Write the rows that meet ``condition`` as Parquet to ``path/rows``, and ``about`` with the numbers of rows seen and kept as one JSON row to ``path/about``.
+
+    Both numbers are observed while the rows are written: the source is read once.
+    """
+    seen = Observation()
+    kept = F.coalesce(condition, F.lit(False))
+    watched = df.observe(seen, F.count(F.lit(1)).alias("seen"), F.count_if(kept).alias("kept"))
+    watched.filter(kept).write.mode("errorifexists").parquet(f"{path}/rows")
+    row = {**about, "seen": seen.get["seen"], "kept": seen.get["kept"]}
+    df.sparkSession.createDataFrame([row]).coalesce(1).write.mode("errorifexists").json(f"{path}/about")
 
 
 def load_prepared(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

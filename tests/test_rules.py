@@ -234,7 +234,7 @@ def test_model_is_saved_and_scores_unseen_values(spark, tmp_path):
     a = {r.row_id: r.p for r in H.horizon_risk(model, new, ["row_id"], "elapsed", 7).collect()}
     b = {r.row_id: r.p for r in H.horizon_risk(again, new, ["row_id"], "elapsed", 7).collect()}
     assert a == b and all(0 < p < 1 for p in a.values())
-    boosted = H.fit_boosted(PP.features(PP.person_periods(df)), rounds=2, depth=2, least=5)
+    boosted = H.early_boosted(PP.features(PP.person_periods(df)), "row_id", rounds=3, depth=2, least=5)
     assert H.horizon_risk(boosted, new, ["row_id"], "elapsed", 7).count() == 5
 
 
@@ -264,6 +264,51 @@ def test_hazards_fit_on_all_days(spark, monkeypatch):
     assert seen[0].count() == train.agg(F.sum(F.col("t") + 1)).first()[0]
 
 
+def test_extract_and_source(spark, tmp_path):
+    p = tmp_path / "t.tsv"
+    p.write_text("a\tb\n" + "".join(f"{i}\tx\n" for i in range(9)))
+    df = files.read_text_table(spark, str(p), ["a", "b"], keep=["a"], source=True)
+    assert [(r.a, r.source_file, r.source_row) for r in df.collect()] == [(str(i), "t.tsv", i) for i in range(9)]
+    files.extract(df, F.col("a") > "5", str(tmp_path / "x"), {"region": "r"})
+    assert spark.read.parquet(str(tmp_path / "x" / "rows")).count() == 3
+    assert spark.read.json(str(tmp_path / "x" / "about")).first().asDict() == {"region": "r", "seen": 9, "kept": 3}
+    files.save_json(df.select("a"), str(tmp_path / "j"))
+    assert files.load_json(spark, str(tmp_path / "j"), df.select("a").schema).count() == 9
+
+
+def test_scores_fall_back_on_the_past(spark):
+    from durata.operators import hazard as H
+
+    requests = spark.createDataFrame([(1, "g"), (2, "h"), (3, "z")], "id int, g string")
+    groups = spark.createDataFrame([("g", 9, 0.4), ("h", 2, 0.9)], "g string, n long, rate double")
+    risk = spark.createDataFrame([(1, 0.2)], "id int, p double")
+    out = H.scored_or_historical(requests, risk, groups, ["id"], ["g"], 3).orderBy("id").collect()
+    assert [(r["mode"], r.risk, r.level, r.rate, r.status) for r in out] == [("model", 0.2, "hi", 0.4, "ok"), ("historical", None, None, None, "insufficient_data"), ("historical", None, None, None, "insufficient_data")]
+    assert {r["mode"] for r in H.scored_or_historical(requests, None, groups, ["id"], ["g"], 3).collect()} == {"historical"}
+    assert [r.g for r in H.frequent_or_other(requests.unionByName(requests.limit(1)), "g", 1).orderBy("id").collect()] == ["g", "g", "other", "other"]
+
+
+def test_many_bands_are_refused(spark):
+    with pytest.raises(Exception, match="bands"):
+        B.band_table(spark.createDataFrame([(1e12,)], "x double"), {"x": 1}).count()
+
+
+def test_running_sums_in_ranges(spark):
+    from durata.operators.ordered import running
+
+    rows = [(float(v) if v else None, v % 7) for v in [*range(0, 3000, 3)]]
+    for down in (False, True):
+        got = {r.v: (r.a, r.b) for r in running(spark.createDataFrame(rows, "v double, n int").repartition(5), "v", {"a": "n", "b": F.lit(1)}, down, ranges=9).collect()}
+        order = sorted(rows, key=lambda r: -1.0 if r[0] is None else r[0], reverse=down)
+        assert got == {v: (sum(n for _, n in order[:i]), i) for i, (v, _) in enumerate(order)}
+    assert running(spark.createDataFrame([], "v double, n int"), "v", {"a": "n"}).collect() == []
+
+
+def test_thinned_curve(spark):
+    curve = spark.range(1001).select(F.col("id").alias("score"), (F.col("id") / 1000).alias("fpr"), (F.col("id") / 1000).alias("tpr"))
+    assert M.thin(curve, 10).count() == 11
+
+
 def test_bounded_periods(spark):
     df = spark.createDataFrame([(i, 9, i % 2) for i in range(200)], "row_id long, t int, event int")
     whole = PP.bounded_periods(df, "row_id", cap=50)
