@@ -14,13 +14,16 @@ def running(df: DataFrame, value: str, sums: dict[str, str | Column], descending
     itself, and the totals of the ranges before, a table of that fixed size, are
     added.  A null value comes first in ascending order and last in descending.
     """
-    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).first()[0]
-    cuts = sorted(set(edges or []))
-    number = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(value))), F.lit(0)) if cuts else F.lit(0)
-    rows = df.withColumn("_range", (-number if descending else number).cast("int"))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    # all columns are read in each branch, so that one shuffle below serves them all
+    some = F.max(F.xxhash64(*df.columns))
+    cuts = F.percentile_approx(F.col(value).cast("double"), shares, 10_000)
+    edges = df.agg(F.when(some.isNotNull() & cuts.isNotNull(), cuts).otherwise(F.array().cast("array<double>")).alias("_edges"))
+    number = F.size(F.filter("_edges", lambda c: c <= F.col(value)))
+    rows = df.crossJoin(F.broadcast(edges)).withColumn("_range", -number if descending else number).drop("_edges")
     column = {name: F.col(c) if isinstance(c, str) else c for name, c in sums.items()}
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    total = rows.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in column.items()])
+    total = rows.groupBy("_range").agg(some.alias("_some"), *[F.sum(c).alias(f"_t_{name}") for name, c in column.items()]).filter("_some is not null")
     across = before(Window.partitionBy(F.lit(0)).orderBy("_range"))
     base = total.select("_range", *[F.coalesce(F.sum(f"_t_{name}").over(across), F.lit(0)).alias(f"_b_{name}") for name in sums])
     within = before(Window.partitionBy("_range").orderBy(F.desc(value) if descending else F.asc(value)))
