@@ -58,3 +58,28 @@ def test_run(spark, folder):
     d, rows, _ = folder
     out = corpus_pipeline.run(spark, d)
     assert 0 < out.count() and {"doc_id", "shard", "slot"} <= set(out.columns)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_with_odd_rows(spark, folder, name, stage):
+    d, rows, items = folder
+    text, toxic = rows[3][1], next(t for i, t, _ in rows if i == 1300)
+    odd = [(1, text, "en", "a", 5, 1), (1, text, "en", "a", 5, 1), (None, text, None, None, None, 2), (None, None, "en", "a", 0, 3), (7, "", "en", "b", 0, 4), (7, toxic, "en", "b", 9, 5), (8, items[0][1], "en", "c", 9, 6), (None, items[0][1], "en", "c", 9, 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _score int, _text string, shard int, node string"
+    docs = spark.createDataFrame([(*r, "x", 1, "y") for r in odd], schema).withColumnRenamed("shard", "_row")
+    out = stage(spark, docs, d)
+    if name != "sharding":
+        assert out.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text if "text" in out.columns else r["size"]) for r in out.collect()) if name == "sharding" else sorted((str(r.doc_id), str(r.text), r._score) for r in out.collect())
+    full = sorted((str(i), str(t), k) for i, t, _, _, _, k in odd)
+    if name == "toxicity":
+        assert got == [r for r in full if "nasty" not in r[1]]
+    elif name == "near_duplicates":  # of the copies, the row with the smallest id stays; of equal rows one
+        assert got == sorted({r for r in full if r[2] not in (2, 7)})
+    elif name == "decontamination":
+        assert got == [r for r in full if r[2] not in (6, 7)]
+    elif name == "mixing":
+        assert set(got) <= set(full) and {r for r in full if r[1] in ("", "None")} <= set(got)
+    else:
+        assert len(got) == len(odd)
+    assert stage(spark, docs.limit(0), d).collect() == []
