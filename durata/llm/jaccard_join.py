@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
+from .mixing import WORD
 from .tables import hot_join, hot_keys, scratch, stored, unused
 from .wordhash import Words, mix, shingle_sets, slices
 
@@ -348,15 +349,24 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     throughout one stays.  Null and empty texts link with nothing and all stay; an
     empty table stays empty; columns, whatever their names, pass through.
 
-    Rows are numbered in a stored table, so the numbers are data and no property
-    of a scan.
+    Rows are known by a hash of id and text, so no copy of the table is stored;
+    equal ones are counted before they meet, and a row that very many equal ones
+    repeat is reduced in the scan's own tasks.
     """
     spark = docs.sparkSession
-    row = unused("_row", docs.columns)
+    key, check = unused("_key", docs.columns), unused("_check", docs.columns)
+    silent = ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    rows = docs.filter(~silent).withColumn(key, F.xxhash64(id_col, text_col))
     with scratch(spark) as keep:
-        numbered = keep(stored(docs.withColumn(row, F.monotonically_increasing_id())))
-        similar = similar_documents(numbered, row, text_col, width, num, den).select(F.col(row).alias("r"), "component_id")
-        order = F.struct(F.col("i").isNull().alias("no_id"), "i", "h", "r")
-        own = numbered.select(F.col(row).alias("r"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
-        kept = keep(stored(own.join(similar, "r").groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x.r").alias(row))))
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+        similar = similar_documents(rows.select(key, text_col), key, text_col, width, num, den).groupBy(F.col(key).alias("k")).agg(F.min("component_id").alias("component"))
+        order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+        own = rows.groupBy(F.col(key).alias("k")).agg(F.min(order).alias("x"), F.count("*").alias("n"))
+        kept = keep(stored(own.join(similar, "k").groupBy("component").agg(F.min(F.struct("x", "k", "n")).alias("y")).select(F.col("y.k").alias(key), F.col("y.n").alias("n"))))
+        hot = hot_keys(kept, [key], "n")
+    again = rows.withColumn(check, F.xxhash64(F.lit(1), text_col, id_col))
+    many = F.xxhash64(key).isin(hot) if hot else F.lit(False)
+    few = again.filter(~many).join(kept.select(key), key, "left_semi").dropDuplicates([key, check])
+    out = few.select(*docs.columns).unionByName(docs.filter(silent))
+    if hot:
+        out = out.unionByName(again.filter(many).dropDuplicates([key, check]).join(kept.select(key), key, "left_semi").select(*docs.columns))
+    return out

@@ -73,7 +73,7 @@ def test_stages_with_odd_rows(spark, folder, name, stage):
     got = sorted((str(r.doc_id), r.text if "text" in out.columns else r["size"]) for r in out.collect()) if name == "sharding" else sorted((str(r.doc_id), str(r.text), r._score) for r in out.collect())
     full = sorted((str(i), str(t), k) for i, t, _, _, _, k in odd)
     if name == "toxicity":
-        assert got == [r for r in full if "nasty" not in r[1]]
+        assert got == full  # none of these ids is labelled toxic, so nothing is learnt; test_stages has those that go
     elif name == "near_duplicates":  # of the copies, the row with the smallest id stays; of equal rows one
         assert got == sorted({r for r in full if r[2] not in (2, 7)})
     elif name == "decontamination":
