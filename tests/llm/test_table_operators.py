@@ -1,9 +1,11 @@
 """WARC, neighbours, mixing, sharding, secrets and classifiers on small tables with awkward rows."""
 
+import base64
 import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -327,3 +329,29 @@ def test_classifier_edges(spark):
     one = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, toxic int")
     assert all(r._predicted == 1 for r in scored(d, classifier(d, one, "toxic", F.lit(True)), "toxic").collect())
     assert scored(d.limit(0), classifier(d, none, "toxic", F.lit(True)), "toxic").collect() == []
+
+
+def test_secret_rates(spark):
+    """How often planted tokens are reported: random keys nearly always, names, paths, UUIDs and encoded text hardly."""
+    r = random.Random(7)
+    words = "user order index value table count source stream parser buffer handle result config module object number".split()
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pick = lambda symbols, n: "".join(r.choice(symbols) for _ in range(n))
+    camel = lambda n: "".join(w.title() for w in r.choices(words, k=n))
+    kinds = {
+        "key": lambda: pick(alnum + "+/", 40),
+        "url_key": lambda: pick(alnum + "-_", 43),
+        "upper_hex": lambda: pick("0123456789ABCDEF", 32),
+        "base32": lambda: pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32),
+        "uuid": lambda: str(uuid.UUID(int=r.getrandbits(128))),
+        "path": lambda: "/" + "/".join(camel(2) + str(r.randrange(9)) for _ in range(4)),
+        "slug": lambda: "-".join(r.choices(words, k=5)) + "-" + str(r.randrange(10000)),
+        "text": lambda: base64.b64encode(" ".join(r.choices(words, k=14)).encode()).decode(),
+        "name": lambda: camel(5) + str(r.randrange(100)),
+    }
+    rows = [(k, f"see {make()} here") for k, make in kinds.items() for _ in range(100)]
+    out = find_secrets(spark.createDataFrame(rows, "kind string, text string"), "kind", "text")
+    share = {x.kind: x.s for x in out.groupBy("kind").agg(F.avg((F.size("random") > 0).cast("double")).alias("s")).collect()}
+    assert all(share[k] >= 0.85 for k in ("key", "url_key", "upper_hex", "base32")), share
+    assert all(share[k] <= 0.05 for k in ("uuid", "path", "slug", "text")), share
+    assert share["name"] <= 0.5, share  # a battery of short tokens cannot tell all names from keys
