@@ -11,6 +11,7 @@ from .classifiers import classifier, scored
 from .decontaminate import benchmark_matches
 from .ftrl import held_out
 from .jaccard_join import similar_documents
+from .line_dedup import without_repeated_lines
 from .mixing import mix_sources
 from .nearest import nearest
 from .secrets import find_secrets, listed
@@ -245,9 +246,25 @@ FROM s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = s.doc_id
 """
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=20, least_docs=3)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, p, ls[p] AS line, translate(trim(ls[p], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM d)),
+g AS (SELECT k, max(doc_id) AS top FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3)
+SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (g.top <> l.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (g.top IS NULL OR g.top = l.doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN g ON g.k = l.k GROUP BY l.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_substring_dedup, op2_warc, op3_toxicity, op4_decontamination, op5_nearest, op6_mixing, op7_quality, op8_secrets, op9_sharding, op10_jaccard_join)}
+    return {q.__name__: q for q in (op1_substring_dedup, op2_warc, op3_toxicity, op4_decontamination, op5_nearest, op6_mixing, op7_quality, op8_secrets, op9_sharding, op10_jaccard_join, op11_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_nearest": OP5_SQL, "op8_secrets": OP8_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_nearest": OP5_SQL, "op8_secrets": OP8_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_line_dedup": OP11_SQL}
