@@ -68,12 +68,12 @@ def line_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if least_docs < 1:
         raise ValueError("least_docs must be 1 or more")
-    docs = df.select(F.col(id_col).alias("_d"), _text_hash(text_col).alias("_t"), F.posexplode(line_keys(F.col(text_col))).alias("_p", "_k"))
-    rows = docs.filter(F.char_length("_k") >= least_chars).select("_d", "_t", "_p", F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit(1), "_k").alias("_h2"))
+    docs = df.select(F.col(id_col).alias("_d"), _text_hash(text_col).alias("_t"), line_keys(F.col(text_col)).alias("_ks"))  # once a text, not once a line
+    rows = docs.select("_d", "_t", F.posexplode("_ks").alias("_p", "_k")).filter(F.char_length("_k") >= least_chars).select("_d", "_t", "_p", F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit(1), "_k").alias("_h2"))
     with scratch(df.sparkSession) as keep:
         gone = _dropped(stored(rows), least_docs)
         gone = gone.groupBy("_d", "_t").agg(F.sort_array(F.collect_set("_p")).alias("_gone"))
-        out = gone.select(F.col("_d").alias(id_col), F.col("_t").alias("text_hash"), F.size("_gone").cast("long").alias("n_dropped"), _runs(F.col("_gone")).alias("cleared"))
+        out = gone.select(F.col("_d").alias(id_col), F.col("_t").alias("text_hash"), F.size("_gone").cast("long").alias("n_dropped"), F.transform(F.array("_gone"), _runs)[0].alias("cleared"))
         return keep(stored(out))
 
 
