@@ -114,7 +114,8 @@ def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str
     free = {c: unused(c, [*df.columns, own]) for c in bits.columns}
     bits = bits.withColumnsRenamed(free)
     rows = df.withColumn(own, _text_hash(text_col))
-    met = rows.join(bits, rows[id_col].eqNullSafe(bits[free["_bit_id"]]) & (rows[own] == bits[free["_bit_hash"]]), "left")
+    # bitmaps grow with the documents, so they are never broadcast, however few they are here
+    met = rows.join(bits.hint("merge"), rows[id_col].eqNullSafe(bits[free["_bit_id"]]) & (rows[own] == bits[free["_bit_hash"]]), "left")
     runs = F.col(free["_bit_runs"])
     new = (F.size(lines(F.col(text_col))).cast("long"), F.coalesce(free["_bit_n"], F.lit(0)), F.coalesce(runs, F.array().cast("array<struct<start:int,length:int>>")), kept_lines(F.col(text_col), runs))
     return met.select(*df.columns, *[c.alias(name) for c, name in zip(new, taken, strict=True)])
