@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster
 from .classifiers import classifier, scored
 from .decontaminate import benchmark_matches
 from .ftrl import held_out
 from .jaccard_join import similar_documents
 from .line_dedup import without_repeated_lines
+from .mining import hard_negatives
 from .mixing import mix_sources
 from .nearest import nearest
 from .secrets import find_secrets, listed
@@ -262,9 +264,59 @@ FROM l LEFT JOIN g ON g.k = l.k GROUP BY l.doc_id
 """
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=40, rounds=5, seed=2, dim=64)
+    return out.drop("embedding")
+
+
+def _op12_sql(rounds: int = 5) -> str:
+    nearest = """SELECT v.r, v.vec_id, v.w, arg_min(c.c, (d.d, c.c)) AS c, min(d.d) AS d FROM v, {c} c,
+  LATERAL (SELECT list_sum(list_transform(list_zip(v.w, c.w), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d) d GROUP BY v.r, v.vec_id, v.w"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(c=f'c{i}')})")
+        steps.append(f"""m{i} AS (SELECT c, list(x ORDER BY i) AS w FROM (SELECT c, i, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS x FROM (SELECT c, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a{i}) GROUP BY c, i) GROUP BY c)""")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT p.c, coalesce(m.w, p.w) AS w FROM c{i} p LEFT JOIN m{i} m ON m.c = p.c)")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)::BIGINT) AS w FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), w) - 1 AS c, w FROM v WHERE vec_id IS NOT NULL ORDER BY sha256('2:' || vec_id), w LIMIT 40
+), {', '.join(steps)}, f AS MATERIALIZED ({nearest.format(c=f'c{rounds}')})
+SELECT f.vec_id, f.c::INTEGER AS cluster, f.d AS distance, (sum(f.d) OVER (PARTITION BY f.c))::BIGINT AS cluster_inertia, (sum(f.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(c.w, ',')) AS centroid_sha256
+FROM f JOIN c{rounds} c ON c.c = f.c
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=5, low=80, high=100)
+
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)::BIGINT) AS w
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, coalesce(list_sum(list_transform(list_zip(a.w, c.w), lambda x: x[1] * x[2])), 0)::BIGINT AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id AND len(c.w) = len(a.w) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT a, c AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5
+)
+SELECT p.a AS anchor_id, positive_id, (row_number() OVER (PARTITION BY p.a, positive_id ORDER BY s.score DESC, s.c))::INTEGER AS rank, s.c AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 100 * s.score >= 80 * positive_score AND 100 * s.score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_substring_dedup, op2_warc, op3_toxicity, op4_decontamination, op5_nearest, op6_mixing, op7_quality, op8_secrets, op9_sharding, op10_jaccard_join, op11_line_dedup)}
+    return {q.__name__: q for q in (op1_substring_dedup, op2_warc, op3_toxicity, op4_decontamination, op5_nearest, op6_mixing, op7_quality, op8_secrets, op9_sharding, op10_jaccard_join, op11_line_dedup, op12_centroids, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_nearest": OP5_SQL, "op8_secrets": OP8_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_line_dedup": OP11_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_nearest": OP5_SQL, "op8_secrets": OP8_SQL, "op9_sharding": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_centroids": OP12_SQL, "op13_hard_negatives": OP13_SQL}
