@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def band_table(df: DataFrame, attributes: dict[str, float], edge_rule: str = "next", per_page: int = 10, most: int = 100_000) -> DataFrame:
     """``(attr, bin, lo, hi, label, page)``: every band from 0 to the maximum, empty ones too.
@@ -70,9 +72,15 @@ def floor_code(c: Column, width: float) -> Column:
     return F.coalesce(F.floor(c / width).cast("int").cast("string"), F.lit("unknown"))
 
 
+def quantile_edges(df: DataFrame, column: str, shares: list[float], name: str) -> DataFrame:
+    """One row with ``name``, the distinct exact quantiles in order; an empty array without values."""
+    some = quantiles(df, column, shares).agg(F.first("q").alias("q"))
+    return some.select(F.coalesce(F.array_sort(F.array_distinct("q")), F.array().cast("array<double>")).alias(name))
+
+
 def quantile_bands(df: DataFrame, column: str, k: int) -> DataFrame:
     """``df`` with ``band``: right-closed bands between the k-quantiles, equal edges merged; ties stay together."""
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / k) for i in range(1, k)])))).alias("_edges"))
+    edges = quantile_edges(df, column, [i / k for i in range(1, k)], "_edges")
     above = F.size(F.filter("_edges", lambda e: e < F.col(column)))
     return df.crossJoin(F.broadcast(edges)).withColumn("band", F.when(F.col(column).isNotNull(), above)).drop("_edges")
 

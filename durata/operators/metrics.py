@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bands import quantile_bands
+from .bands import quantile_bands, quantile_edges
 from .ordered import running
+from .quantiles import quantiles
 
 
 def brier(df: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:
@@ -57,7 +58,7 @@ def threshold_sweep(df: DataFrame, keys: list[str], p: str, y: str, cuts: list[f
 
 def lift(df: DataFrame, p: str, y: str, top: float = 0.3) -> DataFrame:
     """High/low and high/overall rates at the score's ``1 - top`` quantile (linear)."""
-    cut = df.agg(F.percentile(p, F.lit(1 - top)).alias("cut"))
+    cut = quantiles(df, p, [1 - top]).select(F.col("q")[0].alias("cut"))
     rows = df.crossJoin(F.broadcast(cut))
     hi = F.col(p) >= F.col("cut")
     g = rows.groupBy("cut").agg(F.count_if(hi).alias("n_hi"), F.avg(F.when(hi, F.col(y))).alias("rate_hi"), F.avg(F.when(~hi, F.col(y))).alias("rate_lo"), F.avg(y).alias("rate"))
@@ -66,7 +67,7 @@ def lift(df: DataFrame, p: str, y: str, top: float = 0.3) -> DataFrame:
 
 def share_cut(tune: DataFrame, other: DataFrame, p: str, y: str, share: float) -> DataFrame:
     """The cut that marks ``share`` of ``tune``, used on both tables: ``(part, cut, share, rate_hi, rate_lo)``."""
-    cut = tune.agg(F.percentile(p, F.lit(1 - share)).alias("cut"))
+    cut = quantiles(tune, p, [1 - share]).select(F.col("q")[0].alias("cut"))
     rows = tune.select(F.lit("tune").alias("part"), p, y).unionByName(other.select(F.lit("test").alias("part"), p, y)).crossJoin(F.broadcast(cut))
     hi = F.col(p) >= F.col("cut")
     return rows.groupBy("part", "cut").agg(F.avg(hi.cast("int")).alias("share"), F.avg(F.when(hi, F.col(y))).alias("rate_hi"), F.avg(F.when(~hi, F.col(y))).alias("rate_lo"))
@@ -85,25 +86,46 @@ def pair_value(df: DataFrame, set_keys: list[str], p: str, y: str, cuts: list[fl
     return t.withColumns({"v": (F.col("wins") - F.col("losses")) / F.nullif("pairs", F.lit(0)), "win_rate": F.col("wins") / F.nullif(F.col("wins") + F.col("losses"), F.lit(0))})
 
 
-def best_cuts(df: DataFrame, p: str, y: str, least: float = 0.1) -> DataFrame:
-    """The pair of cuts, of the score's quantiles 0.10 to 0.90 by 0.02, whose three tiers have the greatest AUC.
+def best_cuts(df: DataFrame, p: str, y: str, tiers: int = 3, least: float = 0.1) -> DataFrame:
+    """``(cuts, auc, sizes)``: the cuts, of the score's quantiles 0.10 to 0.90 by 0.02, whose ``tiers`` tiers have the greatest AUC.
 
-    Rows shrink to at most 42 cells between neighbouring cuts before pairs of cuts are formed.
+    Every tier has at least the share ``least`` of the rows; of equal AUCs the
+    smaller cuts count, the lowest one first.  No row comes back where no cuts do.
+
+    Rows shrink to at most 42 cells between neighbouring quantiles.  A tier adds
+    its positives times the negatives below it, and half of its own, so the best
+    tiers up to a cell extend the best ones up to an earlier cell: the search over
+    cells and tiers needs no list of all combinations, and whole numbers keep ties exact.
     """
-    qs = [round(0.1 + 0.02 * i, 2) for i in range(41)]
-    edges = df.agg(F.array_distinct(F.percentile(p, F.array(*[F.lit(q) for q in qs]))).alias("_e"))
-    cells = df.crossJoin(F.broadcast(edges)).groupBy(F.size(F.filter("_e", lambda e: e <= F.col(p))).alias("cell")).agg(F.sum(y).alias("_p"), F.count("*").alias("_n"))
-    cells = cells.select("cell", "_p", (F.col("_n") - F.col("_p")).alias("_q"), "_n")
-    cut = edges.select(F.posexplode("_e").alias("i", "cut")).select((F.col("i") + 1).alias("i"), "cut")
-    a, b = cut.select(F.col("i").alias("i"), F.col("cut").alias("low")), cut.select(F.col("i").alias("j"), F.col("cut").alias("high"))
-    pairs = a.join(b, F.col("i") < F.col("j")).crossJoin(cells)
-    t = F.when(F.col("cell") >= F.col("j"), 2).when(F.col("cell") >= F.col("i"), 1).otherwise(0)
-    part = lambda c, k: F.sum(F.when(t == k, F.col(c)).otherwise(0))
-    g = pairs.groupBy("low", "high").agg(*[part(c, k).alias(f"{c[1]}{k}") for c in ("_p", "_q", "_n") for k in range(3)])
-    u = F.expr("p1 * (q0 + q1 / 2D) + p0 * q0 / 2D + p2 * (q0 + q1 + q2 / 2D)")
-    g = g.withColumn("auc", u / F.nullif(F.expr("(p0 + p1 + p2) * (q0 + q1 + q2)"), F.lit(0)))
-    ok = F.least("n0", "n1", "n2") >= F.lit(least) * F.expr("n0 + n1 + n2")
-    return g.filter(ok).orderBy(F.desc("auc"), "low", "high").limit(1).select("low", "high", "auc", F.col("n0").alias("n_low"), F.col("n1").alias("n_mid"), F.col("n2").alias("n_high"))
+    if tiers < 2:
+        raise ValueError("tiers must be 2 or more")
+    edges = quantile_edges(df, p, [round(0.1 + 0.02 * i, 2) for i in range(41)], "_e")
+    cell = F.size(F.filter("_e", lambda e: e <= F.col(p)))
+    cells = df.filter(F.col(p).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(cell.alias("cell"), "_e").agg(F.sum(y).cast("long").alias("p"), F.count("*").alias("n")).collect()
+    cuts, size = list(cells[0]["_e"]) if cells else [], {r.cell: (r.p, r.n - r.p) for r in cells}
+    own = [size.get(i, (0, 0)) for i in range(len(cuts) + 1)]
+    pos, neg = ([sum(c[k] for c in own[:i]) for i in range(len(own) + 1)] for k in (0, 1))
+    total = pos[-1] + neg[-1]
+    # best[e]: (twice the pairs won, the cuts' places negated) of the tiers so far, which end before cell e
+    best = {0: (0, ())}
+    for tier in range(1, tiers + 1):
+        ends = range(1, len(own)) if tier < tiers else [len(own)]
+        grown: dict[int, tuple] = {}
+        for e in ends:
+            for a, (won, places) in best.items():
+                n = pos[e] - pos[a] + neg[e] - neg[a]
+                if a < e and n >= least * total:
+                    gain = (pos[e] - pos[a]) * (2 * neg[a] + neg[e] - neg[a])
+                    grown[e] = max(grown.get(e, (-1, ())), (won + gain, (*places, -e)))
+        best = grown
+    schema = "cuts array<double>, auc double, sizes array<long>"
+    if len(own) not in best:
+        return df.sparkSession.createDataFrame([], schema)
+    won, places = best[len(own)]
+    marks = [0, *[-e for e in places]]
+    pairs = pos[-1] * neg[-1]
+    row = ([cuts[e - 1] for e in marks[1:-1]], won / (2 * pairs) if pairs else None, [pos[b] - pos[a] + neg[b] - neg[a] for a, b in zip(marks, marks[1:])])
+    return df.sparkSession.createDataFrame([row], schema)
 
 
 def calibration(df: DataFrame, p: str, y: str, k: int) -> DataFrame:

@@ -8,31 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import running
+from .quantiles import quantiles
 
+_QUARTILES = [0.25, 0.5, 0.75]
 
-def _quartiles(value: Column) -> Column:
-    return F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
 
+def meet(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``a`` with the other columns of ``b``, by equal groups, null ones included; without groups the one row of ``b``."""
+    if not by:
+        return a.crossJoin(b)
+    b = b.withColumnsRenamed({c: f"_meet_{c}" for c in by})
+    same = reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"_meet_{c}"]) for c in by])
+    return a.join(b, same, how).drop(*[f"_meet_{c}" for c in by])
 
-def exact_stats(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """n, mean, median, all modes joined by '|', number of modes, their frequency, min, quartiles, max.
 
-    Values are counted first, so modes come from a table of distinct values.
+def modes(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """``(by.., mode, frequency)``: every most frequent value of each group, a row each, however many are tied."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("mode")).agg(F.count("*").alias("frequency"))
+    return meet(counts, counts.groupBy(*by).agg(F.max("frequency").alias("_top")), list(by)).filter("frequency = _top").drop("_top")
+
+
+def exact_stats(df: DataFrame, value: str, by: list[str] = (), shown: int = 1000) -> DataFrame:
+    """n, mean, median, modes joined by '|', number of modes, their frequency, min, quartiles, max.
+
+    Values are counted first, so modes come from a table of distinct values.  The
+    text has the ``shown`` smallest modes; ``mode_ties`` tells how many there are,
+    and :func:`modes` has them all as rows.  Quartiles are exact at any size of a
+    group (see :func:`.quantiles.quantiles`).
     """
     by = list(by)
     rows = df.filter(F.col(value).isNotNull())
-    counts = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    if by:
-        top = counts.withColumn("_top", F.max("_c").over(Window.partitionBy(*by))).filter("_c = _top")
-    else:
-        top = counts.crossJoin(F.broadcast(counts.agg(F.max("_c").alias("_top")))).filter("_c = _top")
-    shown = F.array_join(F.transform(F.sort_array(F.collect_list("_v")), lambda v: v.cast("long").cast("string")), "|")
-    modes = top.groupBy(*by).agg(shown.alias("modes"), F.count("*").alias("mode_ties"), F.first("_c").alias("mode_freq"), F.min("_v").alias("_mode"))
-    sums = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), _quartiles(F.col(value)).alias("_q"), F.min(value).alias("min"), F.max(value).alias("max")
-    )
-    joined = sums.join(modes, by) if by else sums.crossJoin(modes)
-    return joined.select(*by, "n", "mean", F.col("_q")[1].alias("median"), "modes", "mode_ties", "mode_freq", "min", F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), "max", F.col("_mode").alias("mode"))
+    top = modes(rows, value, by)
+    first = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("mode")) <= shown
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_first"), F.col("mode")))), lambda v: v.cast("long").cast("string")), "|")
+    tied = top.withColumn("_first", first).groupBy(*by).agg(listed.alias("modes"), F.count("*").alias("mode_ties"), F.first("frequency").alias("mode_freq"), F.min("mode").alias("mode"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    out = meet(meet(sums, tied, by), quantiles(rows, value, _QUARTILES, by).drop("n"), by)
+    return out.select(*by, "n", "mean", F.col("q")[1].alias("median"), "modes", "mode_ties", "mode_freq", "min", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "max", "mode")
 
 
 def selected_stat(stats: DataFrame, kind: str) -> DataFrame:
@@ -54,9 +66,9 @@ def full_range_stats(df: DataFrame, bands: DataFrame, bin_col: str, value: str)
 
 def cross_table(df: DataFrame, bands: DataFrame, categories: DataFrame, bin_col: str, cat_col: str, value: str) -> DataFrame:
     """n, mean, median, std (0 for one row), quartiles and IQR over the whole band by category grid."""
-    facts = df.filter(F.col(value).isNotNull()).groupBy(F.col(bin_col).alias("bin"), F.col(cat_col)).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), _quartiles(F.col(value)).alias("_q")
-    )
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(bin_col).alias("bin"), F.col(cat_col), F.col(value))
+    facts = rows.groupBy("bin", cat_col).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
+    facts = meet(facts, quantiles(rows, value, _QUARTILES, ["bin", cat_col]).select("bin", cat_col, F.col("q").alias("_q")), ["bin", cat_col])
     grid = bands.select("bin").crossJoin(categories.select(cat_col))
     out = grid.join(facts, ["bin", cat_col], "left")
     return out.select("bin", cat_col, F.coalesce("n", F.lit(0)).alias("n"), "mean", F.col("_q")[1].alias("median"), "std", F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))
@@ -124,7 +136,19 @@ def pair_r2_category(df: DataFrame, x: str, category: str, y: str) -> DataFrame:
 def long_groups(df: DataFrame, groupings: dict[str, Column], value: str) -> DataFrame:
     """``(kind, code, n, median)`` for several groupings at once: rows unpivoted, one shuffle."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("code")) for k, c in groupings.items()])
-    return df.select(F.col(value).alias("_v"), F.inline(pairs)).filter("code is not null").groupBy("kind", "code").agg(F.count("_v").alias("n"), F.median("_v").alias("median"))
+    rows = df.select(F.col(value).alias("_v"), F.inline(pairs)).filter("code is not null")
+    return meet(rows.groupBy("kind", "code").agg(F.count("_v").alias("n")), quantiles(rows, "_v", [0.5], ["kind", "code"]).select("kind", "code", F.col("q")[0].alias("median")), ["kind", "code"], "left")
+
+
+def group_quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """``(by.., n, ..)``: rows of each group and exact quantiles of a value under the names of ``shares``; null for groups without values."""
+    by = list(by)
+    found = quantiles(df, value, list(shares.values()), by)
+    named = found.select(*by, *[F.col("q")[i].alias(name) for i, name in enumerate(shares)])
+    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+    if by:
+        return meet(counts, named, by, "left")
+    return counts.join(F.broadcast(named), F.lit(True), "left")
 
 
 def describe_many(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -151,7 +175,8 @@ def attribute_table(df: DataFrame, numeric: list[str], categories: list[str], va
     """One row an attribute: missing rate, and median, range and rho of numbers, or distinct count, top value, its share and eta of categories."""
     parts = []
     for c in numeric:
-        one = df.agg(F.avg(F.col(c).isNull().cast("int")).alias("missing_rate"), F.median(c).cast("double").alias("median"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+        one = df.agg(F.avg(F.col(c).isNull().cast("int")).alias("missing_rate"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))
+        one = one.crossJoin(group_quantiles(df, c, {"median": 0.5}).select("median")).select("missing_rate", "median", "min", "max")
         parts.append(one.crossJoin(spearman(df, c, value).select(F.col("rho").alias("strength"))).select(F.lit(c).alias("attribute"), "*"))
     for c in categories:
         counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("_v")).agg(F.count("*").alias("_n"))

@@ -169,7 +169,32 @@ _QS = "[" + ", ".join(repr(round(0.1 + 0.02 * i, 2)) for i in range(41)) + "]"
 
 @query(f"WITH {_CAND}, e AS (SELECT list_sort(list_distinct(quantile_cont(p, {_QS}))) AS e FROM cand), k AS (SELECT len(list_filter(e, lambda x: x <= p)) AS cell, sum(y) AS a, count(*) - sum(y) AS b, count(*) AS n FROM cand, e GROUP BY 1), cut AS (SELECT unnest(e) AS cut, generate_subscripts(e, 1) AS i FROM e), pr AS (SELECT x.cut AS low, z.cut AS high, CASE WHEN cell >= z.i THEN 2 WHEN cell >= x.i THEN 1 ELSE 0 END AS t, a, b, n FROM cut x JOIN cut z ON x.i < z.i, k), g AS (SELECT low, high, coalesce(sum(a) FILTER (t = 0), 0) AS p0, coalesce(sum(a) FILTER (t = 1), 0) AS p1, coalesce(sum(a) FILTER (t = 2), 0) AS p2, coalesce(sum(b) FILTER (t = 0), 0) AS q0, coalesce(sum(b) FILTER (t = 1), 0) AS q1, coalesce(sum(b) FILTER (t = 2), 0) AS q2, coalesce(sum(n) FILTER (t = 0), 0)::BIGINT AS n0, coalesce(sum(n) FILTER (t = 1), 0)::BIGINT AS n1, coalesce(sum(n) FILTER (t = 2), 0)::BIGINT AS n2 FROM pr GROUP BY ALL) SELECT round(low, 9) AS low, round(high, 9) AS high, round((p1 * (q0 + q1 / 2.0::DOUBLE) + p0 * q0 / 2.0::DOUBLE + p2 * (q0 + q1 + q2 / 2.0::DOUBLE)) / ((p0 + p1 + p2) * (q0 + q1 + q2)), 9) AS auc, n0 AS n_low, n1 AS n_mid, n2 AS n_high FROM g WHERE least(n0, n1, n2) >= 0.1 * (n0 + n1 + n2) ORDER BY auc DESC, low, high LIMIT 1")
 def m12_best_cuts(spark, d):
-    return M.best_cuts(_cand(spark, d), "p", "y").withColumns({c: _r(c) for c in ("low", "high", "auc")})
+    out = M.best_cuts(_cand(spark, d), "p", "y")
+    return out.select(_r(F.col("cuts")[0]).alias("low"), _r(F.col("cuts")[1]).alias("high"), _r("auc").alias("auc"), *[F.col("sizes")[i].alias(f"n_{name}") for i, name in enumerate(("low", "mid", "high"))])
+
+
+def _cuts_sql(k: int) -> str:
+    """All combinations of ``k - 1`` cuts, scored one by one."""
+    names = [f"i{j}" for j in range(1, k)]
+    tables = " JOIN ".join(f"cut x{j}" + (f" ON x{j - 1}.i < x{j}.i" if j > 1 else "") for j in range(1, k))
+    tier = " + ".join(f"(cell >= x{j}.i)::INT" for j in range(1, k))
+    picked = ", ".join(f"x{j}.i AS {n}" for j, n in enumerate(names, 1))
+    by = ", ".join(names)
+    return f"""(SELECT {k} AS tiers, [{', '.join(f'round(e[{n}], 9)' for n in names)}] AS cuts, round(won / (2 * tp * tq), 9) AS auc, sizes
+      FROM (SELECT {by}, sum(a * (2 * (coalesce(lag_q, 0)) + b)) AS won, sum(a) AS tp, sum(b) AS tq, list(n ORDER BY t) AS sizes, min(n) AS small, count(*) AS filled
+        FROM (SELECT *, sum(b) OVER (PARTITION BY {by} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lag_q
+          FROM (SELECT {picked}, {tier} AS t, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(n)::BIGINT AS n FROM {tables}, k GROUP BY {by}, t)) GROUP BY {by}), e
+      WHERE filled = {k} AND small >= 0.1::DOUBLE * (tp + tq) ORDER BY won DESC, {by} LIMIT 1)"""
+
+
+@query(f"WITH {_CAND}, e AS (SELECT list_sort(list_distinct(quantile_cont(p, {_QS}))) AS e FROM cand), k AS (SELECT len(list_filter(e, lambda x: x <= p)) AS cell, sum(y) AS a, count(*) - sum(y) AS b, count(*) AS n FROM cand, e GROUP BY 1), cut AS (SELECT unnest(e) AS cut, generate_subscripts(e, 1) AS i FROM e) " + " UNION ALL ".join(f"SELECT * FROM {_cuts_sql(k)}" for k in (2, 3, 4)))
+def m12_best_cuts_by_tiers(spark, d):
+    """The best two, three and four tiers."""
+    rows, out = _cand(spark, d), None
+    for k in (2, 3, 4):
+        one = M.best_cuts(rows, "p", "y", k).select(F.lit(k).alias("tiers"), F.transform("cuts", lambda c: _r(c)).alias("cuts"), _r("auc").alias("auc"), "sizes")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"WITH {_CAND}, e AS (SELECT list_sort(list_distinct(quantile_cont(p, [0.2, 0.4, 0.6, 0.8]))) AS e FROM cand) SELECT len(list_filter(e, lambda x: x < p))::INT AS band, count(*) AS n, round(avg(p), 9) AS predicted, round(avg(y), 9) AS actual FROM cand, e GROUP BY 1")

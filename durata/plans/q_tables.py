@@ -310,7 +310,7 @@ def g10_describe_many(spark, d):
 
 @query("SELECT layout, count(*) AS n, quantile_cont(end_date - start_date, 0.5) AS median, quantile_cont(end_date - start_date, 0.75) AS q3 FROM iv GROUP BY layout")
 def g11_group_quantiles(spark, d):
-    return _iv(spark, d).groupBy("layout").agg(F.count("*").alias("n"), F.percentile("duration", F.lit(0.5)).alias("median"), F.percentile("duration", F.lit(0.75)).alias("q3"))
+    return G.group_quantiles(_iv(spark, d), "duration", {"median": 0.5, "q3": 0.75}, ["layout"])
 
 
 @query("SELECT count(*) AS n, round(corr(walk_distance, rent), 6) AS r FROM iv WHERE walk_distance IS NOT NULL")
@@ -351,7 +351,9 @@ def g17_extreme_cells(spark, d):
 
 @query("SELECT year(start_date)::INT AS start_year, count(*) AS n, count(*) FILTER (end_date IS NOT NULL) AS known_ends, quantile_cont(end_date - start_date, 0.5) AS median, round(avg(end_date - start_date), 6) AS mean, min(start_date) AS first_start, max(end_date) AS last_end FROM iv GROUP BY 1")
 def g18_year_audit(spark, d):
-    return _iv(spark, d).groupBy(F.year("start_date").alias("start_year")).agg(F.count("*").alias("n"), F.count("end_date").alias("known_ends"), F.percentile("duration", F.lit(0.5)).alias("median"), _r(F.avg("duration")).alias("mean"), F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end"))
+    rows = _iv(spark, d).withColumn("start_year", F.year("start_date"))
+    sums = rows.groupBy("start_year").agg(F.count("end_date").alias("known_ends"), _r(F.avg("duration")).alias("mean"), F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end"))
+    return G.meet(sums, G.group_quantiles(rows, "duration", {"median": 0.5}, ["start_year"]), ["start_year"])
 
 
 @query("WITH m AS (SELECT max(end_date) AS top FROM iv) SELECT top, count(*) FILTER (end_date = top) AS last_day, count(*) FILTER (end_date > top - 7) AS last_7, count(*) FILTER (end_date > top - 30) AS last_30 FROM iv, m GROUP BY top")
@@ -364,7 +366,9 @@ def g19_end_concentration(spark, d):
 
 @query("SELECT count(*) AS n, round(avg(end_date - start_date), 6) AS mean, quantile_cont(end_date - start_date, 0.5) AS median, count(DISTINCT building_id) AS entities FROM iv WHERE year(start_date) = 1998")
 def g20_scope_summary(spark, d):
-    return _iv(spark, d).filter(F.year("start_date") == 1998).agg(F.count("*").alias("n"), _r(F.avg("duration")).alias("mean"), F.percentile("duration", F.lit(0.5)).alias("median"), F.countDistinct("building_id").alias("entities"))
+    rows = _iv(spark, d).filter(F.year("start_date") == 1998)
+    sums = rows.agg(_r(F.avg("duration")).alias("mean"), F.countDistinct("building_id").alias("entities"))
+    return sums.crossJoin(G.group_quantiles(rows, "duration", {"median": 0.5}))
 
 
 @query("WITH g AS (SELECT 'layout' AS kind, layout AS code, end_date - start_date AS v FROM iv UNION ALL SELECT 'station', station, end_date - start_date FROM iv) SELECT kind, code, count(*) AS n, quantile_cont(v, 0.5) AS median FROM g GROUP BY ALL")
