@@ -85,8 +85,9 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
     own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(names[c]) for c in by]
     rows = df.select(*own, *[F.col(c).isNull().alias(f) for c, f in zip(by, flags, strict=True)], v.alias("_v"), (F.lit(1) if frequency is None else frequency).cast("long").alias("_n")).filter("_v is not null and _n > 0")
     group = [*keys, *flags]
-    position = [F.lit(float(s)) * (F.col("n") - 1) for s in shares]
-    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in position])))
+    # one expression over an array of shares, however many there are
+    positions = F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s: s * (F.col("n") - 1))
+    wanted = F.array_distinct(F.flatten(F.transform(positions, lambda p: F.array(F.floor(p), F.ceil(p)))))
     types = {f.name: f.dataType for f in df.select(*by).schema} if by else {}
     shown = [F.when(~F.col(f), F.col(names[c]).cast(types[c])).alias(c) for c, f in zip(by, flags, strict=True)]
 
@@ -103,7 +104,7 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
 
     def answers(ranks: DataFrame) -> DataFrame:
         at = ranks.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))  # two entries a share
-        return at.select(*shown, "n", F.array(*[between(p) for p in position]).alias("q"))
+        return at.select(*shown, "n", F.transform(positions, between).alias("q"))
 
     most = rows.groupBy(*group).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0] or 0
     if most <= few:

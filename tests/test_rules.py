@@ -234,7 +234,7 @@ def test_model_is_saved_and_scores_unseen_values(spark, tmp_path):
     a = {r.row_id: r.p for r in H.horizon_risk(model, new, ["row_id"], "elapsed", 7).collect()}
     b = {r.row_id: r.p for r in H.horizon_risk(again, new, ["row_id"], "elapsed", 7).collect()}
     assert a == b and all(0 < p < 1 for p in a.values())
-    boosted = H.early_boosted(PP.features(PP.person_periods(df)), "row_id", rounds=3, depth=2, least=5)
+    boosted = H.boosted_hazard(PP.features(PP.person_periods(df)), "row_id", H.NUMERIC, H.CATEGORIES, rounds=3, depth=2, least=5)
     assert H.horizon_risk(boosted, new, ["row_id"], "elapsed", 7).count() == 5
 
 
