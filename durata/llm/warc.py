@@ -27,7 +27,8 @@ CHUNKS = "archive long, record long, chunk int, last boolean, data binary, sha1
 RECORDS = "record_id string, target_uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, chunks_ok boolean"
 _END = b"\r\n\r\n"
 _BATCH = 4 << 20
-_HEAD = 1 << 20  # bytes within which a record's headers end
+_HEAD = 1 << 20  # bytes within which a record's headers end, unless they say at their beginning that they are longer
+_LONG = re.compile(rb"WARC/1\.1\r\nX-Header-Length: (\d{1,18})\r\n")
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
@@ -61,7 +62,10 @@ def _head(rid: object, url: str | None, size: int, digest: str, refers: int | No
     if refers is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:record:{refers}>", f"X-Payload-Length: {size}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (size if refers is None else 0)}"]
-    return "\r\n".join(lines).encode() + _END + http
+    head = "\r\n".join(lines).encode() + _END + http
+    if 2 * len(head) > _HEAD:  # a very long URL: the reader is told how much to expect
+        head = head.replace(b"\r\n", b"\r\nX-Header-Length: %d\r\n" % len(head), 1)
+    return head
 
 
 def _pieces(head: bytes, payload: memoryview, size: int) -> Iterator[tuple[bytes, memoryview]]:
@@ -130,7 +134,8 @@ class _Record:
         if self.body is None:
             self.head += data
             if not self._parse():
-                if len(self.head) > _HEAD:  # no header ends so late: a damaged record, of which nothing is kept
+                told = _LONG.match(self.head[:64])
+                if len(self.head) > max(_HEAD, 64 + int(told[1]) if told else 0):  # no header ends so late: a damaged record, of which nothing is kept
                     self.head, self.body, self.ok = b"", 0, False
                 return
             data, self.head = self.head[self.skip :], b""
