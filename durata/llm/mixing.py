@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import small, stored, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 _POINTS, _ROUNDS = 17, 8  # each round narrows the bracket to a sixteenth
@@ -82,17 +82,17 @@ def mix_sources(
     are drawn with each whole pass, and once if there is none (weight 0 included),
     so that a filtering pipeline loses no row to an empty text.  Ties of the order
     are broken by the row's hash; rows that are equal throughout may swap.  An
-    empty table stays empty.  Columns of ``df`` pass through untouched, but for
-    those named like an added one, which are replaced.
+    empty table stays empty.  Columns of ``df`` pass through untouched; an added
+    name that exists already, in whatever case, gets underscores more.
     """
     if budget_share <= 0 or block_rows < 1:
         raise ValueError("budget_share and block_rows must be positive")
-    added, own = ("_tokens", "_source_tokens", "_weight", "_draws"), ("_h", "_s", "_blocks", "_whole", "_left", "_block", "_before", "_room", "_block_n", "_b", "_n")
-    kept = {c: f"{c} of input" for c in df.columns if c in own}
-    df = df.drop(*[c for c in added if c not in (id_col, source_col, text_col)]).withColumnsRenamed(kept)
-    id_col, source_col, text_col = (kept.get(c, c) for c in (id_col, source_col, text_col))
+    names, place = df.columns, {c.lower(): f"_in{i}" for i, c in enumerate(df.columns)}
+    df = df.toDF(*[f"_in{i}" for i in range(len(names))])  # free of clashes below
+    id_col, source_col, text_col = (place[c.lower()] for c in (id_col, source_col, text_col))
     rows = df.select("*", word_count(F.col(text_col)).alias("_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"))
-    sources = stored(rows.groupBy(F.col(source_col).alias("_s")).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")))
+    light = stored(rows.select(source_col, "_tokens", "_h"))  # what counts, without the texts
+    sources = stored(light.groupBy(F.col(source_col).alias("_s")).agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows")))
     total, kinds = sources.agg(F.sum("tokens"), F.count_if(F.col("tokens") > 0)).first()
     total, budget = total or 0, int((total or 0) * budget_share)
     a = find_exponent(sources, budget, total, entropy_share and entropy_share * math.log(kinds), max_repetition) if total else 1.0
@@ -104,25 +104,35 @@ def mix_sources(
     )
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("_quota") / F.col("tokens"))).otherwise(1).cast("long")
     quota = quota.select("_s", F.col("tokens").alias("_source_tokens"), "_weight", "_blocks", whole.alias("_whole"), (F.col("_quota") - whole * F.col("tokens")).alias("_left"))
-    dealt = rows.join(quota, rows[source_col].eqNullSafe(quota["_s"])).drop("_s").withColumn("_block", F.pmod("_h", F.col("_blocks")))
+    quota = small(stored(quota))
+    deal = lambda some: some.join(quota, some[source_col].eqNullSafe(quota["_s"])).drop("_s").withColumn("_block", F.pmod("_h", F.col("_blocks")))
 
     key = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
-    blocks = dealt.groupBy(source_col, "_block", "_left").agg(F.sum("_tokens").alias("_n"))
+    blocks = deal(light).groupBy(source_col, "_block", "_left").agg(F.sum("_tokens").alias("_n"))
     order = Window.partitionBy(source_col).orderBy(F.xxhash64(F.lit(seed + 1), key, "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
     blocks = blocks.select(F.col(source_col).alias("_s"), F.col("_block").alias("_b"), (F.col("_left") - F.col("_before")).alias("_room"), F.col("_n").alias("_block_n"))
+    blocks = small(stored(blocks))  # a row a few thousand documents; where they are few, no document moves for them
+    dealt = deal(rows)
     at = dealt.join(blocks, dealt[source_col].eqNullSafe(blocks["_s"]) & (dealt["_block"] == blocks["_b"])).drop("_s", "_b")
     cut = (F.col("_room") > 0) & (F.col("_room") < F.col("_block_n"))
-    # rows of uncut blocks get cells of their own, so the window only sorts the blocks at which a budget ends
-    inside = Window.partitionBy(source_col, "_block", F.when(cut, F.lit(0)).otherwise(F.col("_h"))).orderBy(F.xxhash64(F.lit(seed + 2), "_h"), "_h")
-    used = F.sum(F.when(cut, F.col("_tokens")).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    extra = F.when(cut, (used <= F.col("_room")).cast("long")).otherwise((F.col("_room") >= F.col("_block_n")).cast("long"))
-    draws = F.when(F.col("_tokens") == 0, F.greatest(F.col("_whole"), F.lit(1))).otherwise(F.col("_whole") + extra)
-    out = at.withColumn("_draws", draws.cast("int")).drop("_h", "_blocks", "_whole", "_left", "_block", "_room", "_block_n")
-    return out.withColumnsRenamed({v: k for k, v in kept.items()})
+    # only the blocks at which a budget ends are put in order; no other row is shuffled
+    inside = Window.partitionBy(source_col, "_block").orderBy(F.xxhash64(F.lit(seed + 2), "_h"), "_h").rowsBetween(Window.unboundedPreceding, 0)
+    ends = at.filter(cut).withColumn("_used", F.sum("_tokens").over(inside)).withColumn("_extra", (F.col("_used") <= F.col("_room")).cast("long")).drop("_used")
+    whole_blocks = at.filter(~F.coalesce(cut, F.lit(False))).withColumn("_extra", (F.col("_room") >= F.col("_block_n")).cast("long"))
+    out = ends.unionByName(whole_blocks)
+    draws = F.when(F.col("_tokens") == 0, F.greatest(F.col("_whole"), F.lit(1))).otherwise(F.col("_whole") + F.col("_extra")).cast("int")
+    values = [F.col("_tokens"), F.col("_source_tokens"), F.col("_weight"), draws]
+    return out.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(names)], *[v.alias(c) for v, c in zip(values, added_names(names), strict=True)])
+
+
+def added_names(columns: list[str]) -> list[str]:
+    """What :func:`mix_sources` calls its columns beside these."""
+    return [unused(c, columns) for c in ("_tokens", "_source_tokens", "_weight", "_draws")]
 
 
 def drawn(df: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows themselves, each as often as it is drawn, with the columns of ``df``."""
-    own = F.struct(*df.columns).alias("row")
-    return mixed.filter("_draws > 0").select(own, F.explode(F.sequence(F.lit(1), F.col("_draws"))).alias("copy")).select("row.*")
+    draws = F.col(added_names(df.columns)[-1])
+    row = F.struct(*df.columns).alias("row")
+    return mixed.filter(draws > 0).select(row, F.explode(F.sequence(F.lit(1), draws)).alias("copy")).select("row.*")
