@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ftrl import Scorer, score, train
+from .tables import unused
 from .wordhash import Words, mix
 
 _N = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -34,46 +35,15 @@ def word_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def quality_ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed word n-grams (1 to 3), and n-grams (1 to 3) of word shapes with the share of the text that they make up.
-
-    Words are as they stand, case and punctuation included.  A shape has a word's case, length class, last byte's kind and whether the word
-    repeats one of the two before it.  Shares are in powers of two, so that a
-    feature says how much of a text is of a kind, whatever its length.
-    """
+    """Hashed word n-grams (1 to 3); words are as they stand, case and punctuation included."""
     words = Words(texts)
     h, own = words.hash, words.doc_of_word()
     if not len(h):
         return h, own
     two, three = own[1:] == own[:-1], own[2:] == own[:-2]
     twos = _together(h[:-1], h[1:], 1)
-    word_grams = [h, twos[two], _together(twos[:-1], h[2:], 2)[three]]
-    raw = np.frombuffer(words.data, dtype=np.uint8)
-    kind = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower or non-ASCII, 2 upper, 3 digit, 4 stop, 5 comma
-    kind[97:123] = kind[128:] = 1
-    kind[65:91] = 2
-    kind[48:58] = 3
-    kind[[46, 58, 59, 63]] = 4
-    kind[44] = 5
-    head, tail, second = kind[raw[words.first]], kind[raw[words.last - 1]], kind[raw[np.minimum(words.first + 1, words.last - 1)]]
-    before = kind[raw[np.maximum(words.last - 2, words.first)]]
-    size = np.searchsorted([2, 4, 8, 16, 64], words.last - words.first, side="right")
-    again = np.zeros(len(h), dtype=np.int64)
-    again[2:] += 2 * ((h[2:] == h[:-2]) & (own[2:] == own[:-2]))
-    again[1:] += (h[1:] == h[:-1]) & (own[1:] == own[:-1])
-    shape = ((((head * 6 + second) * 6 + before) * 6 + tail).astype(np.int64) * 6 + size) * 4 + again
-    s = mix(shape.astype(np.uint64))
-    pair = _together(s[:-1], s[1:], 1)
-    repeats = mix((again + 1).astype(np.uint64) * _N[3])  # the repeat flag alone
-    g = np.concatenate([s, pair[two], _together(pair[:-1], s[2:], 2)[three], repeats])
-    owners = [own, own[1:][two], own[2:][three]]
-    o = np.concatenate([*owners, own])
-    # count each gram in its text: the text's number over the gram's high bits, sorted
-    code = (o.astype(np.uint64) << np.uint64(44)) | (g >> np.uint64(20))
-    code, count = np.unique(code, return_counts=True)
-    text = (code >> np.uint64(44)).astype(np.int64)
-    share = np.floor(-np.log2(count / np.diff(words.offsets)[text])).astype(np.uint64)
-    rated = _together(code & np.uint64((1 << 44) - 1), np.minimum(share, np.uint64(5)), 3)
-    return np.concatenate([rated, *word_grams]), np.concatenate([text, *owners])
+    grams = [h, twos[two], _together(twos[:-1], h[2:], 2)[three]]
+    return np.concatenate(grams), np.concatenate([own, own[1:][two], own[2:][three]])
 
 
 FEATURES = {"toxic": word_ngrams, "quality": quality_ngrams}
@@ -84,8 +54,8 @@ def classifier(docs: DataFrame, labels: DataFrame, label_col: str, usable: Colum
     """A scorer for ``label_col`` (``toxic`` or ``quality``), fit on at most ``most_rows`` ``usable`` rows of ``labels``, of ``most_bytes`` bytes of text in all.
 
     Columns of ``docs`` and ``labels`` but for the named ones are not read.  Without
-    labelled rows, or with one label alone, the scorer has no weights and gives the
-    labels' smoothed share.
+    labelled rows the scorer has no weights and scores every text below 0.5; with
+    one label alone it has none either and gives the labels' smoothed share.
     """
     return train(docs, labels, FEATURES[label_col], id_col, text_col, label_col, usable, most_rows, most_bytes, **OPTIONS[label_col])
 
@@ -95,10 +65,10 @@ def scored(docs: DataFrame, scorer: Scorer, label_col: str, text_col: str = "tex
 
     Whole texts are scored; null and empty texts, which have no features, get the
     bias's score.  Rows are independent of each other, so repeated rows get equal
-    scores, and an empty table stays empty.  Other columns pass through; if one is
-    named like an added one, that is an error (see :func:`.tables.unused` for free names).
+    scores, and an empty table stays empty.  Other columns pass through; an added
+    name that exists already gets underscores more (see :func:`.tables.unused`).
     """
-    if taken := {c for c in docs.columns if c.lower() in (score_col.lower(), predicted_col.lower())}:
-        raise ValueError(f"columns exist already: {', '.join(sorted(taken))}")
+    score_col = unused(score_col, docs.columns)
+    predicted_col = unused(predicted_col, [*docs.columns, score_col])
     out = score(docs, scorer, FEATURES[label_col], text_col, score_col)
     return out.withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))

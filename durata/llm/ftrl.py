@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,10 @@ from .wordhash import slices
 Featurizer = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
+#: The bias without any labelled row: nothing speaks for label 1.
+UNTRAINED = -3.0
+
+
 def _passes(places: list[np.ndarray], labels: np.ndarray, n_features: int, epochs: int, alpha: float, beta: float, l1: float, l2: float, balance: np.ndarray) -> np.ndarray:
     z, n = np.zeros(n_features + 1), np.zeros(n_features + 1)  # the bias comes last, without L1
     sparse = np.append(np.full(n_features, l1), 0.0)
@@ -99,10 +103,11 @@ def train(
 
     Ids are chosen from the label table alone; that list is bounded, so it is
     broadcast and the texts of other rows never move.  Of an id with several rows
-    one text is taken.  Texts are added in the order of the hash as long as their
-    sum stays within ``most_bytes``, so the one task that fits has a bounded input,
-    however long texts are.  Null labels and ids are not used; an id labelled
-    twice counts with its larger label.
+    one text is taken.  Texts are added in the order of the hash; one that would
+    take their sum beyond ``most_bytes`` is passed over and the next one tried, so
+    the one task that fits has a bounded input, however long texts are.  Null labels
+    and ids are not used; an id labelled twice counts with its larger label.
+    Without any row the scorer takes label 0 for likelier.
     """
     chosen = labels.filter(usable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
@@ -125,12 +130,16 @@ def train(
 
     with scratch(docs.sparkSession):
         sample = stored(rows.groupBy("_id", "_y").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("text"))).alias("x")).select("_id", "_y", F.col("x.text").alias("_text")))
-        so_far = F.sum(F.octet_length("_text")).over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
-        fits = sample.select("_id", so_far.alias("_b")).filter(F.col("_b") <= most_bytes).select("_id")  # of at most most_rows rows
-        group = sample.join(F.broadcast(fits), "_id").withColumn("_all", F.lit(0)).groupBy("_all")
+        room, fits = most_bytes, []
+        for r in sample.select("_id", F.octet_length("_text").alias("b")).orderBy(F.xxhash64("_id"), "_id").collect():  # most_rows at most
+            if r.b <= room:
+                room -= r.b
+                fits.append((r["_id"],))
+        chosen = docs.sparkSession.createDataFrame(fits, sample.select("_id").schema)
+        group = sample.join(F.broadcast(chosen), "_id").withColumn("_all", F.lit(0)).groupBy("_all")
         rows = group.applyInArrow(learn, "f long, w double, bias boolean").toArrow()  # bounded by the sample
     f, w, b = (rows.column(c).to_numpy() for c in ("f", "w", "bias"))
-    return Scorer(f[~b].view(np.uint64).copy(), w[~b].copy(), float(w[b][0]) if b.any() else 0.0)
+    return Scorer(f[~b].view(np.uint64).copy(), w[~b].copy(), float(w[b][0]) if b.any() else UNTRAINED)
 
 
 def score(docs: DataFrame, scorer: Scorer, featurize: Featurizer, text_col: str, score_col: str = "_score", slice_bytes: int = 2 << 20) -> DataFrame:

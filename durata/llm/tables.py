@@ -1,77 +1,13 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables, free names, and joins with hot keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tables stored within each open :func:`scratch` block, the innermost last.
-_OPEN: list[dict[int, tuple[DataFrame, str]]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``.  Where it is unset, a local session gets one of its own; a cluster must set it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks it was running, not
-    what was stored before, and a later read starts from the files.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1][len(_OPEN[-1])] = (None, path)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if _OPEN:
-        own = _OPEN[-1]
-        own[max(own)] = (out, path)
-    return out
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables stored within the block are deleted at its end, whatever happens, but for those given to the function that it yields.
-
-    What is returned from the block must not read the others, so it is a stored
-    table itself.  An outer block takes over what an inner one kept.
-    """
-    own: dict[int, tuple[DataFrame, str]] = {}
-    kept: set[str] = set()
-
-    def keep(table: DataFrame) -> DataFrame:
-        kept.update(path for t, path in own.values() if t is table)
-        return table
-
-    _OPEN.append(own)
-    try:
-        yield keep
-    finally:
-        _OPEN.remove(own)
-        for table, path in own.values():
-            if path not in kept:
-                _delete(spark, path)
-            elif _OPEN:
-                _OPEN[-1][len(_OPEN[-1])] = (table, path)
-
+from ..sources.scratch import scratch, shared_folder, small, stored
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["hot_join", "hot_keys", "scratch", "shared_folder", "small", "stored", "unused"]
 
 
 def unused(name: str, columns: list[str]) -> str:
