@@ -22,20 +22,9 @@ def toxic_features(text):
     return {("w", x) for x in w} | {(gap, a, b) for gap in (1, 2, 3) for a, b in zip(w, w[gap:])}
 
 
-def kind(byte):
-    c = chr(byte)
-    if byte >= 128 or "a" <= c <= "z":
-        return 1
-    return 2 if "A" <= c <= "Z" else 3 if c.isdigit() else 4 if c in ".:;?" else 5 if c == "," else 0
-
-
 def quality_features(text):
-    w = [x.encode() for x in WORD.findall(text or "")]
-    out = {("w", x) for x in w} | {("w", a, b) for a, b in zip(w, w[1:])} | {("w", a, b, c) for a, b, c in zip(w, w[1:], w[2:])}
-    again = [2 * (i > 1 and w[i] == w[i - 2]) + (i > 0 and w[i] == w[i - 1]) for i in range(len(w))]
-    s = [(kind(x[0]), kind(x[min(1, len(x) - 1)]), kind(x[max(-2, -len(x))]), kind(x[-1]), sum(len(x) >= k for k in (2, 4, 8, 16, 64)), r) for x, r in zip(w, again)]
-    grams = Counter([("s", a) for a in s] + [("p", a, b) for a, b in zip(s, s[1:])] + [("t", a, b, c) for a, b, c in zip(s, s[1:], s[2:])] + [("r", r) for r in again])
-    return out | {(g, min(5, math.floor(-math.log2(n / len(w))))) for g, n in grams.items()}
+    w = WORD.findall(text or "")
+    return {("w", x) for x in w} | {("w", a, b) for a, b in zip(w, w[1:])} | {("w", a, b, c) for a, b, c in zip(w, w[1:], w[2:])}
 
 
 def brute_fit(examples, epochs=5, alpha=3.0, beta=1.0, l1=10.0, l2=1.0, min_docs=5):
@@ -92,8 +81,26 @@ def test_training_texts_are_bounded(spark):
     assert scored(d, scorer, "toxic").filter("doc_id % 2 <> _predicted").isEmpty()
     none = classifier(d, labels, "toxic", F.lit(True), most_bytes=10)
     assert len(none.known) == 0
-    with pytest.raises(ValueError):
-        scored(d.withColumn("_Score", F.lit(1)), scorer, "toxic")
+    odd = scored(d.limit(3).withColumn("_Score", F.lit(7)), scorer, "toxic")
+    assert odd.columns == ["doc_id", "text", "_Score", "_score_", "_predicted"] and {r["_Score"] for r in odd.collect()} == {7}
+
+
+def test_a_long_text_or_no_labels_do_not_undo_training(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, "bad words " * 50 if i % 2 else "good words " * 50) for i in range(60)]
+    first = spark.range(60).orderBy(F.xxhash64("id"), "id").first().id
+    rows[first] = (first, "a long text " * 20_000)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    scorer = classifier(d, labels, "toxic", F.lit(True), most_bytes=100_000)
+    assert len(scorer.known) > 3
+    assert scored(d.filter(F.col("doc_id") != first), scorer, "toxic").filter("doc_id % 2 <> _predicted").isEmpty()
+    for name, some in (("none", labels.limit(0)), ("all", labels.withColumn("toxic", F.lit(1)))):
+        some.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.toxicity(spark, d, f"{tmp_path}/{name}").count() == 60
+    untrained = classifier(d, labels.limit(0), "toxic", F.lit(True))
+    assert {r["_predicted"] for r in scored(d, untrained, "toxic").collect()} == {0}
 
 
 def chained(*values):

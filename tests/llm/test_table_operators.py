@@ -76,6 +76,15 @@ def test_warc_without_a_header_is_bounded():
     assert record.row()[-1] is False
 
 
+def test_warc_with_a_very_long_url(spark):
+    urls = ["http://x/" + "a b" * 1_000_000, "u" * ((1 << 19) - 300), "v" * (1 << 20), "http://y/"]
+    p = spark.createDataFrame([(i, u, "<p>text of the page</p>" * (1 + i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.record_id: r for r in read_chunks(to_chunks(with_revisits(p), chunk_bytes=100_000)).collect()}
+    for i, u in enumerate(urls):
+        r, body = got[str(i)], ("<p>text of the page</p>" * (1 + i)).encode()
+        assert (r.target_uri, r.payload_bytes, r.payload_digest, r.record_type, r.chunks_ok) == (u.replace(" ", "%20"), len(body), hashlib.sha1(body).hexdigest(), "response", True)
+
+
 def test_warc_of_nothing(spark):
     assert read_chunks(to_chunks(with_revisits(pages(spark).limit(0)))).collect() == []
 
@@ -355,3 +364,53 @@ def test_secret_rates(spark):
     assert all(share[k] >= 0.85 for k in ("key", "url_key", "upper_hex", "base32")), share
     assert all(share[k] <= 0.05 for k in ("uuid", "path", "slug", "text")), share
     assert share["name"] <= 0.5, share  # a battery of short tokens cannot tell all names from keys
+
+
+# What the last round left open
+
+
+def test_nearest_of_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [0.0, 5e-324]), (4, [1.7e308, 1.7e308]), (5, [3.0, 4.0])]
+    got = {(r.query_id, r.vec_id): r.score for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), k=5).collect()}
+    assert len(got) == 30
+    unit = {i: np.array(v) / max(v) / np.linalg.norm(np.array(v) / max(v)) for i, v in rows}
+    assert all(abs(s - unit[a] @ unit[b]) < 1e-12 for (a, b), s in got.items())
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    plain = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i % 5)) for i in range(40)], "doc_id long, source string, text string")
+    names = ["_draws", "_Draws2", "_tokens", "_weight", "_H", "_S", "_block", "_in0", "_room", "_EXTRA", "_used", "_source_tokens"]
+    odd = plain.select("*", *[(F.lit(100 + i)).alias(c) for i, c in enumerate(names)])
+    mixed = mix_sources(odd)
+    assert mixed.columns == [*odd.columns, "_tokens_", "_source_tokens_", "_weight_", "_draws_"]
+    want = {r.doc_id: r["_draws"] for r in mix_sources(plain).collect()}
+    for r in mixed.collect():
+        assert r["_draws_"] == want[r.doc_id] and [r[c] for c in names] == [100 + i for i in range(len(names))]
+    out = drawn(odd, mixed)
+    assert out.columns == odd.columns and out.count() == sum(want.values())
+
+
+def test_scratch_blocks_of_threads_do_not_meet(spark):
+    import threading
+
+    from durata.llm.tables import scratch, stored
+
+    opened, go, found = threading.Event(), threading.Event(), []
+
+    def first():
+        with scratch(spark):
+            opened.set()
+            go.wait(30)
+
+    a = threading.Thread(target=first)
+    a.start()
+    opened.wait(30)
+    with scratch(spark) as keep:
+        table = keep(stored(spark.range(5)))
+        go.set()
+        a.join()
+        gone = stored(spark.range(3))
+    found = [table.count()]
+    assert found == [5]
+    with pytest.raises(Exception, match="(?i)not.exist|does not exist|PATH_NOT_FOUND|FILE"):
+        gone.count()
