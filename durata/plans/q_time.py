@@ -271,7 +271,7 @@ def p12_comparables(spark, d):
     from ..operators import hazard as H
 
     _, train, live = _comparables(spark, d)
-    return H.comparables(train, live, "city", _FOUR, "row_id").withColumn("distance", _r("distance", 6))
+    return H.comparables(train, live, "city", _FOUR, "row_id").drop("compared").withColumn("distance", _r("distance", 6))
 
 
 @query(
