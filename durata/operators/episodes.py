@@ -6,36 +6,83 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import entity_key
+from .hot import hot_hashes
 from .prepare import require
 
 _ORDER = ["start_date", "end_date", "row_id"]
 _SEGMENT = ["gap", "_part", "segment"]
 
 
-def segments(df: DataFrame, gaps: list[int] = (1,)) -> DataFrame:
-    """Rows with ``gap``, ``key`` and ``segment``, its number within the key.
-
-    A segment begins where a start lies more than ``gap`` days after the latest
-    end so far.  Rows without dates or with end before start are left out; rows
-    without an entity have a null key and stay single.  The latest end does not
-    depend on the gap, so all gaps share one shuffle and one sort, and rows are
-    multiplied only afterwards.
-    """
+def _dated(df: DataFrame, gaps: list[int]) -> DataFrame:
     df = require(df, ["row_id", "building_id", "unit_id", "start_date", "end_date"])
     if any(g < 0 for g in gaps):
         raise ValueError("gaps must not be negative")
     rows = df.filter("start_date is not null and end_date is not null and end_date >= start_date")
     rows = rows.withColumn("key", entity_key(F.col("building_id"), F.col("unit_id")))
-    rows = rows.withColumn("_part", F.coalesce("key", F.concat(F.lit("row "), "row_id")))
+    return rows.withColumn("_part", F.coalesce("key", F.concat(F.lit("row "), "row_id")))
+
+
+def _numbered(rows: DataFrame, gaps: list[int]) -> DataFrame:
+    """Segment numbers by one sort of each entity."""
     w = Window.partitionBy("_part").orderBy(*_ORDER)
     latest = F.max("end_date").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_apart", F.datediff("start_date", latest))
     number = lambda g: F.count_if(F.col("_apart") > g).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({f"_s{g}": number(g) for g in gaps})
+    return _by_gap(rows.withColumns({f"_s{g}": number(g) for g in gaps}), gaps)
+
+
+def _numbered_in_ranges(rows: DataFrame, gaps: list[int], ranges: int) -> DataFrame:
+    """The same for few entities of very many rows, in ranges of start days.
+
+    Each range is sorted by itself.  What it has to know of the ranges before is
+    the latest end, which carries over as a running maximum, and how many segments
+    began, a running sum; both are tables of entities x ranges.
+    """
+    day = F.unix_date("start_date")
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = rows.groupBy("_part").agg(F.array_distinct(F.percentile_approx(day, shares, 20 * ranges)).alias("_cuts"))
+    rows = rows.join(F.broadcast(cuts), "_part").withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= day))).drop("_cuts")
+    before = Window.partitionBy("_part").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("_part", "_range").agg(F.max("end_date").alias("_end")).select("_part", "_range", F.max("_end").over(before).alias("_carried"))
+    w = Window.partitionBy("_part", "_range").orderBy(*_ORDER)
+    latest = F.greatest(F.max("end_date").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    rows = rows.join(F.broadcast(ends), ["_part", "_range"]).withColumn("_apart", F.datediff("start_date", latest)).drop("_carried")
+    began = rows.groupBy("_part", "_range").agg(*[F.count_if(F.col("_apart") > g).alias(f"_n{g}") for g in gaps])
+    began = began.select("_part", "_range", *[F.coalesce(F.sum(f"_n{g}").over(before), F.lit(0)).alias(f"_b{g}") for g in gaps])
+    own = lambda g: F.count_if(F.col("_apart") > g).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumns({f"_s{g}": own(g) for g in gaps}).join(F.broadcast(began), ["_part", "_range"])
+    return _by_gap(out.withColumns({f"_s{g}": F.col(f"_s{g}") + F.col(f"_b{g}") for g in gaps}).drop("_range", *[f"_b{g}" for g in gaps]), gaps)
+
+
+def _by_gap(rows: DataFrame, gaps: list[int]) -> DataFrame:
     grid = F.array(*[F.struct(F.lit(g).alias("gap"), F.col(f"_s{g}").alias("segment")) for g in gaps])
     return rows.select("*", F.inline(grid)).drop("_apart", *[f"_s{g}" for g in gaps])
 
 
+def _parts(df: DataFrame, gaps: list[int], share: int, few: int, ranges: int) -> tuple[DataFrame, DataFrame | None]:
+    """(segments of all usual entities, those of entities with more than one in ``share`` of the rows, None without such)."""
+    rows = _dated(df, gaps)
+    hot = hot_hashes(rows.filter("key is not null"), ["_part"], share, few)
+    if not hot:
+        return _numbered(rows, gaps), None
+    is_hot = F.xxhash64("_part").isin(hot)
+    return _numbered(rows.filter(~is_hot), gaps), _numbered_in_ranges(rows.filter(is_hot), gaps, ranges)
+
+
+def segments(df: DataFrame, gaps: list[int] = (1,), share: int = 500, few: int = 100_000, ranges: int = 200) -> DataFrame:
+    """Rows with ``gap``, ``key`` and ``segment``, its number within the key.
+
+    A segment begins where a start lies more than ``gap`` days after the latest
+    end so far.  Rows without dates or with end before start are left out; rows
+    without an entity have a null key and stay single.  The latest end does not
+    depend on the gap, so all gaps share one shuffle and one sort, and rows are
+    multiplied only afterwards.  An entity with more than one in ``share`` of the
+    rows (of tables above ``few`` rows) is cut into ``ranges`` of start days.
+    """
+    cold, hot = _parts(df, list(gaps), share, few, ranges)
+    return cold if hot is None else cold.unionByName(hot)
+
+
 def _spread(column: str, over=None) -> Column:
     """Whether a column has more than one value; nulls do not count."""
     low, high = (F.min(column), F.max(column)) if over is None else (F.min(column).over(over), F.max(column).over(over))
@@ -51,23 +98,25 @@ def audit(parts: DataFrame, area_tolerance: float = 2.0) -> DataFrame:
     return out.withColumnRenamed("_part", "key").withColumn("blocked", F.col("category_conflict") | F.col("area_conflict"))
 
 
-def episodes(df: DataFrame, gaps: list[int] = (1,), area_tolerance: float = 2.0) -> DataFrame:
+def episodes(df: DataFrame, gaps: list[int] = (1,), area_tolerance: float = 2.0, share: int = 500, few: int = 100_000, ranges: int = 200) -> DataFrame:
     """Merged intervals: the first row's attributes, least start, latest end, rows merged and a status.
 
     Blocked segments give their rows unchanged (``conflicting_metadata``), rows
     without an entity too (``missing_id``).  What a segment needs are aggregates
     over its own partition, so one exchange serves all steps, and only the columns
-    that are asked for travel.
+    that are asked for travel.  Segments of very large entities (see
+    :func:`segments`) are aggregated before they are shuffled.
     """
-    parts = segments(df, gaps)
+    cold, hot = _parts(df, list(gaps), share, few, ranges)
+    facts = {"rows": F.count("*"), "_last": F.max("end_date"), "_kinds": F.min("layout") < F.max("layout"), "_wide": F.max("area") - F.min("area") > area_tolerance}
     own = Window.partitionBy(*_SEGMENT)
-    wide = F.coalesce(F.max("area").over(own) - F.min("area").over(own) > area_tolerance, F.lit(False))
-    parts = parts.withColumns(
-        {
-            "_no": F.row_number().over(own.orderBy(*_ORDER)), "rows": F.count("*").over(own), "_last": F.max("end_date").over(own),
-            "_blocked": (_spread("layout", own) | wide) & F.col("key").isNotNull(),
-        }
-    )
+    parts = cold.withColumns({"_no": F.row_number().over(own.orderBy(*_ORDER)), **{name: _over(name, own, area_tolerance) for name in facts}})
+    if hot is not None:
+        first = F.min(F.struct(*_ORDER)).alias("_first")
+        sums = hot.groupBy(*_SEGMENT).agg(first, *[c.alias(name) for name, c in facts.items()])
+        met = hot.join(sums.hint("merge"), _SEGMENT)  # a segment of very many rows is dealt out where the join is skewed
+        parts = parts.unionByName(met.withColumn("_no", F.when(F.struct(*_ORDER) == F.col("_first"), 1).otherwise(2)).drop("_first").select(*parts.columns))
+    parts = parts.withColumn("_blocked", (F.coalesce("_kinds", F.lit(False)) | F.coalesce("_wide", F.lit(False))) & F.col("key").isNotNull())
     out = parts.filter("_blocked or _no = 1")
     status = F.when(F.col("key").isNull(), "missing_id").when(F.col("_blocked"), "conflicting_metadata").when(F.col("rows") > 1, "merged").otherwise("single")
     kept = [c for c in df.columns if c not in ("start_date", "end_date", "duration", "start_year", "start_month", "rows", "status", "gap", "entity")]
@@ -78,6 +127,16 @@ def episodes(df: DataFrame, gaps: list[int] = (1,), area_tolerance: float = 2.0)
     )
 
 
+def _over(name: str, own, area_tolerance: float) -> Column:
+    if name == "rows":
+        return F.count("*").over(own)
+    if name == "_last":
+        return F.max("end_date").over(own)
+    if name == "_kinds":
+        return F.min("layout").over(own) < F.max("layout").over(own)
+    return F.max("area").over(own) - F.min("area").over(own) > area_tolerance
+
+
 def sensitivity(df: DataFrame, gaps: list[int] = (0, 1, 7, 14), area_tolerance: float = 2.0) -> DataFrame:
     """Per gap: rows, episodes, merged and blocked segments, mean duration.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,23 @@ def hot_hashes(df: DataFrame, keys: list[str], share: int = 500, few: int = 20_0
         return []
     counts = hashed.filter(F.pmod("h", F.lit(buckets)).isin(heavy)).groupBy("h").agg(F.count("*").alias("n"))
     return sorted(r.h for r in counts.filter(F.col("n") * share > total).collect())
+
+
+def with_count(df: DataFrame, key: Column, name: str, share: int = 500, few: int = 20_000) -> DataFrame:
+    """``df`` with ``name``, how many of its rows have the row's value of ``key``; null where the key is null.
+
+    Rows of keys that hold more than one in ``share`` of the rows do not meet in a
+    task: their counts come from partial sums, fewer than ``share`` of them, and
+    are broadcast.  Rows with a null key are not counted and stay apart too.
+    """
+    rows = df.withColumns({"_count_key": key, "_count_own": F.xxhash64(*df.columns)})
+    hot = hot_hashes(rows.filter("_count_key is not null"), ["_count_key"], share, few)
+    is_hot = F.xxhash64("_count_key").isin(hot) if hot else F.lit(False)
+    apart = F.when(F.col("_count_key").isNull() | is_hot, F.col("_count_own"))
+    rows = rows.withColumn("_count_n", F.count("*").over(Window.partitionBy("_count_key", apart)))
+    n = F.when(F.col("_count_key").isNotNull(), F.col("_count_n"))
+    if hot:
+        large = df.withColumn("_count_key", key).filter(is_hot).groupBy("_count_key").agg(F.count("*").alias("_count_hot"))
+        rows = rows.join(F.broadcast(large), "_count_key", "left")
+        n = F.coalesce("_count_hot", n)
+    return rows.withColumn(name, n).select(*df.columns, name)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean as C
+from .hot import with_count
 
 # Kinds that make a category.
 KINDS = ["R", "K", "DK", "LK", "LDK", "SK", "SDK", "SLDK"]
@@ -19,14 +20,19 @@ def require(df: DataFrame, columns: list[str], optional: list[str] = ()) -> Data
 
 
 def prepare(df: DataFrame, strict_walk: bool = False) -> DataFrame:
-    """Typed columns beside the text ones; one window on the id, all else row by row."""
+    """Typed columns beside the text ones; ids are counted, all else is row by row.
+
+    Missing ids are no key: their rows do not meet, however many there are, nor do
+    those of an id that very many rows share.
+    """
     df = require(df, ["pub_start_date", "pub_end_date"], ["id", "money_room", "house_area", "kenchiku_date", "madori_number_all", "madori_kind_all_label"])
     start, end = C.day(F.col("pub_start_date")), C.day(F.col("pub_end_date"))
     rent = C.number(F.col("money_room"))
     built = C.year_month(F.col("kenchiku_date"))
     rooms, kind = F.col("madori_number_all"), F.col("madori_kind_all_label")
     out = df.withColumns({"start_date": start, "end_date": end, "rent_raw": rent, "area_raw": C.number(F.col("house_area")), "built": built})
-    same = Window.partitionBy(C.text(F.col("id")))
+    known = C.text(F.col("id"))
+    out = with_count(out, F.when(known != "", known), "_same")
     return out.withColumns(
         {
             "duration": F.datediff("end_date", "start_date"),
@@ -41,9 +47,9 @@ def prepare(df: DataFrame, strict_walk: bool = False) -> DataFrame:
             "category": C.category(rooms, kind, KINDS),
             "category_issue": C.category_issue(rooms, kind, KINDS),
             "missing_id": C.text(F.col("id")) == "",
-            "repeated_id": (F.count("*").over(same) > 1) & (C.text(F.col("id")) != ""),
+            "repeated_id": F.coalesce(F.col("_same") > 1, F.lit(False)),
         }
-    )
+    ).drop("_same")
 
 
 def flow(df: DataFrame, steps: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +70,13 @@ def first_per_id(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 
 def frequent_keys(df: DataFrame, key: str, most: int, placeholders: list[str]) -> DataFrame:
-    """``known``: the key, or null if it is a placeholder or occurs in more than ``most`` rows."""
-    n = F.count("*").over(Window.partitionBy(key))
-    return df.withColumn("known", F.when((n <= most) & ~F.col(key).isin(placeholders), F.col(key)))
+    """``known``: the key, or null if it is a placeholder or occurs in more than ``most`` rows.
+
+    Rows of placeholders are not counted, and those of very frequent keys do not meet in a task.
+    """
+    real = F.when(~F.col(key).cast("string").isin(placeholders), F.col(key)) if placeholders else F.col(key)
+    counted = with_count(df, real, "_n")
+    return counted.withColumn("known", F.when(F.col("_n") <= most, F.col(key))).drop("_n")
 
 
 def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
