@@ -37,6 +37,34 @@ def active_count(df: DataFrame, group: list[str], out: str = "active") -> DataFr
     return joined.withColumn(out, F.greatest(F.col("_live") - own, F.lit(0))).drop("_day", "_live", *[f"_g{i}" for i in range(len(group))])
 
 
+def live_at(intervals: DataFrame, questions: DataFrame, group: list[str], day: str, out: str = "live") -> DataFrame:
+    """``questions`` with how many ``intervals`` of their group are live on their ``day`` (start <= day < end).
+
+    One sweep per group: starts add, ends subtract, and the days that are asked
+    for read the running sum.  All three shrink to one row a group and day first, so
+    a group of very many intervals is no long sort.  Null groups are a group of
+    their own; a group without intervals has 0, a null day null.  Intervals without
+    both dates, or that end before they start, do not count.
+    """
+    day_col, c, n = unused("_day", questions.columns), unused("_c", questions.columns), [unused(f"_g{i}", questions.columns) for i in range(len(group))]
+    named = [F.col(g).alias(x) for g, x in zip(group, n, strict=True)]
+    own = intervals.filter("start_date is not null and end_date is not null and end_date > start_date")
+    ends = F.array(F.struct(F.col("start_date").alias(day_col), F.lit(1).alias(c)), F.struct(F.col("end_date").alias(day_col), F.lit(-1).alias(c)))
+    change = own.select(*named, F.inline(ends)).unionByName(questions.filter(F.col(day).isNotNull()).select(*named, F.col(day).alias(day_col), F.lit(0).alias(c)))
+    days = change.groupBy(*n, day_col).agg(F.sum(c).alias(c))
+    running = F.sum(c).over(Window.partitionBy(*n).orderBy(day_col).rowsBetween(Window.unboundedPreceding, 0))
+    days = days.withColumn(c, running)
+    same = [questions[g].eqNullSafe(days[x]) for g, x in zip(group, n, strict=True)]
+    joined = questions.join(days, _all([*same, questions[day] == days[day_col]]), "left")
+    return joined.select(*[questions[x] for x in questions.columns if x != out], F.when(questions[day].isNotNull(), F.coalesce(days[c], F.lit(0))).alias(out))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def _all(conditions: list):
     out = conditions[0]
     for c in conditions[1:]:

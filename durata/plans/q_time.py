@@ -204,6 +204,14 @@ def n02_active_count(spark, d):
     return N.active_count(intervals(spark, d), ["city"]).select("row_id", "active")
 
 
+@query("WITH q AS (SELECT n_name AS city, day FROM nation, (SELECT unnest(generate_series(DATE '1997-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS day)) SELECT q.city, q.day, count(iv.row_id) AS live FROM q LEFT JOIN iv ON iv.city = q.city AND iv.start_date <= q.day AND iv.end_date > q.day GROUP BY ALL")
+def n02_live_at_days(spark, d):
+    """Live intervals of every nation on the first of each month, also of nations without any."""
+    months = F.explode(F.sequence(F.lit(dt.date(1997, 1, 1)), F.lit(dt.date(2001, 12, 1)), F.expr("interval 1 month")))
+    asked = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("city"), months.alias("day"))
+    return N.live_at(intervals(spark, d), asked, ["city"], "day")
+
+
 @query(
     """WITH k AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY building_id) <= 620 AND building_id NOT IN ('1', '3') THEN building_id END AS known FROM iv),
     p AS (SELECT *, lag(start_date) OVER w AS ps, lag(end_date) OVER w AS pe FROM k WINDOW w AS (PARTITION BY known ORDER BY start_date, row_id)),

@@ -316,3 +316,15 @@ def test_bounded_periods(spark):
     some = PP.bounded_periods(df, "row_id", cap=50, most=950)
     assert some.filter("event_in_day = 1").count() == 100 and 800 < some.filter("event_in_day = 0").count() < 1100
     assert PP.bounded_periods(df.limit(0), "row_id").isEmpty()
+
+
+def test_live_counts_at_any_day(spark):
+    from durata.operators import snapshots as N
+
+    rows = spark.createDataFrame([("a", 0, 5), ("a", 3, 5), ("a", 5, 9), ("a", 4, 4), ("a", None, 9), (None, 1, 3)], "g string, s int, e int")
+    rows = rows.select("g", F.date_from_unix_date("s").alias("start_date"), F.date_from_unix_date("e").alias("end_date"))
+    asked = [("a", 0), ("a", 3), ("a", 4), ("a", 5), ("a", 8), ("a", 9), ("a", -1), ("b", 3), (None, 2), (None, 3), ("a", None), ("a", 3)]
+    q = spark.createDataFrame([(g, d, i) for i, (g, d) in enumerate(asked)], "g string, d int, _c int").withColumn("day", F.date_from_unix_date("d"))
+    out = {r["_c"]: r.live for r in N.live_at(rows, q, ["g"], "day").collect()}
+    assert [out[i] for i in range(len(asked))] == [1, 2, 2, 1, 1, 0, 0, 0, 1, 0, None, 2]
+    assert N.live_at(rows.limit(0), q, ["g"], "day").filter("live > 0").isEmpty()
