@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.prepare import fingerprint, fingerprint_columns, require_same
+
+_MARK = T.StructType([T.StructField("rows", T.LongType()), T.StructField("content", T.StringType())])
+
 
 def read_text_table(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", keep: list[str] | None = None, source: bool = False) -> DataFrame:
     """All columns as text by position, never inferred; a malformed line fails the read.  Only ``keep`` is parsed.
@@ -63,12 +70,49 @@ def load_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
-def reuse(spark: SparkSession, path: str, build) -> DataFrame:
-    """The Parquet table at ``path``; where it can't be read, ``build()`` is written there first."""
-    from pyspark.errors import AnalysisException
+def save_marked(df: DataFrame, path: str) -> dict:
+    """Write Parquet and, beside it, the fingerprint of what was written, observed in the same pass.  Refuses to overwrite."""
+    seen = Observation("fingerprint")
+    df.observe(seen, *fingerprint_columns(df)).write.mode("errorifexists").parquet(path)
+    mark = {"rows": seen.get["rows"], "content": seen.get["content"]}
+    _mark(df.sparkSession, path, "table", mark)
+    return mark
+
+
+def _mark(spark: SparkSession, path: str, of: str, mark: dict) -> None:
+    spark.createDataFrame([(mark["rows"], mark["content"])], _MARK).coalesce(1).write.mode("errorifexists").json(f"{path.rstrip('/')}.{of}-fingerprint")
+
+
+def marked(spark: SparkSession, path: str, of: str = "table") -> dict:
+    """The fingerprint kept beside the table at ``path``: that of the ``table`` itself or of its ``input``."""
+    return load_json(spark, f"{path.rstrip('/')}.{of}-fingerprint", _MARK).first().asDict()
+
 
+def load_same(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``, which must still hold the rows that were written there."""
+    df = spark.read.parquet(path)
+    require_same(fingerprint(df).first().asDict(), marked(spark, path), f"the table {path}")
+    return df
+
+
+def reuse(spark: SparkSession, path: str, build: Callable[[], DataFrame], source: DataFrame | None = None) -> DataFrame:
+    """The Parquet table at ``path``; where there is none, ``build()`` is written there first.
+
+    With ``source``, its fingerprint is kept beside the table, and a table that was
+    built from other rows, or from an unknown source, is refused.
+    """
+    now = fingerprint(source).first().asDict() if source is not None else None
     try:
-        return spark.read.parquet(path)
+        df = spark.read.parquet(path)
     except AnalysisException:
-        build().write.mode("errorifexists").parquet(path)
+        save_marked(build(), path)
+        if now:
+            _mark(spark, path, "input", now)
         return spark.read.parquet(path)
+    if now:
+        try:
+            before = marked(spark, path, "input")
+        except AnalysisException:
+            raise ValueError(f"the table {path} does not tell what it was built from") from None
+        require_same(now, before, f"the input of {path}")
+    return df

@@ -328,3 +328,32 @@ def test_live_counts_at_any_day(spark):
     out = {r["_c"]: r.live for r in N.live_at(rows, q, ["g"], "day").collect()}
     assert [out[i] for i in range(len(asked))] == [1, 2, 2, 1, 1, 0, 0, 0, 1, 0, None, 2]
     assert N.live_at(rows.limit(0), q, ["g"], "day").filter("live > 0").isEmpty()
+
+
+def test_changed_input_is_refused(spark, tmp_path):
+    from durata.sources import files
+
+    df = spark.range(200).select("id", (F.col("id") * 1.5).alias("x"), F.when(F.col("id") % 3 > 0, F.lit("é")).alias("s"))
+    mark = files.save_marked(df, str(tmp_path / "t"))
+    assert mark == P.fingerprint(df.repartition(7).orderBy(F.desc("id"))).first().asDict() == files.marked(spark, str(tmp_path / "t"))
+    assert files.load_same(spark, str(tmp_path / "t")).count() == 200
+    P.require_same(P.fingerprint(df.select("s", "x", "id")).first().asDict(), mark)
+    lost, other = df.filter("id <> 7"), df.withColumn("x", F.when(F.col("id") == 7, 0.1).otherwise(F.col("x")))
+    swapped = df.withColumn("s", F.when(F.col("id") % 3 != 1, F.lit("é")))
+    for changed, text in ((lost, "200 rows before, 199 now"), (other, "other values"), (swapped, "other values"), (df.limit(0), "0 now")):
+        with pytest.raises(ValueError, match=text):
+            P.require_same(P.fingerprint(changed).first().asDict(), mark)
+    pair = spark.createDataFrame([("ab", None), (None, "ab"), ("a", "b")], "p string, q string")
+    assert len({P.fingerprint(pair.filter(c)).first().content for c in ("q is null", "p is null", "p = 'a'")}) == 3
+    kept = str(tmp_path / "kept")
+    built = lambda: df.groupBy("s").count()
+    assert files.reuse(spark, kept, built, df).count() == files.reuse(spark, kept, built, df.repartition(3)).count() == 2
+    with pytest.raises(ValueError, match="199 now"):
+        files.reuse(spark, kept, built, lost)
+    files.reuse(spark, str(tmp_path / "plain"), built)
+    with pytest.raises(ValueError, match="does not tell"):
+        files.reuse(spark, str(tmp_path / "plain"), built, df)
+    df.write.mode("overwrite").parquet(str(tmp_path / "t"))
+    lost.write.mode("overwrite").parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="the table"):
+        files.load_same(spark, str(tmp_path / "t"))
