@@ -248,6 +248,31 @@ def test_benchmark_matches_with_repeated_tokens(spark):
     assert sum((100 + i, i) in want for i in range(40)) == 40
 
 
+def test_fingerprints_decide_and_find_nearly_all(spark):
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randint(0, 10**6)}"
+    items, rows = [], []
+    for i in range(120):
+        w = [word() for _ in range(rng.randint(30, 150))]
+        run, kind = rng.choice(["_", "the", "zz"]), i % 4
+        items.append((i, " ".join(w + [run] * 12 * (kind == 3))))
+        edits = max(1, len(w) // 50)
+        for _ in range(edits):
+            w[rng.randrange(len(w))] = word()
+        if kind == 1:
+            w[-(len(w) // 12) :] = [run] * (len(w) // 12)
+        if kind == 2:
+            del w[: len(w) // 12]
+        rows.append((2 * i, " ".join(["lead", *w, *[run] * 12 * (kind == 3), "end"])))
+    d, b = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = set(brute_matches_at(rows, items))
+    pairs = lambda **how: {(r.doc_id, r.item_id) for r in benchmark_matches(d, b, **how).collect()}
+    got = pairs()
+    assert len(want) > 60 and got <= want and len(got) >= 0.97 * len(want)
+    assert pairs(beyond_radius=True) == want
+    assert len(pairs(radius=8)) < 0.8 * len(got)  # the radius decides
+
+
 def test_benchmark_edges(spark):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     d = docs(spark, [(1, "x a b c d e f g y"), (1, "x a b c d e f g y"), (None, "a b c d e f g"), (3, "clean text")])
