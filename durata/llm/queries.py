@@ -161,31 +161,36 @@ base AS (SELECT doc_id, 0 AS kind, start, finish, part FROM (
     SELECT doc_id, part, (sum(length(gap)) OVER w + coalesce(sum(length(al)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS start, (sum(length(gap)) OVER w + sum(length(al)) OVER w)::INT AS finish
     FROM (SELECT doc_id, unnest(string_split_regex(text, '[0-9a-f]+')) AS gap, unnest(regexp_extract_all(text, '[0-9a-f]+', 0)) AS al, unnest(regexp_extract_all(text, '[0-9a-f]+', 0)) AS part, generate_subscripts(string_split_regex(text, '[0-9a-f]+'), 1) AS i FROM d)
     WHERE al IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE length(part) >= 16),
-tok AS (SELECT doc_id, 3 AS kind, start, finish, part FROM (
-    SELECT doc_id, part, (sum(length(gap)) OVER w + coalesce(sum(length(al)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS start, (sum(length(gap)) OVER w + sum(length(al)) OVER w)::INT AS finish
-    FROM (SELECT doc_id, unnest(string_split_regex(text, '[A-Za-z0-9+/_=-]+')) AS gap, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]+', 0)) AS al, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]+', 0)) AS part, generate_subscripts(string_split_regex(text, '[A-Za-z0-9+/_=-]+'), 1) AS i FROM d)
+tok AS (SELECT doc_id, start, CASE WHEN regexp_matches(substr(text, finish + 1, 1), '[A-Za-z0-9+/_-]') THEN start + length(part) ELSE finish END AS finish, part FROM (
+    SELECT doc_id, part, text, (sum(length(gap)) OVER w + coalesce(sum(length(al)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS start, (sum(length(gap)) OVER w + sum(length(al)) OVER w)::INT AS finish
+    FROM (SELECT doc_id, text, unnest(string_split_regex(text, '([A-Za-z0-9+/]+)=*')) AS gap, unnest(regexp_extract_all(text, '([A-Za-z0-9+/]+)=*', 0)) AS al, unnest(regexp_extract_all(text, '([A-Za-z0-9+/]+)=*', 1)) AS part, generate_subscripts(string_split_regex(text, '([A-Za-z0-9+/]+)=*'), 1) AS i FROM d)
+    WHERE al IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE length(part) >= 24
+  UNION SELECT doc_id, start, CASE WHEN regexp_matches(substr(text, finish + 1, 1), '[A-Za-z0-9+/_-]') THEN start + length(part) ELSE finish END AS finish, part FROM (
+    SELECT doc_id, part, text, (sum(length(gap)) OVER w + coalesce(sum(length(al)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS start, (sum(length(gap)) OVER w + sum(length(al)) OVER w)::INT AS finish
+    FROM (SELECT doc_id, text, unnest(string_split_regex(text, '([A-Za-z0-9_-]+)=*')) AS gap, unnest(regexp_extract_all(text, '([A-Za-z0-9_-]+)=*', 0)) AS al, unnest(regexp_extract_all(text, '([A-Za-z0-9_-]+)=*', 1)) AS part, generate_subscripts(string_split_regex(text, '([A-Za-z0-9_-]+)=*'), 1) AS i FROM d)
     WHERE al IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE length(part) >= 24),
-t0 AS (SELECT doc_id, start, finish, rtrim(part, '=') AS s FROM tok t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start < t.finish AND t.start < b.finish)),
+t0 AS (SELECT doc_id, start, finish, part AS s FROM tok t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start < t.finish AND t.start < b.finish)),
 t1 AS (SELECT *, CASE WHEN (regexp_full_match(s, '[0-9a-f]+') OR regexp_full_match(s, '[0-9A-F]+')) AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Fa-f]') THEN '0123456789abcdef'
   WHEN regexp_full_match(s, '[A-Z2-7]+') AND regexp_matches(s, '[2-7]') AND regexp_matches(s, '[A-Z]') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'
   WHEN regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[0-9]') AND regexp_full_match(s, '[A-Za-z0-9+/]+|[A-Za-z0-9_-]+') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/' END AS alphabet FROM t0),
 t2 AS (SELECT doc_id, start, finish, alphabet, CASE WHEN length(alphabet) = 16 THEN lower(s) ELSE translate(s, '-_', '+/') END AS s, length(s)::DOUBLE AS n, length(alphabet)::DOUBLE AS k FROM t1 WHERE alphabet IS NOT NULL AND length(s) >= 24),
-ch AS (SELECT doc_id, start, n, k, i, instr(alphabet, s[i:i])::DOUBLE AS v FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM t2)),
-sq AS (SELECT doc_id, start, sum(c * c)::DOUBLE AS squares FROM (SELECT doc_id, start, v, count(*) AS c FROM ch GROUP BY ALL) GROUP BY ALL),
-st AS (SELECT doc_id, start, n, k, avg(v) OVER w AS mean_v, v, i, (v > k / 2)::INT AS bit FROM ch WINDOW w AS (PARTITION BY doc_id, start)),
-s2 AS (SELECT *, lead(v) OVER w - mean_v AS nx, lag(bit) OVER w AS pb FROM st WINDOW w AS (PARTITION BY doc_id, start ORDER BY i)),
-s3 AS (SELECT doc_id, start, n, k, sum((v - mean_v) * (v - mean_v)) AS energy, sum((v - mean_v) * nx) AS cross_, 1 + sum((pb IS NOT NULL AND pb <> bit)::INT) AS runs, sum(bit)::DOUBLE AS n1 FROM s2 GROUP BY ALL),
-s4 AS (SELECT *, squares * k / n - n AS chi, k - 1 AS df, 2 * n1 * (n - n1) / n + 1 AS r FROM s3 JOIN sq USING (doc_id, start)),
-s5 AS (SELECT doc_id, start, n, (pow(greatest(chi, 0) / df, 1.0::DOUBLE / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df)) AS zc, abs(runs - r) / sqrt(greatest((r - 1) * (r - 2) / (n - 1), 1e-9::DOUBLE)) AS zr, abs(cross_ / greatest(energy, 1e-9::DOUBLE) + 1 / n) * sqrt(n) AS zs FROM s4),
-z AS (SELECT doc_id, start, n, zc, unnest([abs(zc), zr, zs]) AS z, unnest([0, 1, 2]) AS which FROM s5),
+ch AS (SELECT doc_id, start, finish, n, k, i, instr(alphabet, s[i:i])::DOUBLE AS v FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM t2)),
+sq AS (SELECT doc_id, start, finish, sum(c * c)::DOUBLE AS squares FROM (SELECT doc_id, start, finish, v, count(*) AS c FROM ch GROUP BY ALL) GROUP BY ALL),
+st AS (SELECT doc_id, start, finish, n, k, avg(v) OVER w AS mean_v, v, i, (v > k / 2)::INT AS bit FROM ch WINDOW w AS (PARTITION BY doc_id, start, finish)),
+s2 AS (SELECT *, lead(v) OVER w - mean_v AS nx, lag(bit) OVER w AS pb FROM st WINDOW w AS (PARTITION BY doc_id, start, finish ORDER BY i)),
+s3 AS (SELECT doc_id, start, finish, n, k, sum((v - mean_v) * (v - mean_v)) AS energy, sum((v - mean_v) * nx) AS cross_, 1 + sum((pb IS NOT NULL AND pb <> bit)::INT) AS runs, sum(bit)::DOUBLE AS n1 FROM s2 GROUP BY ALL),
+s4 AS (SELECT *, squares * k / n - n AS chi, k - 1 AS df, 2 * n1 * (n - n1) / n + 1 AS r FROM s3 JOIN sq USING (doc_id, start, finish)),
+s5 AS (SELECT doc_id, start, finish, n, (pow(greatest(chi, 0) / df, 1.0::DOUBLE / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df)) AS zc, abs(runs - r) / sqrt(greatest((r - 1) * (r - 2) / (n - 1), 1e-9::DOUBLE)) AS zr, abs(cross_ / greatest(energy, 1e-9::DOUBLE) + 1 / n) * sqrt(n) AS zs FROM s4),
+z AS (SELECT doc_id, start, finish, n, zc, unnest([abs(zc), zr, zs]) AS z, unnest([0, 1, 2]) AS which FROM s5),
 tl AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z / sqrt(2.0::DOUBLE)) AS t FROM z),
 tp AS (SELECT *, greatest(t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-z * z / 2), 1e-300::DOUBLE) AS q FROM tl),
-hf AS (SELECT doc_id, start, n, -sum(ln(CASE WHEN which > 0 THEN q WHEN zc > 0 THEN q / 2 ELSE 1 - q / 2 END)) AS half FROM tp GROUP BY ALL),
-pv AS (SELECT doc_id, start, n, greatest(exp(-half) * (1 + half + half * half / 2), 1e-300::DOUBLE) AS p FROM hf),
+hf AS (SELECT doc_id, start, finish, n, -sum(ln(CASE WHEN which > 0 THEN q WHEN zc > 0 THEN q / 2 ELSE 1 - q / 2 END)) AS half FROM tp GROUP BY ALL),
+pv AS (SELECT doc_id, start, finish, n, greatest(exp(-half) * (1 + half + half * half / 2), 1e-300::DOUBLE) AS p FROM hf),
 bn AS (SELECT *, floor(-log10(greatest(p * avg(n) OVER () / n, 1e-300::DOUBLE)) * 10) AS b, count(*) OVER () AS m FROM pv),
 ct AS (SELECT b, any_value(m) AS m, sum(count(*)) OVER (ORDER BY b DESC) AS rank FROM bn GROUP BY b),
 lim AS (SELECT coalesce(min(b) FILTER (pow(10.0::DOUBLE, -b / 10) <= 0.1 * rank / m), 1e308::DOUBLE) AS lim FROM ct),
-rnd AS (SELECT t2.doc_id, 3 AS kind, t2.start, t2.finish FROM t2 JOIN bn USING (doc_id, start), lim WHERE bn.b < lim.lim),
+told AS (SELECT bn.doc_id, bn.start, bn.finish, max(bn.finish) OVER (PARTITION BY bn.doc_id ORDER BY bn.start, bn.finish DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM bn, lim WHERE bn.b < lim.lim),
+rnd AS (SELECT doc_id, 3 AS kind, start, finish FROM told WHERE reach IS NULL OR finish > reach),
 al AS (SELECT doc_id, kind, start, finish FROM base UNION ALL SELECT * FROM rnd),
 ls AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || finish, ',' ORDER BY start, kind) FILTER (kind < 3) AS bs, string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || start || ':' || finish, ',' ORDER BY start, kind) AS spans FROM al GROUP BY doc_id)
