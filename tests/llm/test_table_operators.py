@@ -414,3 +414,26 @@ def test_scratch_blocks_of_threads_do_not_meet(spark):
     assert found == [5]
     with pytest.raises(Exception, match="(?i)not.exist|does not exist|PATH_NOT_FOUND|FILE"):
         gone.count()
+
+
+def test_secret_scan_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from durata.llm.queries import OP8_SQL, op8_secrets
+
+    rng = random.Random(6)
+    std = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n, symbols=std: "".join(rng.choice(symbols) for _ in range(n))
+    safe = std[:-2] + "-_"
+    texts = [f"api/path/{key(40)} x and name={key(36)}", f"a={key(40)}== b", f"{key(40)}==tail and {key(33)}=", f"{key(40, safe)} é {key(30, safe)}-", f"id_{key(28)}", f"{key(30)}/{key(30, safe)}/x"]
+    texts += [f"{'/'.join(key(26, std[:62]) for _ in range(3))}?q={key(44, safe)}&password={key(20)}", key(64, "0123456789ABCDEF"), key(52, std[:26] + "234567"), "AKIA" + key(16, std[:26]), "CamelCaseNameOfAClass42/WithAPathBehind/AndMoreOfIt7"]
+    texts += [f"{key(48)} " * 3, "plain words and a-slug-of-many-words-in-a-row-2024", None, "", "=" * 40, "token: '" + key(30) + "'", key(100, "aB1")]
+    rows = list(enumerate(texts * 3 + [f"x{key(rng.randint(20, 60))}{rng.choice('=-_/ +.')}{key(rng.randint(20, 60), safe)}" for _ in range(150)]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    result = c.execute(OP8_SQL)
+    names = [x[0] for x in result.description]
+    want = sorted(tuple(r[names.index(n)] for n in ("doc_id", "base_sha256", "spans")) for r in result.fetchall())
+    got = sorted((r.doc_id, r.base_sha256, r.spans) for r in op8_secrets(spark, str(tmp_path)).collect())
+    assert got == want and sum("random" in r[2] for r in got) > 100
