@@ -1,25 +1,34 @@
-"""Cluster bootstrap from sufficient sums: draws are hashes, so they are the same under any partitioning."""
+"""Cluster bootstrap from sufficient sums: draws are hashes, so they are the same under any partitioning.
+
+Two ways to draw.  :func:`multiplicities` writes every draw as a row, which SQL can
+repeat; :func:`resampled` splits the number of draws over halves of the clusters,
+halves of halves and so on, and never has a table of draws.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import hash_uniform
+from ..sources.scratch import scratch, stored
 
 
 def numbered(clusters: DataFrame, key: str) -> DataFrame:
-    """``clusters`` with ``cluster_no`` from 0 by key, and ``_k``, their number.
+    """``clusters`` with ``cluster_no`` from 0 by key, and ``_k``, their number: a stored table, which estimate and replicates read.
 
     Numbers come from counts of hash ranges and a row number within each, so no
     task sorts all clusters.
     """
+    clusters = stored(clusters)
     rows = clusters.withColumn("_b", F.substring(F.md5(F.col(key).cast("string")), 1, 2))
     size = rows.groupBy("_b").agg(F.count("*").alias("_c"))  # 256 rows at most
     w = Window.partitionBy(F.lit(0)).orderBy("_b")
     base = size.select("_b", (F.sum("_c").over(w) - F.col("_c")).alias("_base"), F.sum("_c").over(Window.partitionBy(F.lit(0))).alias("_k"))
     own = Window.partitionBy("_b").orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("_r", F.row_number().over(own)).join(F.broadcast(base), "_b").withColumn("cluster_no", F.col("_base") + F.col("_r") - 1).drop("_b", "_r", "_base")
+    return stored(rows.withColumn("_r", F.row_number().over(own)).join(F.broadcast(base), "_b").withColumn("cluster_no", F.col("_base") + F.col("_r") - 1).drop("_b", "_r", "_base"))
 
 
 def multiplicities(clusters: DataFrame, key: str, replicates: int, seed: int = 1) -> DataFrame:
@@ -98,3 +107,67 @@ def bootstrap_auc(df: DataFrame, cluster: str, scores: list[str], target: str, r
     drawn = drawn.groupBy("rep", "score", "_v").agg(F.sum(F.col("m") * F.col("_n")).alias("_n"), F.sum(F.col("m") * F.col("_p")).alias("_p")).select("rep", "score", "_v", F.inline(both))
     reps = auc(drawn, ["score", "rep"], "_v", "_y", "_c").select("rep", "score", F.col("auc").alias("x"))
     return _compared(auc(long, ["score"], "_v", target).select("score", F.col("auc").alias("x")), reps, "score", reference or scores[0])
+
+
+def _drawn_in(sizes: list[int], place: int, replicates: int, seed: int) -> np.ndarray:
+    """How many of all draws of each replicate fall into range ``place``, by halving the ranges.
+
+    Each half gets a binomial share by its number of clusters.  A half's generator
+    is seeded by the half, so every task that passes it sees the same shares.
+    """
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    low, high, drawn = 0, len(sizes), np.full(replicates, before[-1])
+    while high - low > 1:
+        middle = (low + high) // 2
+        share = (before[middle] - before[low]) / max(before[high] - before[low], 1)
+        left = np.random.default_rng([seed, 1, low, high]).binomial(drawn, share)
+        low, high, drawn = (low, middle, left) if place < middle else (middle, high, drawn - left)
+    return drawn
+
+
+def resampled(df: DataFrame, cluster: str, sums: dict[str, Column], replicates: int = 1000, seed: int = 1, clusters_a_range: int = 20_000) -> DataFrame:
+    """``(rep, draws, ..)``: sums over clusters drawn with replacement, as many as there are, for each replicate.
+
+    Rows reduce to one row of sums a cluster.  Clusters lie in hash ranges of some
+    ``clusters_a_range``; the draws of a replicate are split over the ranges (see
+    :func:`_drawn_in`) and within a range over its clusters, where they are summed
+    up at once.  What is shuffled afterwards is a row a range and replicate,
+    whatever the number of clusters; what is sent along is one number a range.
+    The same input gives the same draws under any partitioning.  Null clusters are
+    one cluster; null sums count 0; an empty table gives no rows.
+    """
+    names = list(sums)
+    text = F.coalesce(F.col(cluster).cast("string"), F.lit("\0null"))
+    with scratch(df.sparkSession) as keep:
+        per = df.groupBy(text.alias("_k")).agg(*[F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(f"_s{i}") for i, c in enumerate(sums.values())])
+        per = stored(per.withColumn("_h", F.xxhash64("_k")))
+        ranges = max(1, -(-per.count() // clusters_a_range))
+        per = per.withColumn("_range", F.pmod("_h", F.lit(ranges)).cast("int"))
+        counted = {r["_range"]: r["count"] for r in per.groupBy("_range").count().collect()}  # a number a range
+        sizes = [counted.get(i, 0) for i in range(ranges)]
+
+        def draw(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("_h", "ascending"), ("_k", "ascending")])
+            place = table.column("_range")[0].as_py()
+            values = np.stack([np.ones(table.num_rows), *(table.column(f"_s{i}").to_numpy() for i in range(len(names)))], axis=1)
+            drawn, out = _drawn_in(sizes, place, replicates, seed), []
+            rng = np.random.default_rng([seed, 2, place])
+            step = max(1, (1 << 21) // table.num_rows)  # some replicates at a time
+            for a in range(0, replicates, step):
+                counts = rng.multinomial(drawn[a : a + step], np.full(table.num_rows, 1 / table.num_rows))
+                out.append(counts @ values)
+            total = np.concatenate(out)
+            return pa.table([pa.array(np.arange(replicates, dtype=np.int32)), *(pa.array(c) for c in total.T)], names=["rep", "draws", *[f"_s{i}" for i in range(len(names))]])
+
+        parts = per.groupBy("_range").applyInArrow(draw, ", ".join(["rep int", "draws double", *[f"_s{i} double" for i in range(len(names))]]))
+        out = parts.groupBy("rep").agg(F.sum("draws").cast("long").alias("draws"), *[F.sum(f"_s{i}").alias(name) for i, name in enumerate(names)])
+        return keep(stored(out))
+
+
+def resampled_interval(df: DataFrame, cluster: str, numerator: Column, denominator: Column, replicates: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """``(estimate, low, high, replicates)`` of a ratio of sums by :func:`resampled`; replicates without denominator are left out."""
+    reps = resampled(df, cluster, {"a": numerator, "b": denominator}, replicates, seed).select((F.col("a") / F.nullif("b", F.lit(0.0))).alias("x"))
+    tail = (1 - level) / 2
+    q = reps.agg(F.percentile("x", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"), F.count("x").alias("replicates"))  # a value a replicate
+    whole = df.agg((F.sum(numerator) / F.nullif(F.sum(denominator), F.lit(0))).alias("estimate"))
+    return whole.crossJoin(q).select("estimate", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "replicates")

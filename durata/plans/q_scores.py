@@ -221,6 +221,13 @@ def m16_entity_bootstrap_gap(spark, d):
     return out.select(*[_r(c).alias(c) for c in out.columns])
 
 
+@query()
+def m15_m16_split_bootstrap(spark, d):
+    """The end rate with buildings drawn a thousand times, without a table of draws."""
+    out = S.resampled_interval(_cand(spark, d), "building_id", F.col("y"), F.lit(1), replicates=1000)
+    return out.withColumns({c: _r(c) for c in ("estimate", "low", "high")})
+
+
 _HIGH = "sum(y) AS a, count(*) AS b, sum((p >= 0.5)::INT * y) AS ah, sum((p >= 0.5)::INT) AS bh"
 
 

@@ -9,7 +9,7 @@ import pytest
 from durata.plans import queries as plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-VALUES = open(os.path.join(os.path.dirname(__file__), "test_hazard_values.py")).read()
+VALUES = "".join(open(os.path.join(os.path.dirname(__file__), f)).read() for f in ("test_hazard_values.py", "test_resample.py"))
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
@@ -44,7 +44,7 @@ def as_rows(names, rows):
 def test_query(spark, db, name):
     if name not in plans.oracle_sql():
         assert f'"{name}"' in VALUES, "a query without SQL needs a test of its values"
-        pytest.skip("values are tested in test_hazard_values.py")
+        pytest.skip("its values are tested elsewhere")
     df = plans.queries()[name](spark, SF)
     rows = df.collect()
     result = db.execute(plans.oracle_sql()[name])
