@@ -377,3 +377,18 @@ def p17_scope_comparison(spark, d):
         part = H.evaluate(model, test, "row_id", [7], [14]).select(F.lit(name).alias("scope"), "n", *[_r(c, 6).alias(c) for c in ("predicted", "actual", "brier", "auc")])
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query()
+def p15_model_selection(spark, d):
+    """Three sets of inputs, fit on starts of 1998, judged on those of 1999; the best one, refit on both, on 2000."""
+    from ..operators import hazard as H
+    from ..operators.selection import select_model
+
+    rows = _aged(intervals(spark, d))
+    known = K.known_at(rows, dt.date(2000, 1, 1))
+    inputs = {"time": (["time_day"], ["time_band"]), "category": (["time_day"], ["time_band", "category"]), "all": (H.NUMERIC, H.CATEGORIES)}
+    fits = {name: (lambda p, numeric=numeric, categories=categories: H.fit_hazard(p, numeric, categories)) for name, (numeric, categories) in inputs.items()}
+    year = lambda y: known.filter(F.year("start_date") == y)
+    found = select_model(year(1998), year(1999), lambda: K.censored_at(rows, OBS_END, [2000]), fits, "row_id", [7, 14], [7, 14], cap=179)
+    return found.scores.select("model", "part", "landmark", "horizon", "n", *[_r(c, 6).alias(c) for c in ("predicted", "actual", "brier", "auc")])

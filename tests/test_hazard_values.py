@@ -113,3 +113,36 @@ def test_static_classifier_of_the_query(spark):
     out = queries()["p09_static_classifier"](spark, SF).collect()
     assert out and all(0 < r.p < 1 for r in out) and len({r.p for r in out}) > len(out) / 2
     assert not math.isnan(sum(r.p for r in out))
+
+
+def test_selection_finds_the_informed_model_and_tests_once(spark, rows, tmp_path):
+    from durata.operators.selection import load_model, save_model, select_model
+
+    part = lambda k: rows.filter(F.col("row_id").cast("int") % 3 == k)
+    fits = {"blind": lambda p: H.fit_hazard(p, ["time_day"], ["time_band"]), "kind": lambda p: H.fit_hazard(p, ["time_day"], ["time_band", "category"])}
+    asked, fitted = [], []
+    fits = {name: (lambda p, f=f, name=name: fitted.append(name) or f(p)) for name, f in fits.items()}
+    found = select_model(part(0), part(1), lambda: asked.append(list(fitted)) or part(2), fits, "row_id", [0, 2], [2, 5])
+    assert found.winner == "kind" and found.mean_brier["kind"] < found.mean_brier["blind"]
+    assert asked == [["blind", "kind", "kind"]]  # the test rows are read once, after the winner was refit
+    out = {(r.model, r.part): r.n for r in found.scores.groupBy("model", "part").agg(F.count("*").alias("n")).collect()}
+    assert out == {("blind", "validation"): 4, ("kind", "validation"): 4, ("kind", "test"): 4}
+    source = part(0).unionByName(part(1)).select("row_id", "t", "event")
+    save_model(found.model, str(tmp_path / "m"), source)
+    again = load_model(str(tmp_path / "m"), source.repartition(2))
+    same = lambda m: sorted((r.row_id, r.p) for r in H.horizon_risk(m, part(2).withColumn("elapsed", F.lit(1)), ["row_id"], "elapsed", 3).collect())
+    assert same(again) == same(found.model)
+    with pytest.raises(ValueError, match="has changed"):
+        load_model(str(tmp_path / "m"), source.filter("row_id <> '1'"))
+
+
+def test_selection_of_the_query(spark):
+    out = queries()["p15_model_selection"](spark, SF).collect()
+    means = {}
+    for r in out:
+        assert 0 <= r.brier <= 0.27 and r.n > 0
+        if r.part == "validation":
+            means.setdefault(r.model, []).append(r.brier)
+    assert {k: len(v) for k, v in means.items()} == {"time": 4, "category": 4, "all": 4}
+    winner = min(means, key=lambda m: (sum(means[m]), m))
+    assert {(r.model, r.part) for r in out if r.part == "test"} == {(winner, "test")}
