@@ -134,7 +134,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     # very small or large components are scaled by a power of two, which changes no digit of the cosine
     largest = F.aggregate("_v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     power = F.when(largest.between(1e-100, 1e100), F.lit(1.0)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(largest))))
-    own = rows.select("_id", "_same", "_v", power.alias("_p")).select("_id", "_same", F.transform("_v", lambda x: x / F.col("_p")).alias("_v"))
+    scaled = F.transform(F.array(power), lambda p: F.transform("_v", lambda x: x / p))[0]  # the power once a vector, not once a component
+    own = rows.select("_id", "_same", scaled.alias("_v"))
     own = own.withColumn("_norm", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))).dropDuplicates(["_id", "_same"])
     q = own.select(F.col("_id").alias("query_id"), F.col("_same").alias("query_same"), F.col("_v").alias("_qv"), F.col("_norm").alias("_qn"))
     c = own.select(F.col("_id").alias("vec_id"), F.col("_same").alias("same"), F.col("_v").alias("_cv"), F.col("_norm").alias("_cn"))
