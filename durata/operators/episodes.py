@@ -62,7 +62,7 @@ def _by_gap(rows: DataFrame, gaps: list[int]) -> DataFrame:
 def _parts(df: DataFrame, gaps: list[int], share: int, few: int, ranges: int) -> tuple[DataFrame, DataFrame | None]:
     """(segments of all usual entities, those of entities with more than one in ``share`` of the rows, None without such)."""
     rows = _dated(df, gaps)
-    hot = hot_hashes(rows.filter("key is not null"), ["_part"], share, few)
+    hot = hot_hashes(rows.filter("key is not null").select("key"), ["key"], share, few)  # a known key is its part
     if not hot:
         return _numbered(rows, gaps), None
     is_hot = F.xxhash64("_part").isin(hot)

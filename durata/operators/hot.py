@@ -32,10 +32,10 @@ def with_count(df: DataFrame, key: Column, name: str, share: int = 500, few: int
     task: their counts come from partial sums, fewer than ``share`` of them, and
     are broadcast.  Rows with a null key are not counted and stay apart too.
     """
-    rows = df.withColumns({"_count_key": key, "_count_own": F.xxhash64(*df.columns)})
+    rows = df.withColumn("_count_key", key)
     hot = hot_hashes(rows.filter("_count_key is not null"), ["_count_key"], share, few)
     is_hot = F.xxhash64("_count_key").isin(hot) if hot else F.lit(False)
-    apart = F.when(F.col("_count_key").isNull() | is_hot, F.col("_count_own"))
+    apart = F.when(F.col("_count_key").isNull() | is_hot, F.xxhash64(*df.columns))
     rows = rows.withColumn("_count_n", F.count("*").over(Window.partitionBy("_count_key", apart)))
     n = F.when(F.col("_count_key").isNotNull(), F.col("_count_n"))
     if hot:
