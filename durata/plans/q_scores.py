@@ -13,6 +13,7 @@ from ..operators import ranking as R
 from ..operators import resample as S
 from ..operators import snapshots as N
 from ..operators.bands import floor_code
+from ..operators.resampled_auc import resampled_auc_intervals
 from ..sources.views import intervals
 from .registry import query
 
@@ -270,6 +271,14 @@ def m17_bootstrap_auc(spark, d):
     return out.select("score", *[_r(c).alias(c) for c in out.columns[1:]])
 
 
+@query()
+def m17_resampled_auc(spark, d):
+    """AUCs of two scores and their difference with buildings drawn a thousand times, without a table of draws."""
+    rows = _cand(spark, d).withColumn("early", -F.col("elapsed_day").cast("double"))
+    out = resampled_auc_intervals(rows, "building_id", ["p", "early"], "y")
+    return out.select("score", *[_r(c).alias(c) for c in out.columns[1:]])
+
+
 _TWO = "sc AS (SELECT 'rate' AS model, city, p, y FROM cand UNION ALL SELECT 'flat', city, 0.5::DOUBLE, y FROM cand), br AS (SELECT model, city, avg(p) AS predicted, avg(y) AS actual, avg((y - p) * (y - p)) AS brier FROM sc GROUP BY ALL)"
 
 

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from durata.operators import resample as S
+from durata.operators import resampled_auc as A
+from durata.operators.ranking import auc
 from durata.plans import q_scores
 from durata.plans.queries import queries
 
@@ -54,3 +56,57 @@ def test_interval_of_the_query(spark):
     rate, n = cand.agg(F.avg("y"), F.count("*")).first()
     assert r.estimate == pytest.approx(rate, abs=1e-8) and r.low < rate < r.high and r.replicates == 1000
     assert r.high - r.low == pytest.approx(2 * 1.96 * np.sqrt(rate * (1 - rate) / n), rel=0.5)
+
+
+def plain_auc(v, p, q):
+    """Pairs of distinct scores one by one; ties count half."""
+    won = sum(p[i] * (q[v < v[i]].sum() + q[v == v[i]].sum() / 2) for i in range(len(v)))
+    return won / (p.sum() * q.sum()) if p.sum() and q.sum() else None
+
+
+def test_draws_do_not_depend_on_who_asks():
+    every = A.draws_of(np.arange(1000), 1000, 0, 64, 3)
+    assert (every.sum(axis=0) == 1000).all() and every.mean() == 1 and every.var() == pytest.approx(1, rel=0.05)
+    some = np.array([0, 5, 6, 500, 999])
+    assert (A.draws_of(some, 1000, 0, 64, 3) == every[some]).all()
+    assert (A.draws_of(np.arange(1000), 1000, 64, 64, 3) != every).any()
+    assert (A.draws_of(np.arange(1), 1, 0, 4, 3) == 1).all()
+
+
+@pytest.mark.parametrize("rows_a_range", [10**6, 37])
+def test_resampled_aucs_equal_plain_loops(spark, rows_a_range):
+    r = np.random.default_rng(4)
+    made = []
+    for i in range(1500):
+        c = str(i % 211) if i % 3 else ("hot" if i % 30 else None)
+        s = 0.5 if i % 5 < 2 else None if i % 97 == 0 else round(float(r.random()), 3)
+        made.append((c, int(r.random() < 0.4), s, float("nan") if i % 50 == 0 else float(r.random())))
+    df = spark.createDataFrame(made, "c string, y int, s double, t double")
+    got = {(x.score, x.rep): x for x in A.resampled_auc(df, "c", ["s", "t"], "y", 70, 2, rows_a_range).collect()}
+    assert len(got) == 140
+    names = {x._c: x.cluster_no for x in S.numbered(df.select(F.coalesce("c", F.lit("\0null")).alias("_c")).distinct(), "_c").collect()}
+    times = np.concatenate([A.draws_of(np.arange(len(names)), len(names), a, 64, 2) for a in (0, 64)], axis=1)
+    no = np.array([names[c if c is not None else "\0null"] for c, *_ in made])
+    for k, score in enumerate(("s", "t")):
+        v = np.array([np.nan if x[2 + k] is None else np.inf if x[2 + k] != x[2 + k] else x[2 + k] for x in made])
+        y, own = np.array([x[1] for x in made]), ~np.isnan(v)
+        for rep in (0, 1, 63, 64, 69):
+            w = times[no, rep]
+            x = got[score, rep]
+            assert (x.pos, x.neg) == ((w * y)[own].sum(), (w * (1 - y))[own].sum())
+            assert x.auc == pytest.approx(plain_auc(v[own], (w * y)[own], (w * (1 - y))[own]), abs=1e-12)
+
+
+def test_resampled_aucs_of_odd_tables(spark):
+    df = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.7), ("b", None, 0.1)], "c string, y int, s double")
+    assert [(x.pos > 0, x.neg, x.auc) for x in A.resampled_auc(df, "c", ["s"], "y", 3).collect()] == [(True, 0, None)] * 3
+    assert A.resampled_auc(df.limit(0), "c", ["s"], "y", 3).collect() == []
+
+
+def test_auc_intervals_of_the_query(spark):
+    got = {x.score: x for x in queries()["m17_resampled_auc"](spark, SF).collect()}
+    cand = q_scores._cand(spark, SF).withColumn("early", -F.col("elapsed_day").cast("double"))
+    for s in ("p", "early"):
+        assert got[s].estimate == pytest.approx(auc(cand, [], s, "y").first().auc, abs=1e-8) and got[s].low < got[s].estimate < got[s].high
+    assert got["p"].difference is None and got["early"].diff_low < got["early"].difference < got["early"].diff_high
+    assert got["early"].difference == pytest.approx(got["early"].estimate - got["p"].estimate, abs=1e-8)
