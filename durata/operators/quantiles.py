@@ -9,6 +9,8 @@ off.  Bounds of all groups and ranks are narrowed together, a few rows each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,28 @@ def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
 def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[str] = (), frequency: Column | None = None, few: int = 2_000_000) -> DataFrame:
     """``(by.., n, q)``: the number of values and the exact quantiles at ``shares``, between ranks by linear interpolation.
 
+    Nulls, frequencies, groups without values and ``few`` are those of :func:`values_at`.
+    """
+    if any(not 0 <= s <= 1 for s in shares) or not shares:
+        raise ValueError("shares must be between 0 and 1")
+    # one expression over an array of shares, however many there are
+    positions = F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s: s * (F.col("n") - 1))
+
+    def between(p: Column) -> Column:
+        value_at = lambda r: F.element_at("at", r.cast("long"))
+        low, high = F.floor(p), F.ceil(p)
+        return F.when(value_at(low) == value_at(high), value_at(low)).otherwise((high - p) * value_at(low) + (p - low) * value_at(high))
+
+    ranks = F.array_distinct(F.flatten(F.transform(positions, lambda p: F.array(F.floor(p), F.ceil(p)))))
+    return values_at(df, value, ranks, by, frequency, few).select(*by, "n", F.transform(positions, between).alias("q"))
+
+
+def values_at(df: DataFrame, value: str | Column, wanted: Column, by: list[str] = (), frequency: Column | None = None, few: int = 2_000_000) -> DataFrame:
+    """``(by.., n, at)``: the number of values, and a map of ranks (from 0, ascending) to the values there.
+
+    ``wanted`` is an array of ranks by the group's number of values, the column
+    ``n``; a group that wants none has no row.
+
     ``frequency`` (a whole number from 0) says how often a row counts.  Nulls do
     not count; a group without values has no row, an empty table without groups
     none at all.  Values are compared as doubles, NaN last.  Groups of at most
@@ -75,8 +99,6 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
     holds or sorts more.
     """
     by = list(by)
-    if any(not 0 <= s <= 1 for s in shares) or not shares:
-        raise ValueError("shares must be between 0 and 1")
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     names = {c: f"_by{i}" for i, c in enumerate(by)}
     keys = list(names.values())
@@ -85,17 +107,9 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
     own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(names[c]) for c in by]
     rows = df.select(*own, *[F.col(c).isNull().alias(f) for c, f in zip(by, flags, strict=True)], v.alias("_v"), (F.lit(1) if frequency is None else frequency).cast("long").alias("_n")).filter("_v is not null and _n > 0")
     group = [*keys, *flags]
-    # one expression over an array of shares, however many there are
-    positions = F.transform(F.array(*[F.lit(float(s)) for s in shares]), lambda s: s * (F.col("n") - 1))
-    wanted = F.array_distinct(F.flatten(F.transform(positions, lambda p: F.array(F.floor(p), F.ceil(p)))))
     types = {f.name: f.dataType for f in df.select(*by).schema} if by else {}
     shown = [F.when(~F.col(f), F.col(names[c]).cast(types[c])).alias(c) for c, f in zip(by, flags, strict=True)]
 
-    def between(p: Column) -> Column:
-        value_at = lambda r: F.element_at("_at", r.cast("long"))
-        low, high = F.floor(p), F.ceil(p)
-        return F.when(value_at(low) == value_at(high), value_at(low)).otherwise((high - p) * value_at(low) + (p - low) * value_at(high))
-
     def counted_at(some: DataFrame) -> DataFrame:
         """The wanted ranks of groups small enough to be counted: ``(group.., n, _r, _v)``."""
         counts = _counted(some, group).withColumn("n", F.sum("_n").over(Window.partitionBy(*(group or [F.lit(0)]))))
@@ -103,8 +117,8 @@ def quantiles(df: DataFrame, value: str | Column, shares: list[float], by: list[
         return counts.select(*group, "n", F.explode(here).alias("_r"), "_v")
 
     def answers(ranks: DataFrame) -> DataFrame:
-        at = ranks.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))  # two entries a share
-        return at.select(*shown, "n", F.transform(positions, between).alias("q"))
+        at = ranks.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("at"))  # as many entries as wanted
+        return at.select(*shown, "n", "at")
 
     most = rows.groupBy(*group).agg(F.count("*").alias("_rows")).agg(F.max("_rows")).first()[0] or 0
     if most <= few:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import hash_uniform
+from ..sources.scratch import scratch, small, stored
 from .ordered import running
+from .quantiles import values_at
+from .stats import meet
 
 
 def set_rows(df: DataFrame, scenarios: dict[str, list[str]]) -> DataFrame:
@@ -95,11 +98,38 @@ def label_gap(df: DataFrame, keys: list[str], high: str, target: str, least: int
     return sets.agg(*sums) if score is None else sets.groupBy("wide").agg(*sums)
 
 
-def same_share(df: DataFrame, keys: list[str], score: str, share: float, seed: int = 1, key: str = "row_id") -> DataFrame:
-    """``chosen``: the top round(share * n) rows by score, ties in hash order; rounding half to even."""
-    w = Window.partitionBy(*keys)
-    order = w.orderBy(F.desc(score), hash_uniform(F.lit(seed), F.col(key)), key)
-    return df.withColumn("chosen", (F.row_number().over(order) <= F.bround(F.lit(share) * F.count("*").over(w))).cast("int"))
+def same_share(df: DataFrame, keys: list[str], score: str, share: float, seed: int = 1, key: str = "row_id", few: int = 2_000_000, blocks: int = 4096) -> DataFrame:
+    """``chosen``: the top round(share * n) rows by score, ties in hash order; rounding half to even.
+
+    The score at the cut comes from rank selection (:func:`.quantiles.values_at`),
+    so no group is sorted.  Rows at that score are told apart by ``blocks`` ranges
+    of their hash, and only those of the block in which the share ends are ranked.
+    Null scores come last, as minus infinity does; NaN comes first.
+    """
+    k = lambda n: F.bround(F.lit(share) * n).cast("long")
+    v = F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
+    uniform = hash_uniform(F.lit(seed), F.col(key))
+    rows = df.withColumn("_v", v)
+    n = F.col("n")
+    with scratch(df.sparkSession) as keep:
+        at = values_at(rows, "_v", F.when(k(n) > 0, F.array(n - k(n))).otherwise(F.array().cast("array<bigint>")), keys, few=few)
+        cuts = stored(at.select(*keys, k(n).alias("_k"), F.element_at("at", n - k(n)).alias("_cut")))
+        # what lies above the cut is block -1; a group has `blocks` rows more at most
+        placed = meet(rows, small(cuts), keys).withColumn("_b", F.when(F.col("_v") > F.col("_cut"), -1).when(F.col("_v") == F.col("_cut"), F.floor(uniform * blocks).cast("int"))).filter("_b is not null")
+        sizes = placed.groupBy(*keys, "_k", "_cut", "_b").agg(F.count("*").alias("_n"))
+        over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        sizes = sizes.withColumn("_room", F.col("_k") - F.sum("_n").over(over) + F.col("_n"))
+        part = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
+        ends = keep(stored(sizes.groupBy(*keys, "_cut").agg(F.max(F.when(F.col("_room") >= F.col("_n"), F.col("_b"))).alias("_full"), F.max(F.when(part, F.col("_b"))).alias("_part"), F.max(F.when(part, F.col("_room"))).alias("_room"))))
+    whole = rows.join(F.broadcast(ends), F.lit(True), "left") if not keys else meet(rows, small(ends), keys, "left")  # one row without keys
+    met = whole.withColumn("_b", F.floor(uniform * blocks).cast("int"))
+    at_cut = F.coalesce(F.col("_v") == F.col("_cut"), F.lit(False))
+    last = F.coalesce(at_cut & (F.col("_b") == F.col("_part")), F.lit(False))
+    inside = Window.partitionBy(*keys, "_b").orderBy(uniform, key)
+    ranked = met.filter(last).withColumn("chosen", (F.row_number().over(inside) <= F.col("_room")).cast("int"))
+    decided = F.coalesce((F.col("_v") > F.col("_cut")) | (at_cut & (F.col("_b") <= F.col("_full"))), F.lit(False))
+    out = met.filter(~last).withColumn("chosen", decided.cast("int")).unionByName(ranked)
+    return out.select(*df.columns, "chosen")
 
 
 def rate_score(train: DataFrame, test: DataFrame, keys: list[str], target: str, out: str = "p") -> DataFrame:

@@ -4,9 +4,13 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from durata.functions.clean import hash_uniform
 from durata.operators import metrics as M
+from durata.operators import prepare as P
+from durata.operators import ranking as R
 from durata.operators import stats as G
 from durata.operators.quantiles import quantiles
 
@@ -69,3 +73,26 @@ def test_best_cuts_equal_enumeration(spark, tiers):
     out = M.best_cuts(spark.createDataFrame(rows, "p double, y int"), "p", "y", tiers).collect()
     assert [(x.cuts, x.sizes) for x in out] == ([(best[1], best[2])] if best else [])
     assert M.best_cuts(spark.createDataFrame([(0.5, 1)] * 9, "p double, y int"), "p", "y", tiers).collect() == []
+
+
+@pytest.mark.parametrize("few,blocks", [(10**6, 4096), (40, 8)])
+def test_same_share_equals_sorting_each_group(spark, few, blocks):
+    r = random.Random(11)
+    made = [(r.choice(["a", "b", None]), str(i), r.choice([0.5, 0.5, None, r.random(), float("nan") if i % 9 == 0 else 0.1])) for i in range(900)]
+    made += [("one", "x", 0.3), ("two", "y", 0.3), ("two", "z", 0.3)] + [("same", str(i), 1.0) for i in range(200)]
+    df = spark.createDataFrame(made, "g string, row_id string, s double")
+    for share in (0.0, 0.3, 0.5, 0.8, 1.0):
+        w = Window.partitionBy("g")
+        order = w.orderBy(F.desc(F.coalesce("s", F.lit(float("-inf")))), hash_uniform(F.lit(1), F.col("row_id")), "row_id")
+        want = df.withColumn("chosen", (F.row_number().over(order) <= F.bround(F.lit(share) * F.count("*").over(w))).cast("int"))
+        got = R.same_share(df, ["g"], "s", share, few=few, blocks=blocks)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert R.same_share(df, [], "s", 0.25, few=few, blocks=blocks).agg(F.sum("chosen")).first()[0] == round(0.25 * len(made))
+    assert R.same_share(df, [], "s", 0.0).agg(F.count("*"), F.sum("chosen")).first() == (len(made), 0)
+    assert R.same_share(df.limit(0), ["g"], "s", 0.3).collect() == []
+
+
+def test_the_first_row_of_an_id_is_found_before_the_shuffle(spark, capsys):
+    P.first_per_id(spark.createDataFrame([("a", 1)], "id string, row_id int"), F.col("id"), ["row_id"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("WindowGroupLimit", plan.index("Exchange")) > 0 and "Partial" in plan
