@@ -299,6 +299,20 @@ def p12_comparable_median(spark, d):
     return H.comparable_median(K.known_at(train, dt.date(2000, 1, 1)), live, "city", _FOUR, "row_id")
 
 
+@query()
+def l05_live_risk(spark, d):
+    """Intervals on the market: the model's risk within its scope (all categories but R, walk known), else the rate of the group at the snapshots of the year before."""
+    from ..operators import hazard as H
+    from ..operators.lookup import group_table
+
+    rows, model = _trained(spark, d)
+    past = N.snapshot(rows, [dt.date(1999, 4, 1), dt.date(1999, 8, 1)], [14], OBS_END)
+    groups = group_table(past, ["city", "layout"], "target_14", 0.5)
+    live = N.snapshot(rows, [dt.date(2000, 4, 1)], [14], OBS_END)
+    out = H.live_risk(model, live, groups, ["city", "layout"], 4, (F.col("layout") != "R") & F.col("walk_distance").isNotNull(), cut=0.5)
+    return out.select("row_id", "city", "layout", _r("risk", 6).alias("risk"), "rate", "mode", "level", "status")
+
+
 @query()
 def p07_city_hazard(spark, d):
     """The hazard with the city as a further category, on all event days and others up to the bound, weighted."""

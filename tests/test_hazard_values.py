@@ -94,6 +94,33 @@ def test_risks_of_the_queries(spark, known, name):
     assert better > 0.55  # the time that has gone by tells the ends apart, which a constant cannot
 
 
+def test_live_risk_chains_the_model_into_the_decision(spark, known):
+    got = {r.row_id: r for r in queries()["l05_live_risk"](spark, SF).collect()}
+    model = {r.row_id: r.p for r in queries()["p06_p11_hazard_risk"](spark, SF).collect()}
+    assert set(got) == set(known) and {r["mode"] for r in got.values()} == {"model", "historical"}
+    rows = q_time._aged(q_time.intervals(spark, SF))
+    past = q_time.N.snapshot(rows, [dt.date(1999, 4, 1), dt.date(1999, 8, 1)], [14], q_time.OBS_END).collect()
+    for k, r in got.items():
+        group = [x.target_14 for x in past if (x.city, x.layout) == (r.city, r.layout)]
+        assert (r.rate, r.status) == ((pytest.approx(sum(group) / len(group)), "ok") if len(group) >= 4 else (None, "insufficient_data"))
+        if known[k].walk_distance is None or known[k].layout == "R":
+            assert (r["mode"], r.risk, r.level) == ("historical", None, None)
+        else:
+            assert (r["mode"], r.risk, r.level) == ("model", pytest.approx(model[k], abs=2e-6), "hi" if r.risk >= 0.5 else "lo")
+
+
+def test_live_risk_of_odd_requests(spark, rows, model, capsys):
+    asked = rows.filter("row_id in ('3', '4')").withColumns({"elapsed_day": F.when(F.col("row_id") == "3", 2), "category": F.lit("own column"), "p": F.lit(9)})
+    asked = asked.unionByName(asked)
+    groups = spark.createDataFrame([("x", 9, 0.4)], "city string, n long, rate double")
+    out = H.live_risk(model, asked, groups, ["city"], 3)
+    assert sorted((r.row_id, r["mode"], r.category, r.p, r.rate) for r in out.collect()) == sorted(2 * [("3", "model", "own column", 9, 0.4), ("4", "historical", "own column", 9, 0.4)])
+    assert out.filter("risk is not null").select("risk").distinct().count() == 1
+    assert {r["mode"] for r in H.live_risk(model, asked, groups, ["city"], 3, F.lit(None).cast("boolean")).collect()} == {"historical"}
+    assert [(r.risk, r.status) for r in H.live_risk(None, asked.limit(1), groups, ["city"], 30).collect()] == [(None, "insufficient_data")]
+    assert H.live_risk(model, asked.limit(0), groups, ["city"], 3).collect() == []
+
+
 @pytest.mark.parametrize("name", ["p07_city_hazard", "p14_evaluate_hazard", "p17_scope_comparison"])
 def test_scores_of_the_queries(spark, name):
     out = queries()[name](spark, SF).collect()
