@@ -110,3 +110,13 @@ def test_auc_intervals_of_the_query(spark):
         assert got[s].estimate == pytest.approx(auc(cand, [], s, "y").first().auc, abs=1e-8) and got[s].low < got[s].estimate < got[s].high
     assert got["p"].difference is None and got["early"].diff_low < got["early"].difference < got["early"].diff_high
     assert got["early"].difference == pytest.approx(got["early"].estimate - got["p"].estimate, abs=1e-8)
+
+
+def test_large_clusters_get_the_same_draws(spark, monkeypatch):
+    n = F.col("id")
+    df = spark.range(800).select(F.when(n % 3 == 0, "large").otherwise((n % 50).cast("string")).alias("c"), (n % 7 < 3).cast("int").alias("y"), F.round(F.rand(5), 2).alias("s"))
+    run = lambda: sorted((x.rep, x.pos, x.neg, x.auc) for x in A.resampled_auc(df, "c", ["s"], "y", 20, 1, 60).collect())
+    usual, met = run(), []
+    find = A.hot_hashes
+    monkeypatch.setattr(A, "hot_hashes", lambda cells, keys: met.extend(find(cells, keys, share=10, few=0)) or met)
+    assert run() == usual and len(met) == 1
