@@ -191,11 +191,8 @@ def _cuts_sql(k: int) -> str:
 @query(f"WITH {_CAND}, e AS (SELECT list_sort(list_distinct(quantile_cont(p, {_QS}))) AS e FROM cand), k AS (SELECT len(list_filter(e, lambda x: x <= p)) AS cell, sum(y) AS a, count(*) - sum(y) AS b, count(*) AS n FROM cand, e GROUP BY 1), cut AS (SELECT unnest(e) AS cut, generate_subscripts(e, 1) AS i FROM e) " + " UNION ALL ".join(f"SELECT * FROM {_cuts_sql(k)}" for k in (2, 3, 4)))
 def m12_best_cuts_by_tiers(spark, d):
     """The best two, three and four tiers."""
-    rows, out = _cand(spark, d), None
-    for k in (2, 3, 4):
-        one = M.best_cuts(rows, "p", "y", k).select(F.lit(k).alias("tiers"), F.transform("cuts", lambda c: _r(c)).alias("cuts"), _r("auc").alias("auc"), "sizes")
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = M.best_cuts_each(_cand(spark, d), "p", "y", [2, 3, 4])
+    return out.select("tiers", F.transform("cuts", lambda c: _r(c)).alias("cuts"), _r("auc").alias("auc"), "sizes")
 
 
 @query(f"WITH {_CAND}, e AS (SELECT list_sort(list_distinct(quantile_cont(p, [0.2, 0.4, 0.6, 0.8]))) AS e FROM cand) SELECT len(list_filter(e, lambda x: x < p))::INT AS band, count(*) AS n, round(avg(p), 9) AS predicted, round(avg(y), 9) AS actual FROM cand, e GROUP BY 1")
