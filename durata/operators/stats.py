@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch, stored
 from .ordered import running
 from .quantiles import quantiles
 
@@ -34,10 +35,11 @@ def exact_stats(df: DataFrame, value: str, by: list[str] = (), shown: int = 1000
     Values are counted first, so modes come from a table of distinct values.  The
     text has the ``shown`` smallest modes; ``mode_ties`` tells how many there are,
     and :func:`modes` has them all as rows.  Quartiles are exact at any size of a
-    group (see :func:`.quantiles.quantiles`).
+    group (see :func:`.quantiles.quantiles`).  ``df`` is read once, since the
+    columns needed are stored first.
     """
     by = list(by)
-    rows = df.filter(F.col(value).isNotNull())
+    rows = stored(df.select(*dict.fromkeys([*by, value])).filter(F.col(value).isNotNull()))
     top = modes(rows, value, by)
     first = F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("mode")) <= shown
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_first"), F.col("mode")))), lambda v: v.cast("long").cast("string")), "|")
@@ -65,8 +67,13 @@ def full_range_stats(df: DataFrame, bands: DataFrame, bin_col: str, value: str)
 
 
 def cross_table(df: DataFrame, bands: DataFrame, categories: DataFrame, bin_col: str, cat_col: str, value: str) -> DataFrame:
-    """n, mean, median, std (0 for one row), quartiles and IQR over the whole band by category grid."""
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(bin_col).alias("bin"), F.col(cat_col), F.col(value))
+    """n, mean, median, std (0 for one row), quartiles and IQR over the whole band by category grid; ``df`` is read once for all of them."""
+    with scratch(df.sparkSession) as keep:
+        rows = stored(df.filter(F.col(value).isNotNull()).select(F.col(bin_col).alias("bin"), F.col(cat_col), F.col(value)))
+        return keep(stored(_cross_table(rows, bands, categories, cat_col, value)))
+
+
+def _cross_table(rows: DataFrame, bands: DataFrame, categories: DataFrame, cat_col: str, value: str) -> DataFrame:
     facts = rows.groupBy("bin", cat_col).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
     facts = meet(facts, quantiles(rows, value, _QUARTILES, ["bin", cat_col]).select("bin", cat_col, F.col("q").alias("_q")), ["bin", cat_col])
     grid = bands.select("bin").crossJoin(categories.select(cat_col))
@@ -134,15 +141,26 @@ def pair_r2_category(df: DataFrame, x: str, category: str, y: str) -> DataFrame:
 
 
 def long_groups(df: DataFrame, groupings: dict[str, Column], value: str) -> DataFrame:
-    """``(kind, code, n, median)`` for several groupings at once: rows unpivoted, one shuffle."""
+    """``(kind, code, n, median)`` for several groupings at once: rows unpivoted and stored, so ``df`` is read once."""
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("code")) for k, c in groupings.items()])
-    rows = df.select(F.col(value).alias("_v"), F.inline(pairs)).filter("code is not null")
+    with scratch(df.sparkSession) as keep:
+        rows = stored(df.select(F.col(value).alias("_v"), F.inline(pairs)).filter("code is not null"))
+        return keep(stored(_long_groups(rows)))
+
+
+def _long_groups(rows: DataFrame) -> DataFrame:
     return meet(rows.groupBy("kind", "code").agg(F.count("_v").alias("n")), quantiles(rows, "_v", [0.5], ["kind", "code"]).select("kind", "code", F.col("q")[0].alias("median")), ["kind", "code"], "left")
 
 
 def group_quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
-    """``(by.., n, ..)``: rows of each group and exact quantiles of a value under the names of ``shares``; null for groups without values."""
+    """``(by.., n, ..)``: rows of each group and exact quantiles of a value under the names of ``shares``; null for groups without values.  ``df`` is read once."""
     by = list(by)
+    with scratch(df.sparkSession) as keep:
+        rows = stored(df.select(*dict.fromkeys([*by, value])))
+        return keep(stored(_group_quantiles(rows, value, shares, by)))
+
+
+def _group_quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
     found = quantiles(df, value, list(shares.values()), by)
     named = found.select(*by, *[F.col("q")[i].alias(name) for i, name in enumerate(shares)])
     counts = df.groupBy(*by).agg(F.count("*").alias("n"))
@@ -172,7 +190,13 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def attribute_table(df: DataFrame, numeric: list[str], categories: list[str], value: str) -> DataFrame:
-    """One row an attribute: missing rate, and median, range and rho of numbers, or distinct count, top value, its share and eta of categories."""
+    """One row an attribute: missing rate, and median, range and rho of numbers, or distinct count, top value, its share and eta of categories.  ``df`` is read once."""
+    with scratch(df.sparkSession) as keep:
+        rows = stored(df.select(*dict.fromkeys([*numeric, *categories, value])))
+        return keep(stored(_attribute_table(rows, numeric, categories, value)))
+
+
+def _attribute_table(df: DataFrame, numeric: list[str], categories: list[str], value: str) -> DataFrame:
     parts = []
     for c in numeric:
         one = df.agg(F.avg(F.col(c).isNull().cast("int")).alias("missing_rate"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"))

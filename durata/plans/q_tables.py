@@ -9,6 +9,7 @@ from ..functions import clean as C
 from ..operators import bands as B
 from ..operators import prepare as P
 from ..operators import stats as G
+from ..sources.scratch import scratch, stored
 from ..sources.views import intervals, raw_text
 from .registry import query
 
@@ -282,7 +283,9 @@ SELECT b.bin::INT AS bin, k.city, coalesce(n, 0) AS n, mean, median, std, q1, q3
 @query(_GRID)
 def g05_cross_table(spark, d):
     rows = _iv(spark, d).withColumn("rent_bin", B.equal_width(F.col("rent"), 20000))
-    out = G.cross_table(rows, B.band_table(rows, {"rent": 20000}), rows.select("city").distinct(), "rent_bin", "city", "duration")
+    with scratch(spark) as keep:
+        rows = stored(rows.select("rent", "rent_bin", "city", "duration"))
+        out = keep(G.cross_table(rows, B.band_table(rows, {"rent": 20000}), rows.select("city").distinct(), "rent_bin", "city", "duration"))
     return out.withColumns({"mean": _r("mean"), "std": _r("std")})
 
 
@@ -356,8 +359,10 @@ def g17_extreme_cells(spark, d):
 @query("SELECT year(start_date)::INT AS start_year, count(*) AS n, count(*) FILTER (end_date IS NOT NULL) AS known_ends, quantile_cont(end_date - start_date, 0.5) AS median, round(avg(end_date - start_date), 6) AS mean, min(start_date) AS first_start, max(end_date) AS last_end FROM iv GROUP BY 1")
 def g18_year_audit(spark, d):
     rows = _iv(spark, d).withColumn("start_year", F.year("start_date"))
-    sums = rows.groupBy("start_year").agg(F.count("end_date").alias("known_ends"), _r(F.avg("duration")).alias("mean"), F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end"))
-    return G.meet(sums, G.group_quantiles(rows, "duration", {"median": 0.5}, ["start_year"]), ["start_year"])
+    with scratch(spark) as keep:
+        rows = stored(rows.select("start_year", "start_date", "end_date", "duration"))
+        sums = rows.groupBy("start_year").agg(F.count("end_date").alias("known_ends"), _r(F.avg("duration")).alias("mean"), F.min("start_date").alias("first_start"), F.max("end_date").alias("last_end"))
+        return keep(stored(G.meet(sums, G.group_quantiles(rows, "duration", {"median": 0.5}, ["start_year"]), ["start_year"])))
 
 
 @query("WITH m AS (SELECT max(end_date) AS top FROM iv) SELECT top, count(*) FILTER (end_date = top) AS last_day, count(*) FILTER (end_date > top - 7) AS last_7, count(*) FILTER (end_date > top - 30) AS last_30 FROM iv, m GROUP BY top")
