@@ -96,3 +96,45 @@ def test_the_first_row_of_an_id_is_found_before_the_shuffle(spark, capsys):
     P.first_per_id(spark.createDataFrame([("a", 1)], "id string, row_id int"), F.col("id"), ["row_id"]).explain()
     plan = capsys.readouterr().out
     assert plan.index("WindowGroupLimit", plan.index("Exchange")) > 0 and "Partial" in plan
+
+
+def counting(spark, df):
+    """``df`` through a task that counts its rows, and the counter."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), read
+
+
+def test_tables_are_read_once_for_all_statistics(spark):
+    from durata.operators import stats as G
+    from durata.operators import survival as K
+
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 40).alias("t"), (F.col("id") % 2).cast("int").alias("event"), (F.col("id") % 7).cast("int").alias("e"))
+    asked = {
+        "quantiles": lambda df: quantiles(df, "t", SHARES, ["g"], few=5),
+        "stats": lambda df: G.exact_stats(df, "t", ["g"]),
+        "many": lambda df: G.describe_many(df, ["t", "e"]),
+        "groups": lambda df: G.group_quantiles(df, "t", {"m": 0.5}, ["g"]),
+        "long": lambda df: G.long_groups(df, {"g": F.col("g"), "e": F.col("e")}, "t"),
+        "attributes": lambda df: G.attribute_table(df, ["e"], ["g"], "t"),
+        "cross": lambda df: G.cross_table(df.withColumnRenamed("e", "b"), spark.range(7).select(F.col("id").cast("int").alias("bin")), spark.createDataFrame([("0",), ("1",)], "g string"), "b", "g", "t"),
+        "curves": lambda df: K.two_level(spark.createDataFrame([("0", 3), (None, 4)], "g string, at int"), df, "at", 5, ["g"]),
+    }
+    for name, ask in asked.items():
+        df, read = counting(spark, rows)
+        ask(df).collect()
+        assert read.value == 1000, name
+
+
+def test_repeated_values_are_counted_before_ranks_are_looked_for(spark, monkeypatch):
+    """Many rows of few values need no rounds of narrowing, and no task orders more than the values."""
+    from durata.operators import quantiles as module
+
+    monkeypatch.setattr(module, "_narrowed", lambda *a: pytest.fail("narrowed"))
+    rows = spark.range(5000).select((F.col("id") % 50).alias("v"))
+    assert quantiles(rows, "v", [0.5], few=100).first().q == [24.5]

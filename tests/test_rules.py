@@ -357,3 +357,27 @@ def test_changed_input_is_refused(spark, tmp_path):
     lost.write.mode("overwrite").parquet(str(tmp_path / "t"))
     with pytest.raises(ValueError, match="the table"):
         files.load_same(spark, str(tmp_path / "t"))
+
+
+def test_rows_live_at_no_date_go_before_the_join(spark):
+    left = spark.createDataFrame([(i, day(i), day(i + 2)) for i in range(20)], "k int, start_date date, end_date date")
+    rows = left.join(spark.range(20).select(F.col("id").cast("int").alias("k")).hint("merge"), "k")
+    out = N.snapshot(rows, [day(5), day(12)], [2], day(100))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "end_date" in plan[plan.index("Join") :].split("Filter", 1)[1].split("\n")[0]
+    assert sorted((r.k, r.snapshot) for r in out.collect()) == [(4, day(5)), (5, day(5)), (11, day(12)), (12, day(12))]
+
+
+def test_a_cut_above_all_scores_catches_null(spark):
+    from durata.operators import metrics as M
+
+    r = M.threshold_sweep(spark.createDataFrame([(0.1, 1), (0.3, 0)], "p double, y int"), [], "p", "y", [0.2, 0.9]).orderBy("cut").collect()
+    assert [(x.n_hi, x.rate_hi, x.rate_lo, x.capture, x.gap) for x in r] == [(1, 0.0, 1.0, 0.0, -1.0), (0, None, 0.5, None, None)]
+
+
+def test_cuts_of_several_numbers_of_tiers_come_from_one_table(spark):
+    from durata.operators import metrics as M
+
+    rows = spark.range(500).select((F.col("id") / 500).alias("p"), (F.col("id") * 7 % 500 < F.col("id")).cast("int").alias("y"))
+    each = {r.tiers: tuple(r)[1:] for r in M.best_cuts_each(rows, "p", "y", [2, 3, 4]).collect()}
+    assert each == {k: tuple(M.best_cuts(rows, "p", "y", k).first()) for k in (2, 3, 4)}
