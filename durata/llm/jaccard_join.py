@@ -165,7 +165,8 @@ def _similar(df: DataFrame, id_col: str, text_col: str, width: int, num: int, de
     each = Window.partitionBy("token", "salt")
     prefix = named.select("_text").mapInArrow(prefix_rows, "token long, salt int, hot boolean, node long, n int")
     prefix = prefix.withColumns({"lead": F.min("node").over(each), "tail": F.max("node").over(each)}).filter("lead <> tail or hot")
-    prefix = stored(_dense(stored(prefix.select("token", "node", "n")), num, den))
+    with scratch(df.sparkSession) as keep:  # of the first table nothing is needed later
+        prefix = keep(stored(_dense(stored(prefix.select("token", "node", "n")), num, den)))
     nodes = prefix.select("node").distinct()
     texts = stored(named.select("_text").mapInArrow(text_rows, "node long, _zip binary").join(nodes, "node"))
 

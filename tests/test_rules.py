@@ -381,3 +381,18 @@ def test_cuts_of_several_numbers_of_tiers_come_from_one_table(spark):
     rows = spark.range(500).select((F.col("id") / 500).alias("p"), (F.col("id") * 7 % 500 < F.col("id")).cast("int").alias("y"))
     each = {r.tiers: tuple(r)[1:] for r in M.best_cuts_each(rows, "p", "y", [2, 3, 4]).collect()}
     assert each == {k: tuple(M.best_cuts(rows, "p", "y", k).first()) for k in (2, 3, 4)}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from durata.sources.scratch import stored
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    table = stored(spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 7
