@@ -150,9 +150,9 @@ def _nearest(rows: np.ndarray, u: np.ndarray, bound: np.ndarray, k: int) -> tupl
 
 
 def _within(rows: np.ndarray, boxes: _Boxes, order: np.ndarray, u: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    level = max(0, int(np.log2(max(order.size / (2 * k), 1))))
+    level = max(0, int(np.log2(max(order.size / (8 * k), 1))))
     node = np.zeros(len(u), np.int64)
-    for _ in range(min(level, int(np.log2(len(order))))):  # the nearer half, down to at least 2 k rows
+    for _ in range(min(level, int(np.log2(len(order))))):  # the nearer half, down to 8 k rows or more: a wide block bounds better
         a, b = boxes.left[node], boxes.right[node]
         node = np.where(_gap(boxes, b, u) < _gap(boxes, a, u), b, a)
     level = int(np.log2(node[0] + 1))
