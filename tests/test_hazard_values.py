@@ -136,6 +136,15 @@ def test_scores_of_the_queries(spark, name):
         assert len({round(r.predicted, 6) for r in out}) > 1 and len({r.n for r in out}) == 1
 
 
+@pytest.mark.parametrize("name", ["p07_city_hazard", "p17_scope_comparison"])
+def test_scores_come_from_all_days(spark, monkeypatch, name):
+    figures = lambda: {tuple(r)[:2]: tuple(r)[2:] for r in queries()[name](spark, SF).collect()}
+    whole, bounded = figures(), PP.bounded_periods
+    monkeypatch.setattr(PP, "bounded_periods", lambda df, key: bounded(df, key, most=500))  # as if the table were much larger
+    again = figures()
+    assert set(again) == set(whole) and all(again[k] == pytest.approx(whole[k], abs=2e-6) for k in whole)
+
+
 def test_static_classifier_of_the_query(spark):
     out = queries()["p09_static_classifier"](spark, SF).collect()
     assert out and all(0 < r.p < 1 for r in out) and len({r.p for r in out}) > len(out) / 2
