@@ -409,8 +409,9 @@ def p15_model_selection(spark, d):
 
     rows = _aged(intervals(spark, d))
     known = K.known_at(rows, dt.date(2000, 1, 1))
+    days = lambda r: PP.features(PP.person_periods(r, 179))
     inputs = {"time": (["time_day"], ["time_band"]), "category": (["time_day"], ["time_band", "category"]), "all": (H.NUMERIC, H.CATEGORIES)}
-    fits = {name: (lambda p, numeric=numeric, categories=categories: H.fit_hazard(p, numeric, categories)) for name, (numeric, categories) in inputs.items()}
-    year = lambda y: known.filter(F.year("start_date") == y)
-    found = select_model(year(1998), year(1999), lambda: K.censored_at(rows, OBS_END, [2000]), fits, "row_id", [7, 14], [7, 14], cap=179)
+    fits = {name: (lambda r, numeric=numeric, categories=categories: H.fit_hazard(days(r), numeric, categories, of=r, cap=179)) for name, (numeric, categories) in inputs.items()}
+    year = lambda y: known.filter(F.year("start_date") == y).select(*_HAZARD)
+    found = select_model(year(1998), year(1999), lambda: K.censored_at(rows, OBS_END, [2000]), fits, "row_id", [7, 14], [7, 14], whole=True)
     return found.scores.select("model", "part", "landmark", "horizon", "n", *[_r(c, 6).alias(c) for c in ("predicted", "actual", "brier", "auc")])

@@ -172,6 +172,17 @@ def test_selection_finds_the_informed_model_and_tests_once(spark, rows, tmp_path
         load_model(str(tmp_path / "m"), source.filter("row_id <> '1'"))
 
 
+def test_selection_of_whole_rows_multiplies_nothing_out(spark, monkeypatch):
+    from durata.operators import selection
+
+    unread = lambda df, cap=None, own=PP.person_periods: own(df, cap).filter(F.raise_error(F.lit("multiplied out")).isNull())
+    monkeypatch.setattr(PP, "person_periods", unread)
+    monkeypatch.setattr(selection, "person_periods", unread)
+    assert len(queries()["p15_model_selection"](spark, SF).collect()) == 16
+    with pytest.raises(ValueError, match="cap"):
+        selection.select_model(None, None, None, {"a": None}, "row_id", [7], [7], 179, whole=True)
+
+
 def test_selection_of_the_query(spark):
     out = queries()["p15_model_selection"](spark, SF).collect()
     means = {}
