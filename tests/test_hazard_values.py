@@ -145,6 +145,13 @@ def test_scores_come_from_all_days(spark, monkeypatch, name):
     assert set(again) == set(whole) and all(again[k] == pytest.approx(whole[k], abs=2e-6) for k in whole)
 
 
+def test_trees_come_from_all_days(spark, monkeypatch):
+    risks = lambda: {r.row_id: r.p for r in queries()["p08_boosted_hazard"](spark, SF).collect()}
+    whole, bounded = risks(), PP.bounded_periods
+    monkeypatch.setattr(PP, "bounded_periods", lambda df, key: bounded(df, key, most=500))  # as if the table were much larger
+    assert risks() == whole
+
+
 def test_static_classifier_of_the_query(spark):
     out = queries()["p09_static_classifier"](spark, SF).collect()
     assert out and all(0 < r.p < 1 for r in out) and len({r.p for r in out}) > len(out) / 2
